@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality, topk, toxicity
+from . import fingerprint, mixing, neardup, packing, quality, topk, toxicity
 from .common import read
 
 
@@ -41,7 +41,11 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing)}
+def op9_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash)}
 
 SQL = {
     "op3_block_topk": """
@@ -79,4 +83,20 @@ SQL = {
         select doc_id, cast(size as bigint) as size, source_size, target,
                cast(size * least(whole + (case when upto <= rest or (upto - n < rest and upto - rest < rest - (upto - n)) then 1 else 0 end), 3) as bigint) as taken
         from c""",
+    "op9_odd_sketch_minhash": r"""
+        with recursive d as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+            from documents
+        ), s as (
+            select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                   else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+            from d
+        ), e as (select doc_id, len(s) as n, unnest(s) as x from s),
+        p as (select a.doc_id as u, b.doc_id as v, a.n as n, b.n as m, count(*) as meet from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+        l as (select u, v from p where 100 * meet >= 85 * (n + m - meet)),
+        g as (select u, v from l union all select v, u from l),
+        r as (select u as node, u as seen from g union select r.node, g.v from r join g on r.seen = g.u),
+        c as (select node, min(seen) as component from r group by node)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.component, s.doc_id) as component_id, s.doc_id = coalesce(c.component, s.doc_id) as kept
+        from s left join c on s.doc_id = c.node""",
 }
