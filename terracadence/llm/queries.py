@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, topk, toxicity
+from . import fingerprint, mixing, neardup, packing, quality, substring, topk, toxicity
 from .common import read
 
 
@@ -45,7 +45,12 @@ def op9_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash)}
+def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
 
 SQL = {
     "op3_block_topk": """
@@ -99,4 +104,16 @@ SQL = {
         c as (select node, min(seen) as component from r group by node)
         select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(c.component, s.doc_id) as component_id, s.doc_id = coalesce(c.component, s.doc_id) as kept
         from s left join c on s.doc_id = c.node""",
+    "op10_de_bruijn_spans": r"""
+        with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (
+            select doc_id, unnest(generate_series(1, len(w) - 19)) as pos from d where len(w) >= 20
+        ), h as (select s.doc_id, s.pos, array_to_string(d.w[s.pos:s.pos + 19], ' ') as x from s join d using (doc_id)),
+        l as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by x order by doc_id, pos) as r from h) where r > 1),
+        g as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(generate_series(pos, pos + 19)) as p from l) group by doc_id),
+        k as (
+            select d.doc_id, d.w, case when g.gone is null then d.w else list_filter(d.w, lambda x, i: not list_contains(g.gone, i)) end as kept
+            from d left join g using (doc_id)
+        )
+        select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - len(kept) as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
 }
