@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, substring, topk, toxicity
+from . import fingerprint, mixing, neardup, packing, quality, secrets, substring, topk, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 def op3_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
@@ -50,7 +54,7 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
 
 SQL = {
     "op3_block_topk": """
