@@ -1,4 +1,68 @@
-STAGES = []
+"""The corpus pipeline: documents in, packed training sequences out."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terracadence.llm import linededup, mixing, neardup, packing, quality
+from terracadence.llm.common import read
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine rejects go."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.score(docs, model, keep=others).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go from the texts; every document stays, n_chars follows its text."""
+    cleaned = linededup.dedup_lines(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return neardup.keep_one(docs, percent=80).select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times; those it does not take go."""
+    return mixing.take_mix(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("mixing_sources", mixing_sources),
+    ("sequence_packing", sequence_packing),
+]
+
+#: A trained model decides in the first stage, which SQL cannot express; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents. Each stage's rows are written to the shared folder and read again; a stage's input goes once its output stands."""
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='terracadence-')}/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}"), True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -232,5 +232,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows without those that near_duplicates does not keep, all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"), F.col("component_id").alias("_of")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept")
+    gone = staged(gone.select(F.col(id_col).alias("_gone")).distinct())
+    cell = F.pmod(F.xxhash64("_gone"), F.lit(FILTER_CELLS))
+    cells = F.broadcast(gone.select(cell.alias("_cell")).distinct())  # FILTER_CELLS rows at most
+    marked = docs.withColumn("_cell", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_CELLS)))
+    near = marked.join(cells, "_cell", "left_semi").drop("_cell")
+    near = near.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return near.unionByName(marked.join(cells, "_cell", "left_anti").drop("_cell"))

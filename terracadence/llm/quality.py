@@ -112,14 +112,15 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, metas, out = b.column("_text").to_pylist(), b.column("_meta").to_pylist(), []
+            texts, metas, out = b.column(text_name).to_pylist(), b.column("_meta").to_pylist(), []
             for at in range(0, len(texts), 256):
                 out.append(model.score([quality_features(t or "", m, word_bits) for t, m in zip(texts[at : at + 256], metas[at : at + 256], strict=True)]))
             s = np.concatenate(out) if out else np.zeros(0)
             left = [b.column(c) for c in b.schema.names if c not in ("_text", "_meta")]
             yield pa.RecordBatch.from_arrays([*left, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names)
 
-    slim = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_text"), F.col(meta_col).cast("long").alias("_meta"))
+    slim = docs.select(F.col(id_col), *[F.col(c) for c in keep], *([] if text_col in keep else [F.col(text_col).alias("_text")]), F.col(meta_col).cast("long").alias("_meta"))
+    text_name = text_col if text_col in keep else "_text"
     names = [id_col, *keep, "score", "predicted"]
     types = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return slim.mapInArrow(run, f"{types}, score double, predicted int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, secrets, substring, topk, toxicity
+from . import fingerprint, linededup, mixing, neardup, packing, quality, secrets, substring, topk, toxicity
 from .common import read
 
 
@@ -38,6 +38,11 @@ def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_line_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +59,7 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op7_line_setjoin, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
 
 SQL = {
     "op3_block_topk": """
@@ -120,4 +125,18 @@ SQL = {
             from d left join g using (doc_id)
         )
         select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - len(kept) as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
+    "op7_line_setjoin": r"""
+        with l as (
+            select doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)), generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1))) as x from documents
+        ), s as (
+            select doc_id, x[2] as ln, x[1] as line, list_sort(list_distinct(list_filter(string_split_regex(x[1], '[\x20\x09-\x0D]+'), lambda w: w <> ''))) as s from l
+        ), o as (select *, len(s) as n, row_number() over (order by doc_id, ln) as pos from s),
+        d as (select s, min(pos) as pos, any_value(n) as n from o where n > 0 group by s),
+        e as (select pos, n, unnest(s) as w from d),
+        p as (select a.pos as x, b.pos as y, a.n as n, b.n as m, count(*) as meet from e a join e b on a.w = b.w and a.pos > b.pos and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+        r as (select distinct x from p where 100 * meet >= 80 * (n + m - meet)),
+        k as (select o.*, (o.n > 0 and (o.pos > d.pos or d.pos in (select x from r))) as gone from o left join d on o.s = d.s)
+        select doc_id, count(*) as n_lines, cast(count_if(gone) as bigint) as n_removed,
+               case when any_value(t.text) is null then null else sha256(coalesce(string_agg(line, chr(10) order by ln) filter (not coalesce(gone, false)), '')) end as kept_sha256
+        from k join documents t using (doc_id) group by doc_id""",
 }
