@@ -1,11 +1,16 @@
 """All registered queries of the library and their SQL."""
 
-FLAGSHIP = "pending"
+from __future__ import annotations
+
+from .plans import queries_windows
+
+MODULES = (queries_windows,)
+FLAGSHIP = "neighbours_first_transition"
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

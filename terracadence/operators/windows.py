@@ -199,7 +199,8 @@ def thin_dates(df: DataFrame, keys: list[str], date: str, gap: int = 4) -> DataF
     dates = F.sort_array(F.collect_set(F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))))
     none = F.expr("cast(array() as array<int>)")
     kept = F.aggregate(dates, none, lambda a, d: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1)) + gap <= d), F.concat(a, F.array(d))).otherwise(a))
-    return df.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.date_add(F.lit("1970-01-01").cast("date"), F.explode("_k")).alias(date))
+    days = df.groupBy(*keys).agg(kept.alias("_k")).select(*keys, F.explode("_k").alias("_d"))
+    return days.select(*keys, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_d")).alias(date))
 
 
 def interpolate(points: DataFrame, grid: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
