@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_windows
+from .plans import queries_joins, queries_measures, queries_windows
 
-MODULES = (queries_windows,)
+MODULES = (queries_windows, queries_joins, queries_measures)
 FLAGSHIP = "neighbours_first_transition"
 
 

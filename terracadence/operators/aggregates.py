@@ -180,11 +180,11 @@ def score_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"), F.sum(F.pow(F.col(score) - F.col(label), 2)).alias("e"))
     run = running_totals(by, [F.col("s").desc()], {"tp": "p", "fp": "n"})
-    total = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), (F.sum("e") / F.sum(F.col("p") + F.col("n"))).alias("brier"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), (F.sum("e") / F.sum(F.col("p") + F.col("n"))).alias("brier"))
     run = run.crossJoin(F.broadcast(total))  # one row
     auc = F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2))
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    return run.groupBy("P", "N", "brier").agg(F.try_divide(auc, F.col("P") * F.col("N")).alias("auc"), F.try_divide(ap, F.col("P")).alias("average_precision")).select("auc", "average_precision", "brier")
+    return run.groupBy("all_p", "all_n", "brier").agg(F.try_divide(auc, F.col("all_p") * F.col("all_n")).alias("auc"), F.try_divide(ap, F.col("all_p")).alias("average_precision")).select("auc", "average_precision", "brier")
 
 
 def precision_at(df: DataFrame, label: str, score: str, fraction: float, tie: str) -> DataFrame:
