@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import queries_joins, queries_measures, queries_windows
+from .plans import queries_joins, queries_measures, queries_plans, queries_windows
 
-MODULES = (queries_windows, queries_joins, queries_measures)
-FLAGSHIP = "neighbours_first_transition"
+MODULES = (queries_windows, queries_joins, queries_measures, queries_plans)
+FLAGSHIP = "event_detection"
 
 
 def queries():
