@@ -69,7 +69,8 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """F-25: NULL for a ring without area."""
     cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
     area = ring_area(ring)
-    return tuple(F.try_divide(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e, c=c: s + (e["a"][c] + e["b"][c]) * cross(e)), 6 * area) for c in ("x", "y"))
+    mean = lambda c: F.try_divide(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"][c] + e["b"][c]) * cross(e)), 6 * area)
+    return mean("x"), mean("y")
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
