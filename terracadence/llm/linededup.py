@@ -12,7 +12,7 @@ COUNT_CELLS, FILTER_CELLS = 4_096, 1 << 20
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,19 +41,34 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     """Distinct word sets: k1, k2 (128-bit key), n, prefix (the rarest tokens), bits (parity bitmap), doc and ln of the first line.
 
     A token is one integer whose order is rarity: class of the word's frequency cell, longer words first, then hash.
-    Each token flips one of 64 bits, so two bitmaps differ in at most as many bits as the sets differ in tokens.
+    Each token flips one of 64 bits, and one of 256 in sets of more than WIDE_FROM tokens, so two bitmaps differ in at
+    most as many bits as the sets differ in tokens.
     """
-    classes = F.lit(_classes(counts))
-    hashed = F.transform(words(F.col("line")), lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("l")))
-    token = lambda x: (
-        F.shiftleft(F.element_at(classes, F.pmod(x["h"], F.lit(COUNT_CELLS)).cast("int") + 1).cast("long"), 57)
-        .bitwiseOR(F.shiftleft((31 - F.least(x["l"], F.lit(31))).cast("long"), 52))
-        .bitwiseOR(F.shiftrightunsigned(x["h"], 12))
+    classes = F.lit(_classes(counts)).cast("array<bigint>")
+    token = lambda w: (
+        F.shiftleft(F.get(classes, F.pmod(F.xxhash64(w), F.lit(COUNT_CELLS)).cast("int")), 57)
+        .bitwiseOR(F.shiftleft((31 - F.least(F.length(w), F.lit(31))).cast("long"), 52))
+        .bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
     )
-    rows = lines.select("doc", "ln", F.array_sort(F.array_distinct(F.transform(hashed, token))).alias("tokens")).withColumn("n", F.size("tokens"))
+    rows = lines.select("doc", "ln", F.array_sort(F.array_distinct(F.transform(words(F.col("line")), token))).alias("tokens")).withColumn("n", F.size("tokens"))
     keep = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    return rows.select("doc", "ln", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), F.slice("tokens", F.lit(1), keep).alias("prefix"), bits.alias("bits"))
+    none = F.lit(0).cast("long")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+    bits = {"bits": F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))}
+    part = lambda k: F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(192) == 64 * k, a.bitwiseXOR(bit(t))).otherwise(a))
+    bits |= {f"bits_{k}": F.when(F.col("n") > WIDE_FROM, part(k)).otherwise(none) for k in range(4)}
+    return rows.select("doc", "ln", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), F.slice("tokens", F.lit(1), keep).alias("prefix"), *[c.alias(k) for k, c in bits.items()])
+
+
+#: Sets of more tokens than this also have the wider bitmap.
+WIDE_FROM = 40
+BITS = ("bits", "bits_0", "bits_1", "bits_2", "bits_3")
+
+
+def _apart() -> Column:
+    """Bits in which the bitmaps of a pair differ: never more than the tokens in which the sets do."""
+    differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in BITS]
+    return F.when((F.col("n") > WIDE_FROM) & (F.col("n2") > WIDE_FROM), differ[1] + differ[2] + differ[3] + differ[4]).otherwise(differ[0])
 
 
 def _may_match(percent: int) -> Column:
@@ -63,16 +78,11 @@ def _may_match(percent: int) -> Column:
     # tokens before the shared one are lost to at least one side's rest
     rest = F.least(n - F.col("pos"), m - F.col("pos2")) + F.least("pos", "pos2")
     position = (100 + percent) * rest >= percent * (n + m)
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
+    apart = _apart()
     bitmap = 100 * (n + m - apart) >= percent * (n + m + apart)
     return length & position & bitmap
 
 
-def _order() -> Column:
-    """Reading order as one number, so that minima combine on the map side."""
-    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("ln")).cast("decimal(38,0)")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The line of each pair (doc, ln, doc2, ln2) whose words have Jaccard similarity of percent or more, read again from the texts."""
     ends = pairs.select("doc", "ln").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("ln2").alias("ln"))).distinct()
@@ -90,44 +100,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc, ln) of every line that has an earlier line (smaller id, then earlier in the text) of Jaccard similarity percent or more.
 
-    1. Lines become token sets ordered by rarity; equal sets keep their first line, the others are repeats.
-    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; a semi-join marks the sets
-       that may have a partner at all, so no pair leaves it.
-    3. Among those, a token's postings stand in reading order and each looks at the first one and at the three before
-       it. The nearest is verified on the words themselves, which settles all but a few lines of a group of variants.
-    4. Lines still open meet all earlier ones of their prefix tokens and are verified with every partner left.
+    1. Lines become token sets ordered by rarity; of equal sets the first line stands for all.
+    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; a semi-join keeps the sets
+       that may have an earlier partner, so no pair leaves it.
+    3. Of the postings of their tokens, in reading order, each looks at the first one and at the three before it. The
+       nearest is verified on the words themselves, which settles all but a few lines of a group of variants.
+    4. Sets still open meet all earlier ones of their prefix tokens and are verified with every partner left.
+    5. A line goes if it is not the first of its set, or if its set goes.
     """
-    lines = _lines(docs, id_col, text_col)
-    sets = staged(token_sets(lines, word_counts(docs, text_col), percent))
-    first = sets.groupBy("k1", "k2").agg(F.min(_order()).alias("first"))
-    key = ["k1", "k2"]
-    marked = staged(sets.withColumn("order", _order()).select("doc", "ln", "order", *key).join(first, key).select("doc", "ln", *key, "order", "first"))
-    distinct = sets.join(marked.where("order = first").select("doc", "ln"), ["doc", "ln"], "left_semi")
-    postings = distinct.where("n >= 4").select("doc", "ln", "n", "bits", F.posexplode("prefix").alias("pos", "token"))  # smaller sets match equal ones only
-    other = postings.toDF(*[f"{c}2" for c in postings.columns])
-    apart = (F.col("doc") != F.col("doc2")) | (F.col("ln") != F.col("ln2"))
-    likely = staged(postings.join(other, (F.col("token") == F.col("token2")) & apart & _may_match(percent), "left_semi").select("doc", "ln").distinct())
-    near = staged(postings.join(likely, ["doc", "ln"], "left_semi"))
-
-    at = Window.partitionBy("token").orderBy("doc", "ln")
-    own = F.struct("doc", "ln", "n", "pos", "bits")
-    seen = near.withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in (1, 2, 3)]))
-    tried = seen.select("doc", "ln", "n", "pos", "bits", F.explode("seen").alias("s")).select("doc", "ln", "n", "pos", "bits", *[F.col(f"s.{c}").alias(f"{c}2") for c in ("doc", "ln", "n", "pos", "bits")])
+    key, line = ["k1", "k2"], ["doc", "ln"]
+    sets = staged(token_sets(_lines(docs, id_col, text_col), word_counts(docs, text_col), percent))
+    first = sets.groupBy(*key).agg(F.min(F.struct("doc", "ln", "n", *BITS, "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    distinct = staged(first.select(*key, "copies", "f.*"))
+    listed = distinct.where("n >= 4").select("doc", "ln", "n", *BITS, "prefix")  # smaller sets match equal ones only
+    postings = listed.select("doc", "ln", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
+    older = postings.toDF(*[f"{c}2" for c in postings.columns])
     earlier = (F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("ln2") < F.col("ln")))
-    tried = tried.where(earlier & _may_match(percent))
-    apart_bits = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
-    best = tried.groupBy("doc", "ln").agg(F.min(F.struct(apart_bits.alias("a"), "doc2", "ln2")).alias("b")).select("doc", "ln", "b.doc2", "b.ln2")
-    best = staged(best)
+    meet = (F.col("token") == F.col("token2")) & earlier & _may_match(percent)
+    likely = staged(postings.join(older, meet, "left_semi").select("doc", "ln", "token"))
+    # the sets that hold one of their tokens: they themselves and all that can be their partners
+    tokens = likely.select("token").distinct()
+    near = staged(postings.join(tokens, "token", "left_semi"))
+
+    at = Window.partitionBy("token").orderBy(*line)
+    kept = ["doc", "ln", "n", "pos", *BITS]
+    own = F.struct(*kept)
+    seen = near.withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in (1, 2, 3)]))
+    tried = seen.select(*kept, F.explode("seen").alias("s")).select(*kept, *[F.col(f"s.{c}").alias(f"{c}2") for c in kept]).where(earlier & _may_match(percent))
+    best = tried.groupBy(*line).agg(F.min(F.struct(_apart().alias("a"), "doc2", "ln2")).alias("b"))
+    best = staged(best.select(*line, "b.doc2", "b.ln2"))
     settled = staged(_verified(best, docs, id_col, text_col, percent))
 
-    open_ = near.join(settled, ["doc", "ln"], "left_anti")
-    older = near.toDF(*[f"{c}2" for c in near.columns])
-    pairs = open_.join(older, (F.col("token") == F.col("token2")) & earlier & _may_match(percent)).select("doc", "ln", "doc2", "ln2").distinct()
-    pairs = staged(pairs.join(best, ["doc", "ln", "doc2", "ln2"], "left_anti"))
-    late = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, docs, id_col, text_col, percent))
-    # a set that goes takes its later equals along
-    gone = marked.join(late, ["doc", "ln"], "left_semi").select("doc", "ln")
-    return marked.where("order > first").select("doc", "ln").unionByName(gone).distinct()
+    open_ = near.join(likely.select(*line).distinct(), line, "left_semi").join(settled, line, "left_anti")
+    old = near.toDF(*[f"{c}2" for c in near.columns])
+    pairs = open_.join(old, meet).select(*line, "doc2", "ln2").distinct()
+    pairs = staged(pairs.join(best, [*line, "doc2", "ln2"], "left_anti"))
+    gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, docs, id_col, text_col, percent)).distinct()
+    fate = distinct.select(*key, "copies", "doc", "ln").join(gone.withColumn("goes", F.lit(True)), line, "left").where("copies > 1 or goes")
+    fate = fate.select(*key, F.col("doc").alias("first_doc"), F.col("ln").alias("first_ln"), "goes")
+    lost = sets.select(*line, *key).join(fate, key)
+    return lost.where(F.coalesce("goes", F.lit(False)) | (F.col("doc") != F.col("first_doc")) | (F.col("ln") != F.col("first_ln"))).select(*line).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns id, n_shingles, component_id and kept. Texts without words (null, empty) have empty sets and link with
     nothing. Rows with a null id link with nothing and are kept, with a null component. Rows that repeat an id count
-    as one document if their sets are equal, and as linked otherwise. Empty input gives no rows.
+    as one document if their sets are equal; otherwise each set is classed by itself. Empty input gives no rows.
     """
     k, share = bands * rows, percent / 100
     low = share - MARGIN
