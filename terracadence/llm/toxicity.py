@@ -21,7 +21,7 @@ CATEGORIES: dict[str, frozenset[str]] = {
     "threat": frozenset("kill hurt destroy die hang burn".split()),
 }
 CHAIN = (*CATEGORIES, "toxic")
-MAX_TRAINING_ROWS, WORD_BITS, KEPT_FEATURES, FOLDS = 8_000, 18, 256, 5
+MAX_TRAINING_ROWS, WORD_BITS, KEPT_FEATURES, FOLDS, RIDGE = 8_000, 18, 256, 5, 0.1
 
 
 @dataclass
@@ -65,7 +65,7 @@ def _fit_link(rows: list[np.ndarray], y: np.ndarray, before: np.ndarray, size: i
     x[:, len(words) : -1], x[:, -1] = before, 1
     w = np.zeros(x.shape[1])
     w[-1] = np.log(pos / (n - pos))
-    ridge = np.full(len(w), 0.5)
+    ridge = np.full(len(w), RIDGE)
     ridge[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
