@@ -9,6 +9,8 @@ from .common import SPACE, staged, text_of
 
 #: Cells of the word frequency table, and of the filters over keys. Both bound what a task gets, whatever the input.
 COUNT_CELLS, FILTER_CELLS = 4_096, 1 << 20
+#: Words of the parity bitmap; sets of more tokens than WIDE_FROM use all of them.
+BITS, WIDE_FROM = ("bits_0", "bits_1", "bits_2", "bits_3"), 40
 
 
 def words(line: Column) -> Column:
@@ -54,35 +56,40 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     keep = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
     none = F.lit(0).cast("long")
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    bits = {"bits": F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))}
     part = lambda k: F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(192) == 64 * k, a.bitwiseXOR(bit(t))).otherwise(a))
-    bits |= {f"bits_{k}": F.when(F.col("n") > WIDE_FROM, part(k)).otherwise(none) for k in range(4)}
-    return rows.select("doc", "ln", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), F.slice("tokens", F.lit(1), keep).alias("prefix"), *[c.alias(k) for k, c in bits.items()])
+    folded = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
+    wide = F.col("n") > WIDE_FROM
+    bits = {b: F.when(wide, part(k)).otherwise(none if k else folded) for k, b in enumerate(BITS)}
+    # a shorter hash is enough to meet by; the words decide later
+    prefix = F.transform(F.slice("tokens", F.lit(1), keep), lambda t: F.hash(t))
+    return rows.select("doc", "ln", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), prefix.alias("prefix"), *[c.alias(k) for k, c in bits.items()])
 
 
-#: Sets of more tokens than this also have the wider bitmap.
-WIDE_FROM = 40
-BITS = ("bits", "bits_0", "bits_1", "bits_2", "bits_3")
+def _apart(a: str, b: str) -> Column:
+    """Bits in which the bitmaps of a pair differ: never more than the tokens in which the sets do. The four words of a wide bitmap fold into the narrow one."""
+    differ = [F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")) for w in BITS]
+    wide = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    folded = differ[0].bitwiseXOR(differ[1]).bitwiseXOR(differ[2]).bitwiseXOR(differ[3])
+    return F.when((F.col(f"{a}.n") > WIDE_FROM) & (F.col(f"{b}.n") > WIDE_FROM), wide).otherwise(F.bit_count(folded))
 
 
-def _apart() -> Column:
-    """Bits in which the bitmaps of a pair differ: never more than the tokens in which the sets do."""
-    differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in BITS]
-    return F.when((F.col("n") > WIDE_FROM) & (F.col("n2") > WIDE_FROM), differ[1] + differ[2] + differ[3] + differ[4]).otherwise(differ[0])
-
-
-def _may_match(percent: int) -> Column:
-    """Length, position and bitmap filters on a pair of postings (n, pos, bits) and (n2, pos2, bits2)."""
-    n, m = F.col("n"), F.col("n2")
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Length, position and bitmap filters on a pair of postings (n, pos, bits)."""
+    n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     # tokens before the shared one are lost to at least one side's rest
-    rest = F.least(n - F.col("pos"), m - F.col("pos2")) + F.least("pos", "pos2")
+    rest = F.least(n - i, m - j) + F.least(i, j)
     position = (100 + percent) * rest >= percent * (n + m)
-    apart = _apart()
+    apart = _apart(a, b)
     bitmap = 100 * (n + m - apart) >= percent * (n + m + apart)
     return length & position & bitmap
 
 
+def _earlier(a: str, b: str) -> Column:
+    """b stands before a."""
+    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.ln") < F.col(f"{a}.ln")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The line of each pair (doc, ln, doc2, ln2) whose words have Jaccard similarity of percent or more, read again from the texts."""
     ends = pairs.select("doc", "ln").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("ln2").alias("ln"))).distinct()
@@ -101,10 +108,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, ln) of every line that has an earlier line (smaller id, then earlier in the text) of Jaccard similarity percent or more.
 
     1. Lines become token sets ordered by rarity; of equal sets the first line stands for all.
-    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; a semi-join keeps the sets
-       that may have an earlier partner, so no pair leaves it.
-    3. Of the postings of their tokens, in reading order, each looks at the first one and at the three before it. The
-       nearest is verified on the words themselves, which settles all but a few lines of a group of variants.
+    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; semi-joins keep the sets that
+       may have an earlier partner, or a later one, so no pair leaves them.
+    3. Among those, a token's postings stand in reading order and each looks at the first one and at the three before
+       it. The nearest is verified on the words themselves, which settles all but a few lines of a group of variants.
     4. Sets still open meet all earlier ones of their prefix tokens and are verified with every partner left.
     5. A line goes if it is not the first of its set, or if its set goes.
     """
@@ -114,26 +121,24 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = staged(first.select(*key, "copies", "f.*"))
     listed = distinct.where("n >= 4").select("doc", "ln", "n", *BITS, "prefix")  # smaller sets match equal ones only
     postings = listed.select("doc", "ln", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
-    older = postings.toDF(*[f"{c}2" for c in postings.columns])
-    earlier = (F.col("doc2") < F.col("doc")) | ((F.col("doc2") == F.col("doc")) & (F.col("ln2") < F.col("ln")))
-    meet = (F.col("token") == F.col("token2")) & earlier & _may_match(percent)
-    likely = staged(postings.join(older, meet, "left_semi").select("doc", "ln", "token"))
-    # the sets that hold one of their tokens: they themselves and all that can be their partners
-    tokens = likely.select("token").distinct()
-    near = staged(postings.join(tokens, "token", "left_semi"))
+    # both sides are the same rows under the same names, so they are dealt out once
+    a, b = postings.alias("a"), postings.alias("b")
+    meets = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b", percent)
+    later = a.join(b, meets & _earlier("a", "b"), "left_semi").select("doc", "ln", F.lit(True).alias("open"))
+    older = a.join(b, meets & _earlier("b", "a"), "left_semi").select("doc", "ln", F.lit(False).alias("open"))
+    likely = staged(later.unionByName(older).groupBy(*line).agg(F.bool_or("open").alias("open")))
+    near = listed.join(likely, line).select(*line, "n", *BITS, "open", F.posexplode("prefix").alias("pos", "token"))
 
     at = Window.partitionBy("token").orderBy(*line)
-    kept = ["doc", "ln", "n", "pos", *BITS]
-    own = F.struct(*kept)
-    seen = near.withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in (1, 2, 3)]))
-    tried = seen.select(*kept, F.explode("seen").alias("s")).select(*kept, *[F.col(f"s.{c}").alias(f"{c}2") for c in kept]).where(earlier & _may_match(percent))
-    best = tried.groupBy(*line).agg(F.min(F.struct(_apart().alias("a"), "doc2", "ln2")).alias("b"))
-    best = staged(best.select(*line, "b.doc2", "b.ln2"))
+    own = F.struct(*line, "n", "pos", *BITS)
+    seen = near.withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in (1, 2, 3)])).where("open")
+    tried = seen.select(own.alias("a"), F.explode("seen").alias("b")).where(_earlier("a", "b") & _may_match("a", "b", percent))
+    best = tried.groupBy("a.doc", "a.ln").agg(F.min(F.struct(_apart("a", "b").alias("k"), F.col("b.doc").alias("doc2"), F.col("b.ln").alias("ln2"))).alias("m"))
+    best = staged(best.select(*line, "m.doc2", "m.ln2"))
     settled = staged(_verified(best, docs, id_col, text_col, percent))
 
-    open_ = near.join(likely.select(*line).distinct(), line, "left_semi").join(settled, line, "left_anti")
-    old = near.toDF(*[f"{c}2" for c in near.columns])
-    pairs = open_.join(old, meet).select(*line, "doc2", "ln2").distinct()
+    open_ = near.where("open").join(settled, line, "left_anti")
+    pairs = open_.alias("a").join(near.alias("b"), meets & _earlier("a", "b")).select("a.doc", "a.ln", F.col("b.doc").alias("doc2"), F.col("b.ln").alias("ln2")).distinct()
     pairs = staged(pairs.join(best, [*line, "doc2", "ln2"], "left_anti"))
     gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, docs, id_col, text_col, percent)).distinct()
     fate = distinct.select(*key, "copies", "doc", "ln").join(gone.withColumn("goes", F.lit(True)), line, "left").where("copies > 1 or goes")
