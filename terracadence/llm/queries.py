@@ -61,7 +61,40 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op7_line_setjoin, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
 
+def _secrets_sql() -> str:
+    """The scan in SQL: places from the lengths of gaps and matches, links from a join of intervals."""
+    quote = lambda x: x.replace("'", "''")
+    found = " union all ".join(
+        f"select doc_id, '{kind}' as kind, {secrets.ORDER[kind]} as ord, string_split_regex(t, '{quote(pattern)}') as gaps, regexp_extract_all(t, '{quote(pattern)}', 0) as hits, regexp_extract_all(t, '{quote(pattern)}', {group}) as vals, {least} as least from d"
+        for kind, pattern, group, least in secrets.BASE + secrets.WEAK
+    )
+    role = "case " + " ".join(f"when kind = '{k}' then '{r}'" for k, r in secrets.ROLE.items()) + " end"
+    n_base, reach = len(secrets.BASE), secrets.REACH
+    return f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        f as ({found}),
+        u as (select doc_id, kind, ord, gaps, hits, vals, least, unnest(generate_series(1, len(hits))) as i from f where len(hits) > 0),
+        s as (
+            select doc_id, kind, ord, vals[i] as val, least, list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) as start, len(hits[i]) as n from u
+        ), p as (
+            select doc_id, kind, ord, start, start + n as stop, {role} as role from s
+            where len(val) >= least and (kind <> 'bare_secret' or (regexp_matches(val, '[0-9]') and regexp_matches(val, '[a-z]') and regexp_matches(val, '[A-Z]')))
+        ), w as (
+            select a.doc_id, a.kind, a.ord, a.start, a.stop, a.role, bool_or(b.role = 'id') as has_id, bool_or(b.role = 'secret') as has_secret, bool_or(b.ord < {n_base} and b.start < a.stop and b.stop > a.start) as covered
+            from p a join p b on a.doc_id = b.doc_id and a.ord >= {n_base} and b.start <= a.stop + {reach} and b.stop >= a.start - {reach} group by all
+        ), k as (
+            select doc_id, kind, ord, start, stop from p where ord < {n_base} union all
+            select doc_id, kind, ord, start, stop from w where not covered and case role when 'id' then has_secret when 'secret' then has_id else has_id and has_secret end
+        ), g as (
+            select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+                   string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) filter (ord < {n_base}) as base, string_agg(kind || ':' || start || ':' || stop, ',' order by start, ord) as spans
+            from k group by doc_id
+        )
+        select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
 SQL = {
+    "op2_credential_links": _secrets_sql(),
     "op3_block_topk": """
         with v as (
             select vec_id, list_transform(min(embedding), lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
