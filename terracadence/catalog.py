@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_joins, queries_measures, queries_plans, queries_windows
+from .plans import queries_joins, queries_measures, queries_more, queries_plans, queries_windows
 
-MODULES = (queries_windows, queries_joins, queries_measures, queries_plans)
+MODULES = (queries_windows, queries_joins, queries_measures, queries_plans, queries_more)
 FLAGSHIP = "event_detection"
 
 
