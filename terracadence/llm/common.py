@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.staging import staged
+
+__all__ = ["SPACE", "WORD", "read", "small", "staged", "text_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,14 +25,6 @@ def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="terracadence-"))
-    return df.checkpoint()
-
-
 def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Mark for broadcast only if the counted rows stay within the bound; otherwise leave the join to the planner's shuffle."""
     return F.broadcast(df) if rows <= bound else df
