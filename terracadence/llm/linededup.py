@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, staged, text_of
 
 #: Cells of the word frequency table, and of the filters over keys. Both bound what a task gets, whatever the input.
-COUNT_CELLS, FILTER_CELLS = 4_096, 1 << 20
+COUNT_CELLS, FILTER_CELLS = 1 << 18, 1 << 20
 #: Words of the parity bitmap; sets of more tokens than WIDE_FROM use all of them.
 BITS, WIDE_FROM = ("bits_0", "bits_1", "bits_2", "bits_3"), 40
 
@@ -26,17 +28,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def word_counts(docs: DataFrame, text_col: str) -> list[int]:
     """Occurrences of all words by cell of their hash."""
     all_words = docs.select(F.explode(F.split(text_of(text_col), SPACE)).alias("w"))
-    counted = all_words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNT_CELLS)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    counted = all_words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNT_CELLS)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # COUNT_CELLS rows
     out = [0] * COUNT_CELLS
-    for r in counted.collect():  # COUNT_CELLS rows
-        out[r.c] = r.n
+    for c, n in zip(counted["c"].to_pylist(), counted["n"].to_pylist(), strict=True):
+        out[c] = n
     return out
 
 
-def _classes(counts: list[int]) -> list[int]:
-    """Cells in 32 classes of rarity: how far the count lies above the usual one, in steps of an eighth."""
+def _classes(counts: list[int]) -> bytes:
+    """A byte per cell: 31 classes of rarity, half a power of two each, above half the usual count."""
     usual = max(1, sorted(counts)[len(counts) // 2])
-    return [min(31, max(0, (8 * c) // usual - 8)) for c in counts]
+    return bytes(min(30, max(0, int(2 * math.log2(max(1, c) / usual) + 2))) for c in counts)
 
 
 def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
@@ -46,9 +48,9 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     Each token flips one of 64 bits, and one of 256 in sets of more than WIDE_FROM tokens, so two bitmaps differ in at
     most as many bits as the sets differ in tokens.
     """
-    classes = F.lit(_classes(counts)).cast("array<bigint>")
+    classes = F.lit(_classes(counts))
     token = lambda w: (
-        F.shiftleft(F.get(classes, F.pmod(F.xxhash64(w), F.lit(COUNT_CELLS)).cast("int")), 57)
+        F.shiftleft(F.ascii(F.substring(classes, F.pmod(F.xxhash64(w), F.lit(COUNT_CELLS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 57)
         .bitwiseOR(F.shiftleft((31 - F.least(F.length(w), F.lit(31))).cast("long"), 52))
         .bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
     )
