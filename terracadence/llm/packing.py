@@ -18,11 +18,14 @@ CACHE_WORDS = 300_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """Text -> packed little-endian uint32 ids, as the tokenizers file at path gives them without special tokens.
+def encoder(path: str, added: bool = False):
+    """Text -> packed little-endian uint32 ids, as the tokenizers file at path gives them with add_special_tokens=False.
 
     The file's byte-level vocabulary is also its merge order, so the faster tiktoken reads the same table. Text is
-    cut before each single space, where the file's own splitting rule always cuts, and ids are kept by word.
+    cut before each single space and ids are kept by word. A cut can part only a token that holds a space after its
+    first byte (here runs of space and U+00A0), so texts in which such a token is spelled go whole through the file.
+    added: so do texts that spell one of the file's added tokens, which then get its id as Tokenizer.encode gives it;
+    otherwise they get the ids of its characters (encode_special_tokens).
     """
     import public_tokenizers
     import tiktoken
@@ -35,12 +38,21 @@ def encoder(path: str):
     ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     kept: dict[str, bytes] = {}
+    tokenizer.encode_special_tokens = not added
+    # bytes of a character that a token cuts off are left out of what is looked for
+    spaced = {t.decode(errors="ignore") for t in ranks if b" " in t[1:]} | (special if added else set())
+    whole = [x for x in spaced if not any(y in x for y in spaced - {x})]
 
-    def pack(text: str) -> bytes:
-        ids = plain(text)
+    def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def pack(text: str) -> bytes:
+        return packed(plain(text))
+
     def encode(text: str) -> bytes:
+        for x in whole:
+            if x in text:
+                return packed(tokenizer.encode(text, add_special_tokens=False).ids)
         if "  " in text or not text:
             return pack(text)
         first, *words = text.split(" ")
@@ -149,6 +161,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     the partition in their upper bits, so a task that is run again gives the same ids.
 
     Returns a row per piece: id, start, length, ids (binary, little-endian uint32), doc_tokens, sequence_id, offset.
+    Ids are those of Tokenizer.encode(text, add_special_tokens=False), so a text that spells an added token has its id.
     Null and empty texts are the end id alone; ids may be null or repeat (each row is a document); no rows give none.
     """
     if capacity & (capacity - 1):
@@ -156,7 +169,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), Packer(capacity, pool_tokens)
+        encode, packer = encoder(path, added=True), Packer(capacity, pool_tokens)
         base, rows, size, made = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -359,6 +359,25 @@ def test_encoder_of_odd_spaces():
         assert list(np.frombuffer(encode(x), "<u4")) == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_ids_are_the_default_tokenizers(spark):
+    """Texts that spell tokens with an inner space, or an added token, against the file as it stands."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, rnd = Tokenizer.from_file(path), random.Random(5)
+    texts = ["a \u00a0 \u00a0 b", "\u00a0 \u00a0 \u00a0", "oui\u00a0! non \u00a0", "a <|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endoftext| >", "x  <|endoftext|> \u00a0 \u00a0"]
+    texts += ["".join(rnd.choice(["a", " ", "\u00a0", " \u00a0", "!", "\n"]) for _ in range(12)) for _ in range(300)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += struct.unpack(f"<{r.length}I", r.ids)
+        assert r.doc_tokens == len(t.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
+    for k, x in enumerate(texts):
+        assert got[k] == [*t.encode(x, add_special_tokens=False).ids, 0], x
+
+
 def test_best_fill_is_best():
     rnd = random.Random(6)
     for _ in range(200):
