@@ -78,11 +78,14 @@ def _paths(doc: np.ndarray, loc: np.ndarray, length: np.ndarray, odoc: np.ndarra
     return doc[starts], loc[starts], np.add.reduceat(length, starts), odoc[starts], oloc[starts]
 
 
-def _later(h: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort edges by hash and place; returns the order, and for each position in it the position of the first of its hash."""
+def _later(h: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges by hash and place, each place once (rows that repeat id and text bring it again); which are the first of their hash, and for each the position of that one."""
     order = np.lexsort((loc, doc, h))
-    fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    return order, fresh, np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    h, doc, loc = h[order], doc[order], loc[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    once = fresh | np.concatenate([[True], (doc[1:] != doc[:-1]) | (loc[1:] != loc[:-1])])
+    h, doc, loc, fresh = h[once], doc[once], loc[once], fresh[once]
+    return h, doc, loc, fresh, np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
 
 
 def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -97,8 +100,7 @@ def edges(docs: DataFrame, width: int, bitmap) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, doc, loc = (np.concatenate(x) for x in zip(*got, strict=True))
-            order, fresh, first = _later(h, doc, loc)
-            h, doc, loc = h[order], doc[order], loc[order]
+            h, doc, loc, fresh, first = _later(h, doc, loc)
             zero = np.zeros(int(fresh.sum()), np.int64)
             for at in range(0, len(zero), 200_000):
                 s = slice(at, at + 200_000)
@@ -135,11 +137,10 @@ def later_edges(rows: DataFrame) -> DataFrame:
 
         def settle(h: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(h):
-                order, fresh, first = _later(h, doc, loc)
+                h, doc, loc, fresh, first = _later(h, doc, loc)
                 rest = ~fresh
-                doc, loc = doc[order], loc[order]
                 if rest.any():
-                    yield _batch([h[order][rest], doc[rest], loc[rest], np.ones(int(rest.sum()), np.int64), doc[first][rest], loc[first][rest]])
+                    yield _batch([h[rest], doc[rest], loc[rest], np.ones(int(rest.sum()), np.int64), doc[first][rest], loc[first][rest]])
 
         for b in batches:
             cols = [c.to_numpy() for c in b.columns]

@@ -490,6 +490,18 @@ def test_repeats_with_null_ids(spark):
     assert out == [(7, 0), (8, 40), (8, 40), (None, 0)]
 
 
+@pytest.mark.parametrize("chunk", [2_000_000, 30])
+def test_equal_rows_are_one_document(spark, monkeypatch, chunk):
+    """Two equal rows with no earlier copy, one of them with a repeat inside; chunk 30 sends the rows of a pair in different chunks."""
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    t, inner = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k % 30}" for k in range(60))
+    df = spark.createDataFrame([(8, t), (8, t), (9, inner), (9, inner), (10, t), (10, t)], "doc_id long, text string").coalesce(1)
+    out = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect())
+    want = plain_repeats([(8, t), (9, inner), (10, t)], 20)
+    assert want[8][1] == 0 and want[9][1] > 0 and want[10][1] == 40
+    assert out == [(i, *want[i][:2]) for i in (8, 8, 9, 9, 10, 10)]
+
+
 def test_window_hashes_follow_the_words():
     rnd = random.Random(1)
     w = [rnd.choice([b"a", b"b", b"c"]) for _ in range(400)]
