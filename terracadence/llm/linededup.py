@@ -121,7 +121,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = staged(token_sets(_lines(docs, id_col, text_col), word_counts(docs, text_col), percent))
     first = sets.groupBy(*key).agg(F.min(F.struct("doc", "ln", "n", *BITS, "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     distinct = staged(first.select(*key, "copies", "f.*"))
-    listed = distinct.where("n >= 4").select("doc", "ln", "n", *BITS, "prefix")  # smaller sets match equal ones only
+    listed = distinct.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "ln", "n", *BITS, "prefix")  # smaller sets match equal ones only
     postings = listed.select("doc", "ln", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
     # both sides are the same rows under the same names, so they are dealt out once
     a, b = postings.alias("a"), postings.alias("b")

@@ -317,6 +317,14 @@ def test_variants_of_a_line(spark):
     assert {r.doc_id: r.n_removed for r in out if r.doc_id is not None} == {d: len(gone.get(d, ())) for d in range(120)}
 
 
+@pytest.mark.parametrize(("percent", "want"), [(80, [0, 0, 0, 0]), (75, [0, 1, 0, 0]), (66, [0, 1, 0, 1])])
+def test_small_sets_match_at_lower_percent(spark, percent, want):
+    """Three of four words are alike by 0.75, two of three by 0.66."""
+    df = spark.createDataFrame(list(enumerate(["a b c d", "a b c", "p q r", "p q"])), "doc_id long, text string")
+    out = linededup.dedup_lines(df, percent=percent)
+    assert [r.n_removed for r in out.orderBy("doc_id").collect()] == want
+
+
 # --- packing
 
 
