@@ -11,161 +11,225 @@ from .common import SPACE, staged, text_of
 
 #: Cells of the word frequency table, and of the filters over keys. Both bound what a task gets, whatever the input.
 COUNT_CELLS, FILTER_CELLS = 1 << 18, 1 << 20
-#: Words of the parity bitmap; sets of more tokens than WIDE_FROM use all of them.
-BITS, WIDE_FROM = ("bits_0", "bits_1", "bits_2", "bits_3"), 40
+#: Bits of the filter over prefix keys, in words of 64 (2^20 rows at most).
+KEY_BITS = 26
+#: Postings of one key that a window looks at together, and earlier ones that each looks at.
+GROUP_ROWS, LOOK_BACK = 2_048, 3
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+def words(text: Column) -> Column:
+    """The words of a line. A line without the rarer white space is cut at single spaces, which needs no pattern."""
+    odd = F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(space))
+    return F.array_remove(F.when(odd, F.split(text, SPACE)).otherwise(F.split(text, " ")), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, ln, line) of the lines that hold a word."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("ln", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, text): the tag, 31 bits of the text's hash, tells apart rows that repeat an id with another text."""
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text).bitwiseAND(0x7FFFFFFF).cast("long").alias("tag"), text.alias("text"))
 
 
-def word_counts(docs: DataFrame, text_col: str) -> list[int]:
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, loc, line) of the lines that hold a word; loc is the tag and, in its lower 32 bits, the number of the line."""
+    rows = docs.where("doc is not null").select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select("doc", F.shiftleft("tag", 32).bitwiseOR(F.col("ln").cast("long")).alias("loc"), "line")
+
+
+def word_counts(docs: DataFrame) -> list[int]:
     """Occurrences of all words by cell of their hash."""
-    all_words = docs.select(F.explode(F.split(text_of(text_col), SPACE)).alias("w"))
-    counted = all_words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNT_CELLS)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # COUNT_CELLS rows
+    all_words = docs.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counted = all_words.groupBy(F.xxhash64("w").bitwiseAND(COUNT_CELLS - 1).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # COUNT_CELLS rows
     out = [0] * COUNT_CELLS
     for c, n in zip(counted["c"].to_pylist(), counted["n"].to_pylist(), strict=True):
         out[c] = n
     return out
 
 
-def _classes(counts: list[int]) -> bytes:
-    """A byte per cell: 31 classes of rarity, half a power of two each, above half the usual count."""
+def _classes(counts: list[int]) -> list[int]:
+    """31 classes of rarity, half a power of two each, above half the usual count."""
     usual = max(1, sorted(counts)[len(counts) // 2])
-    return bytes(min(30, max(0, int(2 * math.log2(max(1, c) / usual) + 2))) for c in counts)
+    return [min(30, max(0, int(2 * math.log2(max(1, c) / usual) + 2))) for c in counts]
+
+
+def _spoiled(n: int, percent: int, gram: int) -> int:
+    """Prefix keys that the differences of two alike sets spoil at most, for a set of n tokens."""
+    return gram * (100 - percent) * n // 100
+
+
+def gram_of(percent: int) -> int:
+    """Tokens that make up a prefix key: two where sets of all sizes have pairs enough, else one.
+
+    Let sets of n and m tokens share o >= percent * (n + m) / (100 + percent). In order of rarity, a token that only
+    the one set has spoils two of its pairs of neighbours, a token that only the other has spoils one at most. That
+    makes 2 * (n - o) + (m - o), at most 2 * (100 - percent) * n / 100 as m >= percent * n / 100, so one pair beyond
+    that many is a pair of both sets. Single tokens: half as many.
+    """
+    sizes = [n for n in range(1, 400) if 100 * n >= percent * (n + 1)]
+    return 2 if percent >= 60 and all(_spoiled(n, percent, 2) + 1 <= n - 1 for n in sizes) else 1
 
 
 def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
-    """Distinct word sets: k1, k2 (128-bit key), n, prefix (the rarest tokens), bits (parity bitmap), doc and ln of the first line.
+    """Word sets of lines: doc, loc, n, k1, k2 (128-bit key), bits (parity bitmap) and prefix, the rarest tokens, as many as the prefix keys need.
 
-    A token is one integer whose order is rarity: class of the word's frequency cell, longer words first, then hash.
-    Each token flips one of 64 bits, and one of 256 in sets of more than WIDE_FROM tokens, so two bitmaps differ in at
-    most as many bits as the sets differ in tokens.
+    A token is one integer whose order is rarity: class of the word's frequency cell, then hash. The prefix holds 31
+    bits of each hash. Each token flips one of 128 bits, so two bitmaps differ in at most as many bits as the sets
+    differ in tokens. Words decide in the end.
+    """
+    table = F.split(F.lit(",".join(map(str, _classes(counts)))), ",").cast("array<bigint>")
+    shift = lambda x, by: F.call_function("shiftleft", x, by)
+    rarity = lambda h: shift(F.coalesce(F.get(table, h.bitwiseAND(COUNT_CELLS - 1).cast("int")), F.lit(0)), F.lit(57))
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    rows = lines.select("doc", "loc", hashes.alias("h"))
+    tokens = F.sort_array(F.transform("h", lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
+    rows = rows.select("doc", "loc", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
+    gram = gram_of(percent)
+    prefix = F.slice("tokens", F.lit(1), F.floor(gram * (100 - percent) * F.col("n") / 100).cast("int") + gram)
+    place = lambda t: t.bitwiseAND(63).cast("int")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(one, place(t))))
+    upper = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(F.shiftright(t, 6).bitwiseAND(1), place(t))))
+    return rows.select(
+        "doc", "loc", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), both.alias("folded"), upper.alias("upper"),
+        F.transform(prefix, lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
+    )
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """A row (key, pos, doc, loc, n, folded, upper) for each prefix key of a set. Sets too small for any partner but an equal one have none."""
+    large = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    if gram_of(percent) == 1:
+        keys = F.transform("prefix", lambda t: t.cast("long"))
+    else:
+        pair = lambda a, b: F.call_function("shiftleft", a.cast("long"), F.lit(32)).bitwiseOR(b.cast("long"))
+        keys = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), pair)
+    return large.select("doc", "loc", "n", "folded", "upper", F.posexplode(keys).alias("pos", "key"))
+
+
+def shared_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """The postings whose key occurs in two sets or more, with that number (m).
+
+    Keys are counted first, which combines on the map side. A bitmap of fixed size over the repeated ones keeps
+    nearly all other postings from moving; on very large inputs it fills up and more of them move, to be dropped by
+    the exact join.
     """
-    classes = F.lit(_classes(counts))
-    token = lambda w: (
-        F.shiftleft(F.ascii(F.substring(classes, F.pmod(F.xxhash64(w), F.lit(COUNT_CELLS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 57)
-        .bitwiseOR(F.shiftleft((31 - F.least(F.length(w), F.lit(31))).cast("long"), 52))
-        .bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 12))
-    )
-    rows = lines.select("doc", "ln", F.array_sort(F.array_distinct(F.transform(words(F.col("line")), token))).alias("tokens")).withColumn("n", F.size("tokens"))
-    keep = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
-    none = F.lit(0).cast("long")
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-    part = lambda k: F.aggregate("tokens", none, lambda a, t: F.when(t.bitwiseAND(192) == 64 * k, a.bitwiseXOR(bit(t))).otherwise(a))
-    folded = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(bit(t)))
-    wide = F.col("n") > WIDE_FROM
-    bits = {b: F.when(wide, part(k)).otherwise(none if k else folded) for k, b in enumerate(BITS)}
-    # a shorter hash is enough to meet by; the words decide later
-    prefix = F.transform(F.slice("tokens", F.lit(1), keep), lambda t: F.hash(t))
-    return rows.select("doc", "ln", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), prefix.alias("prefix"), *[c.alias(k) for k, c in bits.items()])
-
-
-def _apart(a: str, b: str) -> Column:
-    """Bits in which the bitmaps of a pair differ: never more than the tokens in which the sets do. The four words of a wide bitmap fold into the narrow one."""
-    differ = [F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")) for w in BITS]
-    wide = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
-    folded = differ[0].bitwiseXOR(differ[1]).bitwiseXOR(differ[2]).bitwiseXOR(differ[3])
-    return F.when((F.col(f"{a}.n") > WIDE_FROM) & (F.col(f"{b}.n") > WIDE_FROM), wide).otherwise(F.bit_count(folded))
+    postings = _postings(sets, percent)
+    repeated = staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    cell = F.shiftrightunsigned(F.xxhash64("key"), 64 - KEY_BITS)
+    word, bit = F.shiftright(cell, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))
+    bitmap = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bitmap"))
+    near = postings.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bitmap").bitwiseAND(bit) != 0)  # 2^(KEY_BITS - 6) rows at most
+    return near.drop("word", "bitmap").join(repeated, "key")
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, position and bitmap filters on a pair of postings (n, pos, bits)."""
+    """Length, position and bitmap filters on a pair of postings."""
     n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     # tokens before the shared one are lost to at least one side's rest
     rest = F.least(n - i, m - j) + F.least(i, j)
     position = (100 + percent) * rest >= percent * (n + m)
-    apart = _apart(a, b)
-    bitmap = 100 * (n + m - apart) >= percent * (n + m + apart)
-    return length & position & bitmap
+    folded, upper = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("folded", "upper"))
+    apart = F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper))
+    return length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
 def _earlier(a: str, b: str) -> Column:
     """b stands before a."""
-    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.ln") < F.col(f"{a}.ln")))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The line of each pair (doc, ln, doc2, ln2) whose words have Jaccard similarity of percent or more, read again from the texts."""
-    ends = pairs.select("doc", "ln").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("ln2").alias("ln"))).distinct()
-    cell = F.pmod(F.xxhash64("doc", "ln"), F.lit(FILTER_CELLS))
-    lines = _lines(docs, id_col, text_col).withColumn("cell", cell)
-    lines = lines.join(F.broadcast(ends.select(cell.alias("cell")).distinct()), "cell", "left_semi")  # FILTER_CELLS rows at most
-    lines = lines.select("doc", "ln", "line").join(ends, ["doc", "ln"], "left_semi")
-    first = pairs.join(lines, ["doc", "ln"])
-    both = first.join(lines.toDF("doc2", "ln2", "line2"), ["doc2", "ln2"])
+    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.loc") < F.col(f"{a}.loc")))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, loc, line) of the wanted places, read again from the texts."""
+    cell = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_CELLS))
+    near = docs.withColumn("cell", cell("doc")).join(F.broadcast(wanted.select(cell("doc").alias("cell")).distinct()), "cell", "left_semi")  # FILTER_CELLS rows at most, here and below
+    lines = _lines(near).withColumn("cell", cell("doc", "loc"))
+    lines = lines.join(F.broadcast(wanted.select(cell("doc", "loc").alias("cell")).distinct()), "cell", "left_semi")
+    return lines.select("doc", "loc", "line").join(wanted.select("doc", "loc"), ["doc", "loc"], "left_semi")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The line (doc, loc) of each pair (doc, loc, doc2, loc2) whose words, read again, have Jaccard similarity of percent or more."""
+    ends = pairs.select("doc", "loc").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("loc2").alias("loc"))).distinct()
+    lines = staged(_texts(docs, ends))
+    both = pairs.join(lines, ["doc", "loc"]).join(lines.toDF("doc2", "loc2", "line2"), ["doc2", "loc2"])
     a, b = F.array_distinct(words(F.col("line"))), F.array_distinct(words(F.col("line2")))
     meet = F.size(F.array_intersect(a, b))
-    return both.where(100 * meet >= percent * (F.size(a) + F.size(b) - meet)).select("doc", "ln").distinct()
+    return both.where(100 * meet >= percent * (F.size(a) + F.size(b) - meet)).select("doc", "loc").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """(doc, ln) of every line that has an earlier line (smaller id, then earlier in the text) of Jaccard similarity percent or more.
-
-    1. Lines become token sets ordered by rarity; of equal sets the first line stands for all.
-    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; semi-joins keep the sets that
-       may have an earlier partner, or a later one, so no pair leaves them.
-    3. Among those, a token's postings stand in reading order and each looks at the first one and at the three before
-       it. The nearest is verified on the words themselves, which settles all but a few lines of a group of variants.
-    4. Sets still open meet all earlier ones of their prefix tokens and are verified with every partner left.
+    """(doc, tag, ln) of every line that has an earlier line (smaller id, then hash of the text, then number of the line) of Jaccard similarity percent or more.
+
+    1. Lines become token sets ordered by rarity; of equal sets (128-bit key) the first line stands for all.
+    2. The prefixes of distinct sets meet by pairs of neighbouring tokens; keys of a single set drop out.
+    3. In a key's postings in reading order, each looks at the first one and at the three before it, under length,
+       position and bitmap filters. The partner met under most keys is verified on the words themselves, which settles
+       all but a few lines of a group of variants. Large groups are cut into parts for this.
+    4. Lines still open meet all earlier ones of their keys under the same filters and are verified with every partner
+       left.
     5. A line goes if it is not the first of its set, or if its set goes.
     """
-    key, line = ["k1", "k2"], ["doc", "ln"]
-    sets = staged(token_sets(_lines(docs, id_col, text_col), word_counts(docs, text_col), percent))
-    first = sets.groupBy(*key).agg(F.min(F.struct("doc", "ln", "n", *BITS, "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
-    distinct = staged(first.select(*key, "copies", "f.*"))
-    listed = distinct.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "ln", "n", *BITS, "prefix")  # smaller sets match equal ones only
-    postings = listed.select("doc", "ln", "n", *BITS, F.posexplode("prefix").alias("pos", "token"))
-    # both sides are the same rows under the same names, so they are dealt out once
-    a, b = postings.alias("a"), postings.alias("b")
-    meets = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b", percent)
-    later = a.join(b, meets & _earlier("a", "b"), "left_semi").select("doc", "ln", F.lit(True).alias("open"))
-    older = a.join(b, meets & _earlier("b", "a"), "left_semi").select("doc", "ln", F.lit(False).alias("open"))
-    likely = staged(later.unionByName(older).groupBy(*line).agg(F.bool_or("open").alias("open")))
-    near = listed.join(likely, line).select(*line, "n", *BITS, "open", F.posexplode("prefix").alias("pos", "token"))
-
-    at = Window.partitionBy("token").orderBy(*line)
-    own = F.struct(*line, "n", "pos", *BITS)
-    seen = near.withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in (1, 2, 3)])).where("open")
-    tried = seen.select(own.alias("a"), F.explode("seen").alias("b")).where(_earlier("a", "b") & _may_match("a", "b", percent))
-    best = tried.groupBy("a.doc", "a.ln").agg(F.min(F.struct(_apart("a", "b").alias("k"), F.col("b.doc").alias("doc2"), F.col("b.ln").alias("ln2"))).alias("m"))
-    best = staged(best.select(*line, "m.doc2", "m.ln2"))
-    settled = staged(_verified(best, docs, id_col, text_col, percent))
-
-    open_ = near.where("open").join(settled, line, "left_anti")
-    pairs = open_.alias("a").join(near.alias("b"), meets & _earlier("a", "b")).select("a.doc", "a.ln", F.col("b.doc").alias("doc2"), F.col("b.ln").alias("ln2")).distinct()
-    pairs = staged(pairs.join(best, [*line, "doc2", "ln2"], "left_anti"))
-    gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, docs, id_col, text_col, percent)).distinct()
-    fate = distinct.select(*key, "copies", "doc", "ln").join(gone.withColumn("goes", F.lit(True)), line, "left").where("copies > 1 or goes")
-    fate = fate.select(*key, F.col("doc").alias("first_doc"), F.col("ln").alias("first_ln"), "goes")
-    lost = sets.select(*line, *key).join(fate, key)
-    return lost.where(F.coalesce("goes", F.lit(False)) | (F.col("doc") != F.col("first_doc")) | (F.col("ln") != F.col("first_ln"))).select(*line).distinct()
+    slim = _documents(docs, id_col, text_col)
+    line = ["doc", "loc"]
+    sets = staged(token_sets(_lines(slim), word_counts(slim), percent))
+    first = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "loc", "n", "folded", "upper", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
+    distinct = staged(first.select("k1", "k2", "copies", "f.*"))
+    near = staged(shared_postings(distinct.drop("k1", "k2", "copies"), percent))
+
+    part = F.when(F.col("m") > GROUP_ROWS, F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / (GROUP_ROWS // 2)))).otherwise(0)
+    at = Window.partitionBy("key", "part").orderBy(*line)
+    own = F.struct(*line, "n", "pos", "folded", "upper")
+    seen = near.withColumn("part", part).select(own.alias("a"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, LOOK_BACK + 1)]).alias("seen"))
+    tried = seen.select("a", F.explode("seen").alias("b")).where(F.col("b").isNotNull()).where(_earlier("a", "b") & _may_match("a", "b", percent))
+    met = staged(tried.groupBy("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2")).agg(F.count(F.lit(1)).alias("keys")))
+    best = met.groupBy(*line).agg(F.max(F.struct("keys", "doc2", "loc2")).alias("m")).select(*line, "m.doc2", "m.loc2")
+    best = staged(best)
+    settled = staged(_verified(best, slim, percent))
+
+    # groups no larger than what each member looked at have been seen whole
+    large = near.where(F.col("m") > LOOK_BACK + 1)
+    meets = (F.col("a.key") == F.col("b.key")) & _earlier("a", "b") & _may_match("a", "b", percent)
+    further = large.join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets)
+    further = further.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"))
+    pairs = met.drop("keys").join(settled, line, "left_anti").unionByName(further).distinct()
+    pairs = staged(pairs.join(best, [*line, "doc2", "loc2"], "left_anti"))
+    gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, slim, percent)).distinct()
+    groups = distinct.where("copies > 1").select("k1", "k2", F.col("doc").alias("doc2"), F.col("loc").alias("loc2"))
+    again = sets.select(*line, "k1", "k2").join(groups, ["k1", "k2"]).where("doc <> doc2 or loc <> loc2").select(*line)
+    return gone.unionByName(again).distinct().select("doc", F.shiftright("loc", 32).alias("tag"), F.col("loc").bitwiseAND((1 << 32) - 1).cast("int").alias("ln"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The input with repeated lines taken out of the texts; all rows and columns stay, n_lines and n_removed follow.
 
     Lines end at a line feed and are sets of words. Lines without words stay and match nothing; so do null texts.
-    Rows with a null id come through unchanged; rows that repeat an id and a text lose the same lines. A text that
-    loses all its lines is empty.
+    Ids are integers. Rows with a null id come through unchanged; rows that repeat an id and a text lose the same
+    lines, of rows that repeat an id alone each is a document of its own. A text that loses all its lines is empty; a
+    very long one costs time in proportion. An input column named n_lines or n_removed keeps its values, and that
+    count is left out. No rows give none.
     """
-    gone = staged(repeated_lines(docs, id_col, text_col, percent).groupBy("doc").agg(F.collect_list("ln").alias("_gone")))  # bounded by the document's lines
-    cell = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_CELLS))
-    cells = F.broadcast(gone.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_CELLS)).alias("_cell")).distinct())
-    marked = docs.withColumn("_cell", cell)
-    hit = marked.join(cells, "_cell", "left_semi").drop("_cell")
-    hit = hit.join(gone, F.col(id_col).cast("long") == F.col("doc"), "left").drop("doc")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    total = F.coalesce(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")), F.lit(0)).cast("long")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    hit = hit.withColumn("n_lines", total).withColumn("n_removed", removed).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
-    rest = marked.join(cells, "_cell", "left_anti").drop("_cell").withColumn("n_lines", total).withColumn("n_removed", F.lit(0).cast("long"))
-    return hit.unionByName(rest)
+    gone = repeated_lines(docs, id_col, text_col, percent).groupBy("doc", "tag").agg(F.sort_array(F.collect_list("ln")).alias("gone"))  # bounded by the document's lines
+    gone = staged(gone.withColumnRenamed("doc", "gone_doc").withColumnRenamed("tag", "gone_tag"))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+    cells = F.broadcast(gone.select(cell("gone_doc").alias("cell")).distinct())  # FILTER_CELLS rows at most
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    rows = rows.withColumn("cell", cell("doc"))
+    tag = F.hash(F.coalesce("text", F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("long")
+    hit = rows.join(cells, "cell", "left_semi").withColumn("tag", tag)
+    hit = hit.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("tag") == F.col("gone_tag")), "left")
+    lines = F.split("text", "\n")
+    # the runs of lines between those that go
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), "gone").alias("a"), F.concat("gone", F.array(F.size(lines))).alias("b"))
+    kept = F.array_join(F.flatten(F.transform(ends, lambda x: F.slice(F.col("lines"), x["a"] + 2, x["b"] - x["a"] - 1))), "\n")
+    hit = hit.withColumn("lines", lines).withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    hit = hit.select("row", "text", F.col("kept"), removed.alias("removed"))
+    rest = rows.join(cells, "cell", "left_anti").select("row", "text", F.col("text").alias("kept"), F.lit(0).cast("long").alias("removed"))
+    total = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    counts = {"n_lines": total, "n_removed": F.col("removed")}
+    own = [F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return hit.unionByName(rest).select(*own, *[v.alias(k) for k, v in counts.items() if k not in docs.columns])
