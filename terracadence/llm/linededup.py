@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, staged, text_of
 
 #: Cells of the word frequency table, and of the filters over keys. Both bound what a task gets, whatever the input.
-COUNT_CELLS, FILTER_CELLS = 1 << 18, 1 << 20
+COUNT_CELLS, FILTER_CELLS = 1 << 16, 1 << 20
 #: Bits of the filter over prefix keys, in words of 64 (2^20 rows at most).
 KEY_BITS = 26
 #: Postings of one key that a window looks at together, and earlier ones that each looks at.
@@ -72,7 +72,7 @@ def gram_of(percent: int) -> int:
 
 
 def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
-    """Word sets of lines: doc, loc, n, k1, k2 (128-bit key), bits (parity bitmap) and prefix, the rarest tokens, as many as the prefix keys need.
+    """Word sets of lines: doc, loc, n, k1, k2 (128-bit key), parity bitmap (folded, upper) and prefix, the rarest tokens, as many as the prefix keys need.
 
     A token is one integer whose order is rarity: class of the word's frequency cell, then hash. The prefix holds 31
     bits of each hash. Each token flips one of 128 bits, so two bitmaps differ in at most as many bits as the sets
@@ -89,34 +89,40 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     prefix = F.slice("tokens", F.lit(1), F.floor(gram * (100 - percent) * F.col("n") / 100).cast("int") + gram)
     place = lambda t: t.bitwiseAND(63).cast("int")
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    both = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(one, place(t))))
+    folded = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(one, place(t))))
     upper = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(F.shiftright(t, 6).bitwiseAND(1), place(t))))
     return rows.select(
-        "doc", "loc", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), both.alias("folded"), upper.alias("upper"),
+        "doc", "loc", "n", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("k2"), folded.alias("folded"), upper.alias("upper"),
         F.transform(prefix, lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
     )
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """A row (key, pos, doc, loc, n, folded, upper) for each prefix key of a set. Sets too small for any partner but an equal one have none."""
+    """A row (key, pos, prev, doc, loc, n, folded, upper) for each prefix key of a set; prev: the token before, null for the first.
+
+    Sets too small for any partner but an equal one have none.
+    """
+    gram = gram_of(percent)
     large = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-    if gram_of(percent) == 1:
-        keys = F.transform("prefix", lambda t: t.cast("long"))
-    else:
-        pair = lambda a, b: F.call_function("shiftleft", a.cast("long"), F.lit(32)).bitwiseOR(b.cast("long"))
-        keys = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), pair)
-    return large.select("doc", "loc", "n", "folded", "upper", F.posexplode(keys).alias("pos", "key"))
+    rows = large.select("doc", "loc", "n", "folded", "upper", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.size("prefix") - gram + 1)).alias("pos", "token"))
+    key = F.col("token").cast("long")
+    if gram == 2:
+        key = F.call_function("shiftleft", key, F.lit(32)).bitwiseOR(F.get("prefix", F.col("pos") + 1).cast("long"))
+    return rows.select(key.alias("key"), "pos", F.get("prefix", F.col("pos") - 1).alias("prev"), "doc", "loc", "n", "folded", "upper")
 
 
 def shared_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """The postings whose key occurs in two sets or more, with that number (m).
+    """The postings whose key occurs in two sets or more, with that number (m). Where it is two, their lengths must allow a match.
 
     Keys are counted first, which combines on the map side. A bitmap of fixed size over the repeated ones keeps
     nearly all other postings from moving; on very large inputs it fills up and more of them move, to be dropped by
     the exact join.
     """
     postings = _postings(sets, percent)
-    repeated = staged(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    # number and sum of lengths in one integer
+    counted = postings.groupBy("key").agg(F.sum(F.lit(1 << 40) + F.col("n")).alias("s"), F.max("n").alias("most"))
+    counted = counted.select("key", F.shiftright("s", 40).alias("m"), (F.col("s").bitwiseAND((1 << 40) - 1) - F.col("most")).alias("others"), "most")
+    repeated = staged(counted.where((F.col("m") > 2) | ((F.col("m") == 2) & (100 * F.col("others") >= percent * F.col("most")))).select("key", "m"))
     cell = F.shiftrightunsigned(F.xxhash64("key"), 64 - KEY_BITS)
     word, bit = F.shiftright(cell, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))
     bitmap = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bitmap"))
@@ -124,16 +130,22 @@ def shared_postings(sets: DataFrame, percent: int) -> DataFrame:
     return near.drop("word", "bitmap").join(repeated, "key")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ: never more than the tokens in which the sets do."""
+    folded, upper = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("folded", "upper"))
+    return F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper))
+
+
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, position and bitmap filters on a pair of postings."""
+    """Length, position and bitmap filters on a pair of postings, which must open a run of keys that both sets have."""
     n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     # tokens before the shared one are lost to at least one side's rest
     rest = F.least(n - i, m - j) + F.least(i, j)
     position = (100 + percent) * rest >= percent * (n + m)
-    folded, upper = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("folded", "upper"))
-    apart = F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper))
-    return length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
+    apart = _apart(a, b)
+    opens = ~F.col(f"{a}.prev").eqNullSafe(F.col(f"{b}.prev")) | F.col(f"{a}.prev").isNull()
+    return opens & length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -166,7 +178,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Lines become token sets ordered by rarity; of equal sets (128-bit key) the first line stands for all.
     2. The prefixes of distinct sets meet by pairs of neighbouring tokens; keys of a single set drop out.
     3. In a key's postings in reading order, each looks at the first one and at the three before it, under length,
-       position and bitmap filters. The partner met under most keys is verified on the words themselves, which settles
+       position and bitmap filters. The partner whose bitmap is nearest is verified on the words themselves, which settles
        all but a few lines of a group of variants. Large groups are cut into parts for this.
     4. Lines still open meet all earlier ones of their keys under the same filters and are verified with every partner
        left.
@@ -181,11 +193,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     part = F.when(F.col("m") > GROUP_ROWS, F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / (GROUP_ROWS // 2)))).otherwise(0)
     at = Window.partitionBy("key", "part").orderBy(*line)
-    own = F.struct(*line, "n", "pos", "folded", "upper")
+    own = F.struct(*line, "n", "pos", "prev", "folded", "upper")
     seen = near.withColumn("part", part).select(own.alias("a"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, LOOK_BACK + 1)]).alias("seen"))
     tried = seen.select("a", F.explode("seen").alias("b")).where(F.col("b").isNotNull()).where(_earlier("a", "b") & _may_match("a", "b", percent))
-    met = staged(tried.groupBy("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2")).agg(F.count(F.lit(1)).alias("keys")))
-    best = met.groupBy(*line).agg(F.max(F.struct("keys", "doc2", "loc2")).alias("m")).select(*line, "m.doc2", "m.loc2")
+    met = staged(tried.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"), (-_apart("a", "b")).alias("alike")).distinct())
+    best = met.groupBy(*line).agg(F.max(F.struct("alike", "doc2", "loc2")).alias("m")).select(*line, "m.doc2", "m.loc2")
     best = staged(best)
     settled = staged(_verified(best, slim, percent))
 
@@ -194,7 +206,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     meets = (F.col("a.key") == F.col("b.key")) & _earlier("a", "b") & _may_match("a", "b", percent)
     further = large.join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets)
     further = further.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"))
-    pairs = met.drop("keys").join(settled, line, "left_anti").unionByName(further).distinct()
+    pairs = met.drop("alike").join(settled, line, "left_anti").unionByName(further).distinct()
     pairs = staged(pairs.join(best, [*line, "doc2", "loc2"], "left_anti"))
     gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, slim, percent)).distinct()
     groups = distinct.where("copies > 1").select("k1", "k2", F.col("doc").alias("doc2"), F.col("loc").alias("loc2"))
@@ -229,7 +241,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     hit = hit.select("row", "text", F.col("kept"), removed.alias("removed"))
     rest = rows.join(cells, "cell", "left_anti").select("row", "text", F.col("text").alias("kept"), F.lit(0).cast("long").alias("removed"))
-    total = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    total = (F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"))) + 1).cast("long")
     counts = {"n_lines": total, "n_removed": F.col("removed")}
     own = [F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return hit.unionByName(rest).select(*own, *[v.alias(k) for k, v in counts.items() if k not in docs.columns])
