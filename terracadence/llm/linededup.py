@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, staged, text_of
 
 #: Cells of the word frequency table, and of the filters over keys. Both bound what a task gets, whatever the input.
-COUNT_CELLS, FILTER_CELLS = 1 << 16, 1 << 20
-#: Bits of the filter over prefix keys, in words of 64 (2^20 rows at most).
-KEY_BITS = 26
+COUNT_CELLS, FILTER_CELLS = 1 << 18, 1 << 20
 #: Postings of one key that a window looks at together, and earlier ones that each looks at.
 GROUP_ROWS, LOOK_BACK = 2_048, 3
 
@@ -54,28 +52,12 @@ def _classes(counts: list[int]) -> list[int]:
     return [min(30, max(0, int(2 * math.log2(max(1, c) / usual) + 2))) for c in counts]
 
 
-def _spoiled(n: int, percent: int, gram: int) -> int:
-    """Prefix keys that the differences of two alike sets spoil at most, for a set of n tokens."""
-    return gram * (100 - percent) * n // 100
-
-
-def gram_of(percent: int) -> int:
-    """Tokens that make up a prefix key: two where sets of all sizes have pairs enough, else one.
-
-    Let sets of n and m tokens share o >= percent * (n + m) / (100 + percent). In order of rarity, a token that only
-    the one set has spoils two of its pairs of neighbours, a token that only the other has spoils one at most. That
-    makes 2 * (n - o) + (m - o), at most 2 * (100 - percent) * n / 100 as m >= percent * n / 100, so one pair beyond
-    that many is a pair of both sets. Single tokens: half as many.
-    """
-    sizes = [n for n in range(1, 400) if 100 * n >= percent * (n + 1)]
-    return 2 if percent >= 60 and all(_spoiled(n, percent, 2) + 1 <= n - 1 for n in sizes) else 1
-
-
 def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
-    """Word sets of lines: doc, loc, n, k1, k2 (128-bit key), parity bitmap (folded, upper) and prefix, the rarest tokens, as many as the prefix keys need.
+    """Word sets of lines: doc, loc, n, k1, k2 (128-bit key), parity bitmap (folded, upper) and prefix, the rarest tokens.
 
     A token is one integer whose order is rarity: class of the word's frequency cell, then hash. The prefix holds 31
-    bits of each hash. Each token flips one of 128 bits, so two bitmaps differ in at most as many bits as the sets
+    bits of each hash: of two sets that share percent of their union, each has a shared token among its first
+    (100 - percent) * n / 100 + 1. Each token flips one of 128 bits, so two bitmaps differ in at most as many bits as the sets
     differ in tokens. Words decide in the end.
     """
     table = F.split(F.lit(",".join(map(str, _classes(counts)))), ",").cast("array<bigint>")
@@ -85,8 +67,7 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     rows = lines.select("doc", "loc", hashes.alias("h"))
     tokens = F.sort_array(F.transform("h", lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
     rows = rows.select("doc", "loc", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
-    gram = gram_of(percent)
-    prefix = F.slice("tokens", F.lit(1), F.floor(gram * (100 - percent) * F.col("n") / 100).cast("int") + gram)
+    prefix = F.slice("tokens", F.lit(1), F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1)
     place = lambda t: t.bitwiseAND(63).cast("int")
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     folded = F.aggregate("tokens", none, lambda a, t: a.bitwiseXOR(shift(one, place(t))))
@@ -97,37 +78,9 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
     )
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """A row (key, pos, prev, doc, loc, n, folded, upper) for each prefix key of a set; prev: the token before, null for the first.
-
-    Sets too small for any partner but an equal one have none.
-    """
-    gram = gram_of(percent)
-    large = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))
-    rows = large.select("doc", "loc", "n", "folded", "upper", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.size("prefix") - gram + 1)).alias("pos", "token"))
-    key = F.col("token").cast("long")
-    if gram == 2:
-        key = F.call_function("shiftleft", key, F.lit(32)).bitwiseOR(F.get("prefix", F.col("pos") + 1).cast("long"))
-    return rows.select(key.alias("key"), "pos", F.get("prefix", F.col("pos") - 1).alias("prev"), "doc", "loc", "n", "folded", "upper")
-
-
-def shared_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """The postings whose key occurs in two sets or more, with that number (m). Where it is two, their lengths must allow a match.
-
-    Keys are counted first, which combines on the map side. A bitmap of fixed size over the repeated ones keeps
-    nearly all other postings from moving; on very large inputs it fills up and more of them move, to be dropped by
-    the exact join.
-    """
-    postings = _postings(sets, percent)
-    # number and sum of lengths in one integer
-    counted = postings.groupBy("key").agg(F.sum(F.lit(1 << 40) + F.col("n")).alias("s"), F.max("n").alias("most"))
-    counted = counted.select("key", F.shiftright("s", 40).alias("m"), (F.col("s").bitwiseAND((1 << 40) - 1) - F.col("most")).alias("others"), "most")
-    repeated = staged(counted.where((F.col("m") > 2) | ((F.col("m") == 2) & (100 * F.col("others") >= percent * F.col("most")))).select("key", "m"))
-    cell = F.shiftrightunsigned(F.xxhash64("key"), 64 - KEY_BITS)
-    word, bit = F.shiftright(cell, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(63).cast("int"))
-    bitmap = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bitmap"))
-    near = postings.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bitmap").bitwiseAND(bit) != 0)  # 2^(KEY_BITS - 6) rows at most
-    return near.drop("word", "bitmap").join(repeated, "key")
+def _postings(sets: DataFrame) -> DataFrame:
+    """A row (token, pos, doc, loc, n, folded, upper) for each token of a prefix."""
+    return sets.select("doc", "loc", "n", "folded", "upper", F.posexplode("prefix").alias("pos", "token"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -137,15 +90,14 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
-    """Length, position and bitmap filters on a pair of postings, which must open a run of keys that both sets have."""
+    """Length, position and bitmap filters on a pair of postings."""
     n, m, i, j = (F.col(c) for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     length = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     # tokens before the shared one are lost to at least one side's rest
     rest = F.least(n - i, m - j) + F.least(i, j)
     position = (100 + percent) * rest >= percent * (n + m)
     apart = _apart(a, b)
-    opens = ~F.col(f"{a}.prev").eqNullSafe(F.col(f"{b}.prev")) | F.col(f"{a}.prev").isNull()
-    return opens & length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
+    return length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -176,12 +128,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, tag, ln) of every line that has an earlier line (smaller id, then hash of the text, then number of the line) of Jaccard similarity percent or more.
 
     1. Lines become token sets ordered by rarity; of equal sets (128-bit key) the first line stands for all.
-    2. The prefixes of distinct sets meet by pairs of neighbouring tokens; keys of a single set drop out.
-    3. In a key's postings in reading order, each looks at the first one and at the three before it, under length,
-       position and bitmap filters. The partner whose bitmap is nearest is verified on the words themselves, which settles
-       all but a few lines of a group of variants. Large groups are cut into parts for this.
-    4. Lines still open meet all earlier ones of their keys under the same filters and are verified with every partner
-       left.
+    2. Prefixes of distinct sets meet by token under length, position and bitmap filters; semi-joins keep the sets that
+       may have an earlier partner, or a later one, so no pair leaves them.
+    3. Among those, a token's postings stand in reading order and each looks at the first one and at the three before
+       it. The partner whose bitmap is nearest is verified on the words themselves, which settles all but a few lines of
+       a group of variants. Large groups are cut into parts for this.
+    4. Lines still open meet all earlier ones of their tokens under the same filters and are verified with every
+       partner left.
     5. A line goes if it is not the first of its set, or if its set goes.
     """
     slim = _documents(docs, id_col, text_col)
@@ -189,12 +142,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = staged(token_sets(_lines(slim), word_counts(slim), percent))
     first = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc", "loc", "n", "folded", "upper", "prefix")).alias("f"), F.count(F.lit(1)).alias("copies"))
     distinct = staged(first.select("k1", "k2", "copies", "f.*"))
-    near = staged(shared_postings(distinct.drop("k1", "k2", "copies"), percent))
+    # smaller sets match equal ones only
+    listed = distinct.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "loc", "n", "folded", "upper", "prefix")
+    # both sides are the same rows under the same names, so they are dealt out once
+    a, b = _postings(listed).alias("a"), _postings(listed).alias("b")
+    meets = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b", percent)
+    later = a.join(b, meets & _earlier("a", "b"), "left_semi").select(*line, F.lit(True).alias("open"))
+    older = a.join(b, meets & _earlier("b", "a"), "left_semi").select(*line, F.lit(False).alias("open"))
+    likely = staged(later.unionByName(older).groupBy(*line).agg(F.bool_or("open").alias("open")))
+    near = _postings(listed.join(likely, line, "left_semi"))
+    sizes = near.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    near = staged(near.join(sizes, "token").join(likely, line))
 
     part = F.when(F.col("m") > GROUP_ROWS, F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / (GROUP_ROWS // 2)))).otherwise(0)
-    at = Window.partitionBy("key", "part").orderBy(*line)
-    own = F.struct(*line, "n", "pos", "prev", "folded", "upper")
-    seen = near.withColumn("part", part).select(own.alias("a"), F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, LOOK_BACK + 1)]).alias("seen"))
+    at = Window.partitionBy("token", "part").orderBy(*line)
+    own = F.struct(*line, "n", "pos", "folded", "upper")
+    seen = near.withColumn("part", part).withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, LOOK_BACK + 1)])).where("open")
+    seen = seen.select(own.alias("a"), "seen")
     tried = seen.select("a", F.explode("seen").alias("b")).where(F.col("b").isNotNull()).where(_earlier("a", "b") & _may_match("a", "b", percent))
     met = staged(tried.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"), (-_apart("a", "b")).alias("alike")).distinct())
     best = met.groupBy(*line).agg(F.max(F.struct("alike", "doc2", "loc2")).alias("m")).select(*line, "m.doc2", "m.loc2")
@@ -203,8 +167,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # groups no larger than what each member looked at have been seen whole
     large = near.where(F.col("m") > LOOK_BACK + 1)
-    meets = (F.col("a.key") == F.col("b.key")) & _earlier("a", "b") & _may_match("a", "b", percent)
-    further = large.join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets)
+    further = large.where("open").join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets & _earlier("a", "b"))
     further = further.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"))
     pairs = met.drop("alike").join(settled, line, "left_anti").unionByName(further).distinct()
     pairs = staged(pairs.join(best, [*line, "doc2", "loc2"], "left_anti"))
