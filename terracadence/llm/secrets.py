@@ -26,19 +26,25 @@ WEAK = (
 ROLE = {"access": "id", "weak_id": "id", "assign": "secret", "hex": "secret", "weak_secret": "secret", "bare_secret": "secret", "endpoint": "endpoint"}
 ORDER = {kind: i for i, (kind, *_) in enumerate(BASE + WEAK)}
 SPAN = "struct<start:int,ord:int,stop:int,kind:string>"
+#: Matches whose places are added up together.
+BLOCK = 128
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as an array of (start, ord, stop, kind), in code points; those whose group is too short are dropped.
 
-    The pieces between matches and the matches alternate, so their lengths add up to the places.
+    The pieces between matches and the matches alternate, so their lengths add up to the places. They are added up in
+    blocks of BLOCK matches, as arrays that grow by one are copied at each step.
     """
-    parts = F.arrays_zip(
+    found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -50,8 +56,17 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
         span = F.struct(begin.alias("start"), F.lit(ORDER[kind]).alias("ord"), stop.alias("stop"), F.lit(kind).alias("kind"))
         return F.struct(stop.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def block(acc: Column, parts: Column) -> Column:
+        own = F.aggregate(parts, F.struct(acc["at"].alias("at"), _none().alias("out")), step)
+        # own is taken once: as the element of an array of one
+        return F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))[0]
+
+    def spans(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))
+
+    return F.when(text.rlike(pattern), F.transform(F.array(found), spans)[0]).otherwise(_none())
 
 
 def _shown(spans: Column) -> Column:
@@ -89,7 +104,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
     Returns id, n_assign, n_access, n_hex, base (spans of the strong patterns), found (base and linked weak spans,
     both arrays of start, ord, stop, kind in code points, by start and kind). Null and empty texts have no spans;
-    rows that repeat an id and a text get the same answer each; a null id is kept; no rows give none.
+    rows that repeat an id and a text get the same answer each; a null id is kept; no rows give none. Long texts are
+    searched whole, in time that grows with their length and matches. Other columns, whatever their names, are not read.
     """
     text = text_of(text_col)
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
@@ -97,8 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), key.alias("k")).withColumn("base", base)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     out = rows.join(linked_spans(rows, reach), "k", "left")
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-    found = F.array_sort(F.concat("base", F.coalesce("linked", none)))
+    found = F.array_sort(F.concat("base", F.coalesce("linked", _none())))
     return out.select(F.col("id").alias(id_col), *[count(k).alias(f"n_{k}") for k, *_ in BASE], "base", found.alias("found"))
 
 
