@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Candidates and queries that meet in one task, and candidates in a block.
 GROUP_ROWS, QUERY_ROWS, BLOCK_ROWS = 16_384, 1_024, 128
+#: Scores end here.
+LARGEST = (1 << 63) - 1
 
 
 
@@ -38,7 +40,7 @@ def search_blocks(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
             s, i = np.concatenate([best_s, (vectors[at : at + block_rows] @ q)[own]]), np.concatenate([best_i, ids[at : at + block_rows][own]])
             first = np.lexsort((i, -s))[:k]
             best_s, best_i = s[first], i[first]
-        out += [(int(qid), int(i), int(s)) for i, s in zip(best_i, best_s, strict=True)]
+        out += [(int(qid), int(i), max(-LARGEST, min(LARGEST, int(s)))) for i, s in zip(best_i, best_s, strict=True)]
     return out, scored
 
 
@@ -48,7 +50,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite component take no part;
     shorter vectors count as ending in zeros; of rows that share an id the least vector counts; null ids take no part.
     Queries and rows are dealt to groups of bounded size that all meet once, each group gives k rows a query, and
-    the best k of those remain. Empty inputs give no rows. Sums stay exact below 2^53.
+    the best k of those remain. Empty inputs give no rows. Ids are integers. Sums stay exact below 2^53; larger ones
+    are rounded as doubles are, components and scores end at the limits of a 64-bit integer. Other columns are not read.
 
     Returns query_id, rank (from 1), the row's id and score.
     """
@@ -59,10 +62,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         return df.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
 
     rows, asked = whole(rows), whole(queries)
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    groups = max(1, -(-size.n // GROUP_ROWS))
-    chunks = max(1, -(-asked.count() // QUERY_ROWS))
-    dims = max(1, size.d or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
+    size, ask = (df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first() for df in (rows, asked))
+    groups, chunks = max(1, -(-size.n // GROUP_ROWS)), max(1, -(-ask.n // QUERY_ROWS))
+    dims = max(1, size.d or 1, ask.d or 1)
     dealt = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     left = rows.withColumn("g", dealt(groups, 1)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = asked.withColumn("c", dealt(chunks, 2)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
