@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered_globally, running_totals
 from .common import WORD, small, staged, text_of
 
 #: Hex digits of the md5 that make up the sampling key, and how many each histogram level looks at.
@@ -21,20 +22,17 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (1, 2, 3), ma
 
     Sources in code-point order (null last) get the weights in turn. A source takes weight * level but at most
     max_repeat times its size; the level that spends all sizes is read off prefix sums in the order of cap / weight,
-    which is where handing the excess round again and again ends up. The table has one row per source, so its
-    windows need no partitioning.
+    which is where handing the excess round again and again ends up. Ranks and prefix sums come from range partitions.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = totals.withColumn("_w", weight).withColumn("_cap", F.lit(max_repeat) * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn("_cap_before", F.coalesce(F.sum("_cap").over(before), F.lit(0))).withColumn("_w_before", F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    total, all_w = F.sum("source_size").over(everything), F.sum("_w").over(everything)
-    ranked = ranked.withColumn("_level", (total - F.col("_cap_before")) / (all_w - F.col("_w_before")))
-    free = F.col("_cap") / F.col("_w") > F.col("_level")
-    ranked = ranked.withColumn("_free", free).withColumn("_final", F.first(F.when(free, F.col("_level")), ignorenulls=True).over(everything))
-    target = F.when(F.col("_free"), F.col("_w") * F.col("_final")).otherwise(F.col("_cap").cast("double"))
+    named = numbered_globally(totals, [F.col("source").asc_nulls_last()], "_rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = named.withColumn("_w", weight).withColumn("_cap", F.lit(max_repeat) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    ranked = running_totals(ranked, [F.col("_ratio"), F.col("source").asc_nulls_last()], {"_cap_upto": "_cap", "_w_upto": "_w"})
+    whole = ranked.agg(F.sum("source_size").alias("total"), F.sum("_w").alias("w")).first()
+    level = (F.lit(whole.total) - (F.col("_cap_upto") - F.col("_cap"))) / (F.lit(whole.w) - (F.col("_w_upto") - F.col("_w")))
+    ranked = ranked.withColumn("_level", level).withColumn("_free", F.col("_ratio") > F.col("_level"))
+    first = ranked.where("_free").agg(F.min(F.struct("_ratio", F.col("source").isNull().alias("last"), "source", "_level")).alias("f")).first().f
+    target = F.when(F.col("_free"), F.col("_w") * F.lit(first._level if first else None).cast("double")).otherwise(F.col("_cap").cast("double"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
@@ -108,10 +106,11 @@ def mix_sources(
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """The mix itself: the input's rows with all their columns, each as often as mix_sources decides (0 to max_repeat times).
 
-    Texts do not move: the decision is taken beside the scan from the per-source table.
+    Texts do not move: the decision is taken beside the scan from the per-source table. Odd rows as in mix_sources;
+    columns keep their values, whatever their names.
     """
     size, key = _keyed(docs, id_col, text_col)
     slim = staged(docs.select(F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
     out = _decided(rows, mix_plan(slim, weights, max_repeat), max_repeat).where("repeats > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("_copy")).select("row.*")
