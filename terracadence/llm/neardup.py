@@ -21,6 +21,8 @@ BANDS, ROWS = 30, 5
 SKETCH_BITS, MARGIN = 512, 0.17
 #: Members of a bucket that one task compares; larger buckets become pairs of blocks.
 BLOCK = 512
+#: Members of a large bucket that all its blocks are compared with.
+PIVOTS = 4
 #: Cells of the bounded filter before texts are fetched again.
 FILTER_CELLS = 1 << 20
 np.seterr(over="ignore")
@@ -65,7 +67,7 @@ def estimates(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), s1, s2 (128-bit digest of the set), bands and sketch, of every whole text; set sizes of 0 have no bands."""
+    """id, tag (hash of the text), n (set size), s1, s2 (128-bit digest of the set), bands and sketch, of every whole text; set sizes of 0 have no bands."""
     import xxhash
 
     k = bands * rows
@@ -83,10 +85,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                     keys.append(band_keys(samples, bands).view(np.int64) if len(x) else None)
                     sketches.append(odd_sketch(samples) if len(x) else None)
                 halves = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
-                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s1", "s2", "bands", "sketch"])
+                cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "n", "s1", "s2", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, sketch binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
+    return slim.mapInArrow(run, "id long, tag long, n long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -160,17 +163,25 @@ def confirm(rows: list[tuple], i: np.ndarray, j: np.ndarray, percent: int) -> li
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Connected components of texts whose shingle sets share at least percent of their union.
 
+    Returns id, n_shingles, component_id and kept. Texts without words (null, empty) have empty sets and link with
+    nothing. Ids are integers. Rows with a null id link with nothing and are kept, with a null component. Rows that
+    repeat an id count as one document if their sets are equal; otherwise each set is classed by itself. Texts are
+    taken whole; other columns are not read. Empty input gives no rows. Steps: see _classified.
+    """
+    return _classified(docs, id_col, text_col, width, percent, bands, rows, block).drop("tag")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """near_duplicates with a hash of each text (tag).
+
     1. Signatures beside the scan. Equal sets become one representative, the smallest id.
     2. Representatives meet in bands; buckets with the same members are compared once.
-    3. In a bucket, size and odd sketch choose candidate pairs; a bucket of more than block members is compared as
-       pairs of blocks, so no task holds more than two blocks.
+    3. In a bucket, size and odd sketch choose candidate pairs. A bucket of more than block members is dealt to blocks;
+       each is compared in itself and with a few pivots of the bucket, so rows move once.
     4. Full sets of what is left, made anew from the texts, confirm the links exactly; a task gives each member's
-       smallest linked id, never all pairs.
-    5. Star contraction joins these into components.
-
-    Returns id, n_shingles, component_id and kept. Texts without words (null, empty) have empty sets and link with
-    nothing. Rows with a null id link with nothing and are kept, with a null component. Rows that repeat an id count
-    as one document if their sets are equal; otherwise each set is classed by itself. Empty input gives no rows.
+       smallest linked id, never all pairs. Star contraction joins these into components.
+    5. Members of a large bucket outside its largest component then meet all blocks of it, as pairs within one
+       component need no further look. If that links more, components are joined again.
     """
     k, share = bands * rows, percent / 100
     low = share - MARGIN
@@ -182,11 +193,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("m > 1")
     buckets = buckets.groupBy("m", "who").agg(F.min("key").alias("key"))
     members = staged(banded.join(buckets.select("key", "m"), "key"))
-    # blocks of large buckets: every block meets every other and itself
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    placed = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id")
+    n_blocks = F.ceil(F.col("m") / block).cast("int")
+    members = members.withColumn("x", F.pmod(F.xxhash64("id", "key"), n_blocks).cast("int"))
+    inside = members.select("key", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "id")
+    large = members.where(F.col("m") > block)
+    pivots = large.groupBy("key", "m").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(p)), "id"))["id"].alias(f"p{p}") for p in range(PIVOTS)])
+    pivots = pivots.withColumn("id", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)])))).withColumn("x", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    pivots = pivots.select("key", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "id")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, x, y), group in _groups(batches, 3):
@@ -197,46 +210,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     layout = pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
     shape = "key long, x int, y int, side int, id long, n long, sketch binary"
-    sketched = placed.join(reps.select("id", "n", "sketch"), "id").select("key", "x", "y", "side", "id", "n", "sketch")
-    sketched = sketched.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    left = staged(sketched.mapInArrow(screen, shape))
-    # full sets, of the ids that are left only
-    wanted = left.select("id").distinct()
-    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("cell", cell).join(F.broadcast(wanted.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")
-
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "full"])
 
-    full_sets = texts.join(wanted, "id", "left_semi").mapInArrow(full, "id long, full binary")
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, x, y), group in _groups(batches, 3):
             i, j = _candidates(group, x == y, k, share, low)
             if links := confirm(group, i, j, percent):
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["u", "v"])
 
-    ready = left.join(full_sets, "id").select("key", "x", "y", "side", "id", "n", "sketch", "full").where(F.length("full") == 8 * F.col("n"))
-    links = ready.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(check, "u long, v long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cell = F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS))
+
+    def links_of(placed: DataFrame) -> DataFrame:
+        sketched = placed.join(reps.select("id", "n", "sketch"), "id").select("key", "x", "y", "side", "id", "n", "sketch")
+        sketched = sketched.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        left = staged(sketched.mapInArrow(screen, shape))
+        # full sets, of the ids that are left only
+        wanted = left.select("id").distinct()
+        near = texts.withColumn("cell", cell).join(F.broadcast(wanted.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")  # FILTER_CELLS rows at most
+        full_sets = near.join(wanted, "id", "left_semi").mapInArrow(full, "id long, full binary")
+        ready = left.join(full_sets, "id").select("key", "x", "y", "side", "id", "n", "sketch", "full").where(F.length("full") == 8 * F.col("n"))
+        return staged(ready.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(check, "u long, v long").distinct())
+
+    links = links_of(inside.unionByName(pivots).distinct())
+    found = components(links)
+    rest = staged(_rest(large, found, block))
+    if not rest.isEmpty():
+        found = components(links.unionByName(links_of(rest)))
     shared_ids = sets.select("id", "s1", "s2")
-    found = components(staged(links.distinct()))
     classes = shared_ids.join(found.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = sig.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    out = sig.select("id", "tag", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), "tag", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _rest(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Placings of the members of large buckets outside the bucket's largest component (side 0, dealt to blocks of their own) against all its members (side 1)."""
+    labelled = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
+    open_ = top.where(F.col("all") > F.col("top.size")).select("key", F.col("top.label").alias("top"), (F.col("all") - F.col("top.size")).alias("left"))
+    rows = labelled.join(open_, "key").withColumn("blocks", F.ceil(F.col("left") / block).cast("int"))
+    outside = rows.where(F.col("label") != F.col("top")).withColumn("row", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    outside = outside.select("key", F.col("row").alias("x"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)).alias("y"), F.lit(0).alias("side"), "id")
+    against = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("x").alias("y"), F.lit(1).alias("side"), "id").withColumnRenamed("row", "x")
+    # x and y number different blocks here; x < y keeps them apart from a block that meets itself
+    shift = F.lit(1 << 30)
+    return outside.unionByName(against.select("key", "x", "y", "side", "id")).withColumn("y", (F.col("y") + shift).cast("int"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows without those that near_duplicates does not keep, all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept")
-    gone = staged(gone.select(F.col(id_col).alias("_gone")).distinct())
-    cell = F.pmod(F.xxhash64("_gone"), F.lit(FILTER_CELLS))
-    cells = F.broadcast(gone.select(cell.alias("_cell")).distinct())  # FILTER_CELLS rows at most
-    marked = docs.withColumn("_cell", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_CELLS)))
-    near = marked.join(cells, "_cell", "left_semi").drop("_cell")
-    near = near.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    return near.unionByName(marked.join(cells, "_cell", "left_anti").drop("_cell"))
+    """The input's rows without those that near_duplicates does not keep, all columns as they were, whatever their names.
+
+    A row is known by its id and text, so of rows that repeat an id one can go and another stay; rows that repeat both
+    share one fate.
+    """
+    gone = _classified(docs, id_col, text_col, **options).where("not kept")
+    gone = staged(gone.select(F.col(id_col).alias("gone_id"), F.col("tag").alias("gone_tag")).distinct())
+    cell = F.pmod(F.xxhash64("gone_id"), F.lit(FILTER_CELLS))
+    cells = F.broadcast(gone.select(cell.alias("cell")).distinct())  # FILTER_CELLS rows at most
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)))
+    near = rows.join(cells, "cell", "left_semi").join(gone, (F.col("id") == F.col("gone_id")) & (F.col("tag") == F.col("gone_tag")), "left_anti")
+    kept = near.select("row").unionByName(rows.join(cells, "cell", "left_anti").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
