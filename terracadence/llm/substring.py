@@ -188,8 +188,8 @@ def _cell(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
 
 
-def verified(paths: DataFrame, docs: DataFrame) -> DataFrame:
-    """The paths whose words, read at both places, have equal digests."""
+def _digests(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, tag, start, words, digest) of the words at places, read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "tag", "start", "words", "digest"]
@@ -202,16 +202,41 @@ def verified(paths: DataFrame, docs: DataFrame) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names)
 
-    places = paths.select("doc", "tag", "start", "words").unionByName(paths.select(F.col("odoc").alias("doc"), F.col("otag").alias("tag"), F.col("ostart").alias("start"), "words")).distinct()
     asked = staged(places.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "words")).alias("spans")))  # bounded by the document's own spans
     near = docs.withColumn("cell", _cell(F.col("doc"))).join(_cells(asked), "cell", "left_semi").drop("cell").dropDuplicates(["doc", "tag"])
-    digests = staged(near.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(run, "doc long, tag long, start long, words long, digest binary"))
-    origin = digests.toDF("odoc", "otag", "ostart", "words", "odigest")
-    return paths.join(digests, ["doc", "tag", "start", "words"]).join(origin, ["odoc", "otag", "ostart", "words"]).where("digest = odigest")
+    return staged(near.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(run, "doc long, tag long, start long, words long, digest binary"))
+
+
+def verified(paths: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The spans (doc, tag, start, words) of the paths whose words, read at both places, have equal digests.
+
+    A path that fails holds an edge whose hash stands for different words. Its edges are looked at one by one: those
+    that equal their own origin stay, and of the others the ones that repeat an earlier edge of equal words.
+    """
+    place, origin = ["doc", "tag", "start", "words"], ["odoc", "otag", "ostart", "words"]
+
+    def compared(rows: DataFrame) -> DataFrame:
+        places = rows.select(*place).unionByName(rows.select(*[F.col(o).alias(p) for o, p in zip(origin, place, strict=True)])).distinct()
+        digests = _digests(places, docs)
+        return staged(rows.join(digests, place).join(digests.toDF(*origin, "odigest"), origin).select(*place, *origin[:3], "digest", "odigest"))
+
+    both = compared(paths)
+    good, failed = both.where("digest = odigest").select(*place), both.where("digest <> odigest")
+    if failed.isEmpty():
+        return good
+    steps = failed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - width)))
+    single = compared(steps.select("doc", "tag", (F.col("start") + F.col("k")).alias("start"), F.lit(width).cast("long").alias("words"), "odoc", "otag", (F.col("ostart") + F.col("k")).alias("ostart")))
+    apart = single.where("digest <> odigest")
+    mine = apart.select("digest", *place).distinct()
+    # an earlier edge of equal words can also be the origin of another one that failed
+    pool = mine.unionByName(apart.select(F.col("odigest").alias("digest"), *[F.col(o).alias(p) for o, p in zip(origin, place, strict=True)]))
+    first = pool.groupBy("digest").agg(F.min(F.struct("doc", "tag", "start")).alias("f")).select("digest", F.col("f.doc").alias("fdoc"), F.col("f.tag").alias("ftag"), F.col("f.start").alias("fstart"))
+    later = mine.join(first, "digest").where("doc <> fdoc or tag <> ftag or start <> fstart")
+    return good.unionByName(single.where("digest = odigest").select(*place)).unionByName(later.select(*place)).distinct()
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
-    """Maximal spans of words that repeat an earlier place: doc, tag, start, words, odoc, otag, ostart (tag: hash of the text).
+    """Maximal spans of words that repeat an earlier place: doc, tag, start, words (tag: hash of the text).
 
     1. Windows of width words are the edges of a De Bruijn graph. Anchors that occur once rule most of them out.
     2. Equal edges meet by hash; all but the earliest place (smaller id, then earlier start) go on.
@@ -221,7 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 33).alias("tag"), F.col(text_col).alias("text"))
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(slim, width))
     paths = staged(compacted(later_edges(edges(slim, width, bitmap)), width))
-    return verified(paths, slim)
+    return verified(paths, slim, width)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
@@ -230,7 +255,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id, n_words, n_removed, kept (the words left, joined by one space) for each input row. Null and empty
     texts have no words. Rows with a null id come through whole; rows that repeat id and text are one document (both
     keep what one would), and of rows that repeat an id alone each counts as a document of its own, in the order of
-    a hash of the text. No rows give none.
+    a hash of the text. Ids are integers. Texts are taken whole, however long; other columns are not read. No rows give
+    none.
     """
     spans = repeated_spans(docs, id_col, text_col, width)
     spans = staged(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "words")).alias("spans")))
