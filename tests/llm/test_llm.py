@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import struct
@@ -13,9 +15,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terracadence.llm import components, features, fingerprint, linededup, mixing, neardup, packing, quality, secrets, shingles, substring, topk, toxicity
+from terracadence.llm import components, features, fingerprint, linededup, mixing, neardup, packing, quality, queries, secrets, shingles, substring, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TABLES = "/root/testdata/sf0.001"
 VOCAB = [f"w{k}" for k in range(60)] + ["Über", "naïve", "ﬁne"]
 
 
@@ -89,6 +92,64 @@ def test_quality_odd_rows(spark, docs, empty):
     assert quality.score(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_categories_follow_telling_words():
+    """Toxic rows of three vocabularies, and some without a telling word."""
+    rnd = random.Random(2)
+    rows, toxic, kind = [], [], []
+    for k in range(400):
+        bad, which = k % 4 == 0, rnd.randrange(3)
+        own = {100 + which * 5 + rnd.randrange(5) for _ in range(4)} if bad and k % 40 else set()
+        rows.append(np.array(sorted({rnd.randrange(60) for _ in range(20)} | own), np.int32))
+        toxic.append(int(bad))
+        kind.append(which if own else None)
+    got = toxicity.find_categories(rows, np.array(toxic), 256, kept=64, count=3)
+    assert got.shape == (400, 3) and got.sum() >= sum(k is not None for k in kind)
+    for which in range(3):
+        mine = [got[i].argmax() for i, k in enumerate(kind) if k == which]
+        assert max(map(mine.count, set(mine))) >= 0.9 * len(mine)
+    assert not got[np.array(toxic) == 0].any() and not toxicity.find_categories(rows, np.zeros(400), 256).any()
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_toxicity_on_held_out_labels(spark):
+    """The fold that neither links nor categories have seen."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet".replace("0.001", "0.01")) for t in ("documents", "labels"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).withColumnRenamed("toxic", "found").join(labels, "doc_id").where(quality.held_out()).collect()
+    bad = [r for r in out if r.toxic == 1]
+    assert sum(r.found for r in bad) >= 0.6 * len(bad) > 0 and sum(r.found for r in out if r.toxic == 0) <= 0.02 * len(out)
+
+
+def plain_fm(m, idx, val):
+    """The machine by its definition, pair by pair."""
+    y = m.bias + float((m.weights[idx] * val).sum())
+    for a, b in itertools.combinations(range(len(idx)), 2):
+        y += float(m.factors[idx[a]] @ m.factors[idx[b]]) * float(val[a]) * float(val[b])
+    return 1 / (1 + math.exp(-max(-30, min(30, y))))
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_queries_of_models_score_whole_tables(spark):
+    """op1 and op4 against plain sums over the features of each text, and op1 on held-out labels."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    model, chain = quality.fit(docs, labels), toxicity.fit(docs, labels)
+    texts = by_id(docs)
+    got = by_id(queries.op1_quality_fm(spark, TABLES))
+    assert set(got) == set(texts) and len(got) == docs.count()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5)
+    for i in sorted(i for i in got if len(texts[i].text or "") < 800)[:150]:
+        assert got[i].score == pytest.approx(plain_fm(model, *features.quality_features(texts[i].text or "", texts[i].n_chars, quality.WORD_BITS)), abs=1e-4)
+    held = [r for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(got[r.doc_id].predicted == r.quality for r in held) >= 0.9 * len(held) > 0
+    for i, r in by_id(queries.op4_toxicity_chain(spark, TABLES)).items():
+        words, before = features.word_features(texts[i].text or "", toxicity.WORD_BITS).tolist(), []
+        for link in chain:
+            weight = dict(zip(link.words.tolist(), link.weights.tolist(), strict=True))
+            z = link.bias + sum(weight.get(w, 0.0) for w in words) + sum(e * b for e, b in zip(link.earlier, before, strict=True))
+            before.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert [r[f"p_{c}"] for c in toxicity.NAMES] + [r.score] == pytest.approx(before) and r.toxic == int(before[-1] >= 0.5)
+
+
 def test_toxicity_chain(spark, docs, empty):
     train, labels = labelled(spark)
     chain = toxicity.fit(train, labels)
@@ -148,6 +209,14 @@ def test_secret_spans(spark):
     assert all(0 <= int(a) < int(b) <= len(t) for _, a, b in s) and any(t[int(a) : int(b)] == "user: alice" for _, a, b in s)
 
 
+def test_secrets_in_a_text_of_many_matches(spark):
+    """Places are added up in blocks: 40,000 matches in one text, and counts around the size of a block."""
+    texts = [f"token=abcdef{k % 10} " * n for k, n in enumerate((1, 127, 128, 129, 257, 40_000))]
+    out = secrets.digest_columns(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for r in out.collect():
+        assert r.base_sha256 == hashlib.sha256(shown(plain_spans(texts[r.doc_id])).encode()).hexdigest() and r.n_assign == texts[r.doc_id].count("=")
+
+
 def test_secrets_of_nothing(spark, empty):
     assert secrets.scan(empty).count() == 0
 
@@ -173,6 +242,12 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_topk_of_huge_values(spark):
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e300, 1.0]), (2, [-1e30, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 3, 2] and out[0].score == topk.LARGEST and out[2].score == -topk.LARGEST
+
+
 def test_blocks_are_pruned_and_whole():
     rnd = np.random.default_rng(2)
     v = np.floor(np.concatenate([rnd.normal(5 * np.eye(16)[k % 16], 0.3, (400, 16)) for k in range(16)]) * 256)
@@ -275,15 +350,26 @@ def test_bytes_part_equal_hashes(spark, docs):
     assert got == {(r.group_id, r.group_size) for r in fingerprint.exact_groups(docs).collect()} and got
 
 
+def test_clashing_digests_keep_classes_apart(spark, docs):
+    """Digests of one bit: most texts share one, and classes must still be those of the texts, through the whole operator."""
+    by_text = {}
+    for i, t in ((r[0], r[1]) for r in corpus()):
+        by_text.setdefault(plain_digest(t), []).append(i)
+    want = {i: (min(ids), len(ids)) for ids in by_text.values() for i in ids}
+    for out in (fingerprint.edited_fingerprints(docs, bits=1), fingerprint.fingerprints(docs, bits=1)):
+        rows = by_id(out)
+        assert {i: (r.group_id, r.group_size) for i, r in rows.items()} == want and len({r.fingerprint for r in rows.values()}) == 2
+
+
 # --- lines
 
 
-def plain_removed(rows):
+def plain_removed(rows, percent=80):
     seen, gone = [], {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             s = set(line.encode().split())
-            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            if s and any(100 * len(s & o) >= percent * len(s | o) for o in seen):
                 gone.setdefault(doc, set()).add(k)
             if s:
                 seen.append(s)
@@ -325,6 +411,33 @@ def test_small_sets_match_at_lower_percent(spark, percent, want):
     assert [r.n_removed for r in out.orderBy("doc_id").collect()] == want
 
 
+@pytest.mark.parametrize("percent", [50, 67, 75, 80, 90])
+def test_lines_at_any_percent(spark, percent):
+    rnd = random.Random(percent)
+    rows = [(d, "\n".join(sentence(rnd, rnd.randrange(1, 12), VOCAB[:14]) for _ in range(3))) for d in range(60)]
+    gone = plain_removed(rows, percent)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {d: len(gone.get(d, ())) for d, _ in rows} and gone
+
+
+def test_lines_of_clashing_columns_and_repeated_ids(spark):
+    """Columns named as the operator's own keep their values; rows that repeat an id with other texts stand for themselves."""
+    names = ["doc", "ln", "loc", "tag", "line", "cell", "gone", "kept", "removed", "n_lines", "n_removed", "row", "k1", "a.b"]
+    rows = [(1, "a b c d e\nx y z", *range(14)), (2, "p q\na b c d e", *range(14)), (3, "m n o\nu v w", *range(14)), (3, "m n o\na b c d e", *range(14)), (None, "a b c d e", *range(14))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = linededup.dedup_lines(df)
+    assert out.columns == df.columns and all(tuple(r)[2:] == tuple(range(14)) for r in out.collect())
+    texts = [r.text for r in out.collect() if r.doc_id == 3]
+    want = [{"m n o\nu v w", ""}, {"u v w", "m n o"}]  # whichever text of id 3 comes first keeps "m n o"
+    assert set(texts) in want and {r.text for r in out.collect() if r.doc_id in (2, None)} == {"p q", "a b c d e"}
+
+
+def test_lines_of_a_long_text(spark):
+    t = "\n".join(f"w{k} v{k % 7} u{k}" for k in range(20_000)) + "\n" + "\n".join(f"w{k} v{k % 7} u{k}" for k in range(0, 20_000, 2))
+    r = linededup.dedup_lines(spark.createDataFrame([(5, t)], "doc_id long, text string")).first()
+    assert (r.n_lines, r.n_removed) == (30_000, 10_000) and r.text == "\n".join(t.split("\n")[:20_000])
+
+
 # --- packing
 
 
@@ -423,6 +536,37 @@ def plain_set(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
+def test_large_buckets_move_little(spark, monkeypatch):
+    """A family of 600 near copies and a second one that shares buckets with it, in blocks of 16: components as by brute force, rows far below the square."""
+    rnd = random.Random(12)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for d in range(300):
+        words = list(base)
+        words[rnd.randrange(120)] = f"v{d}"
+        if d >= 240:  # a second family: some of it within reach of the first, most not
+            words[40:52] = [f"z{k}" for k in range(12)]
+        rows.append((d, " ".join(words)))
+    placed = []
+    whole = neardup._rest
+
+    def counted(large, found, block):
+        out = whole(large, found, block)
+        placed.append((large.select("id").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_rest", counted)
+    want = plain_components({d: plain_set(t) for d, t in rows}, 85)
+    out = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
+    assert {d: r.component_id for d, r in out.items()} == want and placed and placed[0][0] > 16
+
+
+def test_keep_one_tells_texts_of_an_id_apart(spark):
+    t, u = "a b c d e f g h", "z y x w v u t s"
+    df = spark.createDataFrame([(4, t, 0), (9, t, 1), (9, u, 2), (None, t, 3)], "doc_id long, text string, row int")
+    assert sorted(r.row for r in neardup.keep_one(df).collect()) == [0, 2, 3]
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_near_duplicates_equal_brute_force(spark, docs, empty, block):
     want = {r[0]: plain_set(r[1]) for r in corpus()}
@@ -491,6 +635,16 @@ def test_repeats_equal_brute_force(spark, docs, empty, monkeypatch, chunk):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_colliding_windows_lose_no_repeat(spark, docs, monkeypatch):
+    """Window hashes of six bits: nearly all paths fail the comparison of words, and their edges must still find their repeats."""
+    whole = shingles.windows
+    monkeypatch.setattr(substring, "windows", lambda h, width: whole(h, width) if width < 20 else whole(h, width) & np.uint64(63))
+    rows = [(r[0], r[1]) for r in corpus() if len(r[1] or "") < 2_000]
+    want = plain_repeats(rows, 20)
+    out = by_id(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r.n_words, r.n_removed) for i, r in out.items()} == {i: w[:2] for i, w in want.items()}
+
+
 def test_repeats_with_null_ids(spark):
     t = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(None, t), (7, t), (8, t), (8, t)], "doc_id long, text string")
