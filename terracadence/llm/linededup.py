@@ -79,8 +79,9 @@ def token_sets(lines: DataFrame, counts: list[int], percent: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """A row (token, pos, doc, loc, n, folded, upper) for each token of a prefix."""
-    return sets.select("doc", "loc", "n", "folded", "upper", F.posexplode("prefix").alias("pos", "token"))
+    """A row (token, pos, prev, doc, loc, n, folded, upper) for each token of a prefix; prev: the token before, null for the first."""
+    rows = sets.select("doc", "loc", "n", "folded", "upper", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    return rows.withColumn("prev", F.get("prefix", F.col("pos") - 1)).drop("prefix")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -100,6 +101,18 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return length & position & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
+def _opens(a: str, b: str) -> Column:
+    """The token opens a run that both sets have, so a pair meets once a run."""
+    return ~F.col(f"{a}.prev").eqNullSafe(F.col(f"{b}.prev")) | F.col(f"{a}.prev").isNull()
+
+
+def _among(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """A first, bounded look: the rows that share a cell with one of keys."""
+    cell = F.pmod(F.xxhash64(*on), F.lit(FILTER_CELLS))
+    cells = keys.select(cell.alias("cell")).distinct()  # FILTER_CELLS rows at most
+    return rows.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
+
+
 def _earlier(a: str, b: str) -> Column:
     """b stands before a."""
     return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.loc") < F.col(f"{a}.loc")))
@@ -107,11 +120,8 @@ def _earlier(a: str, b: str) -> Column:
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, loc, line) of the wanted places, read again from the texts."""
-    cell = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_CELLS))
-    near = docs.withColumn("cell", cell("doc")).join(F.broadcast(wanted.select(cell("doc").alias("cell")).distinct()), "cell", "left_semi")  # FILTER_CELLS rows at most, here and below
-    lines = _lines(near).withColumn("cell", cell("doc", "loc"))
-    lines = lines.join(F.broadcast(wanted.select(cell("doc", "loc").alias("cell")).distinct()), "cell", "left_semi")
-    return lines.select("doc", "loc", "line").join(wanted.select("doc", "loc"), ["doc", "loc"], "left_semi")
+    lines = _among(_lines(_among(docs, wanted, "doc")), wanted, "doc", "loc")
+    return lines.join(wanted.select("doc", "loc"), ["doc", "loc"], "left_semi")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -133,8 +143,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Among those, a token's postings stand in reading order and each looks at the first one and at the three before
        it. The partner whose bitmap is nearest is verified on the words themselves, which settles all but a few lines of
        a group of variants. Large groups are cut into parts for this.
-    4. Lines still open meet all earlier ones of their tokens under the same filters and are verified with every
-       partner left.
+    4. Lines still open are verified with the other partners they looked at; what is open then meets all earlier ones
+       of its tokens under the same filters and is verified with every partner left.
     5. A line goes if it is not the first of its set, or if its set goes.
     """
     slim = _documents(docs, id_col, text_col)
@@ -145,35 +155,38 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # smaller sets match equal ones only
     listed = distinct.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("doc", "loc", "n", "folded", "upper", "prefix")
     # both sides are the same rows under the same names, so they are dealt out once
-    a, b = _postings(listed).alias("a"), _postings(listed).alias("b")
+    a, b = _postings(listed).drop("prev").alias("a"), _postings(listed).drop("prev").alias("b")
     meets = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b", percent)
     later = a.join(b, meets & _earlier("a", "b"), "left_semi").select(*line, F.lit(True).alias("open"))
     older = a.join(b, meets & _earlier("b", "a"), "left_semi").select(*line, F.lit(False).alias("open"))
     likely = staged(later.unionByName(older).groupBy(*line).agg(F.bool_or("open").alias("open")))
-    near = _postings(listed.join(likely, line, "left_semi"))
+    near = _postings(_among(listed, likely, *line).join(likely, line, "left_semi"))
     sizes = near.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     near = staged(near.join(sizes, "token").join(likely, line))
 
     part = F.when(F.col("m") > GROUP_ROWS, F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / (GROUP_ROWS // 2)))).otherwise(0)
     at = Window.partitionBy("token", "part").orderBy(*line)
-    own = F.struct(*line, "n", "pos", "folded", "upper")
+    own = F.struct(*line, "n", "pos", "prev", "folded", "upper")
     seen = near.withColumn("part", part).withColumn("seen", F.array(F.first(own).over(at), *[F.lag(own, k).over(at) for k in range(1, LOOK_BACK + 1)])).where("open")
     seen = seen.select(own.alias("a"), "seen")
-    tried = seen.select("a", F.explode("seen").alias("b")).where(F.col("b").isNotNull()).where(_earlier("a", "b") & _may_match("a", "b", percent))
+    tried = seen.select("a", F.explode("seen").alias("b")).where(F.col("b").isNotNull()).where(_opens("a", "b") & _earlier("a", "b") & _may_match("a", "b", percent))
     met = staged(tried.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"), (-_apart("a", "b")).alias("alike")).distinct())
     best = met.groupBy(*line).agg(F.max(F.struct("alike", "doc2", "loc2")).alias("m")).select(*line, "m.doc2", "m.loc2")
     best = staged(best)
     settled = staged(_verified(best, slim, percent))
 
+    # the other partners seen, for lines that are still open
+    others = staged(met.drop("alike").join(settled, line, "left_anti").join(best, [*line, "doc2", "loc2"], "left_anti"))
+    if not others.isEmpty():
+        settled = staged(settled.unionByName(_verified(others, slim, percent)).distinct())
     # groups no larger than what each member looked at have been seen whole
     large = near.where(F.col("m") > LOOK_BACK + 1)
-    further = large.where("open").join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets & _earlier("a", "b"))
-    further = further.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2"))
-    pairs = met.drop("alike").join(settled, line, "left_anti").unionByName(further).distinct()
-    pairs = staged(pairs.join(best, [*line, "doc2", "loc2"], "left_anti"))
+    further = large.where("open").join(settled, line, "left_anti").alias("a").join(large.alias("b"), meets & _opens("a", "b") & _earlier("a", "b"))
+    pairs = further.select("a.doc", "a.loc", F.col("b.doc").alias("doc2"), F.col("b.loc").alias("loc2")).distinct()
+    pairs = staged(pairs.join(met, [*line, "doc2", "loc2"], "left_anti"))
     gone = settled if pairs.isEmpty() else settled.unionByName(_verified(pairs, slim, percent)).distinct()
     groups = distinct.where("copies > 1").select("k1", "k2", F.col("doc").alias("doc2"), F.col("loc").alias("loc2"))
-    again = sets.select(*line, "k1", "k2").join(groups, ["k1", "k2"]).where("doc <> doc2 or loc <> loc2").select(*line)
+    again = _among(sets.select(*line, "k1", "k2"), groups, "k1").join(groups, ["k1", "k2"]).where("doc <> doc2 or loc <> loc2").select(*line)
     return gone.unionByName(again).distinct().select("doc", F.shiftright("loc", 32).alias("tag"), F.col("loc").bitwiseAND((1 << 32) - 1).cast("int").alias("ln"))
 
 
