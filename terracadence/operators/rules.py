@@ -14,23 +14,36 @@ def _holds(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def status_candidate(value: Column, delta: Column, drop: Column, nbr_delta: Column, bais2_delta: Column, recent_fire: Column) -> Column:
-    """G-01: struct of status, band and evidence. A description of the evidence, never ground truth."""
-    value, delta, drop, nbr_delta, bais2_delta = map(finite, (value, delta, drop, nbr_delta, bais2_delta))
+def _changes(value: Column, delta: Column, drop: Column, nbr_delta: Column, bais2_delta: Column) -> dict[str, Column]:
     big_drop, sharp = _holds(drop <= -0.25), _holds(delta <= -0.2)
-    fell, nbr, bais = big_drop | sharp, _holds(nbr_delta <= -0.15), _holds(bais2_delta >= 0.1)
-    known = value.isNotNull()
-    burnt, cut = fell & nbr & bais, fell & ~(nbr & bais)
+    fell = big_drop | sharp
     grown = ~fell & _holds(delta >= 0.12) & _holds(value >= 0.3)
     stands = ~fell & ~grown & _holds(value >= 0.55) & (delta.isNull() | _holds(delta > -0.15))
-    status = F.when(known & burnt, "BURNT").when(known & cut, "HARVESTED").when(known & grown, "SOWN").when(known & stands, "STANDING")
-    band = F.when(known & fell & nbr, "MODERATE").otherwise("LOW")
-    evidence = reasons([
-        (~known, "index unavailable"), (known & big_drop, "far below the peak so far"), (known & sharp, "sharp fall since the last observation"),
-        (known & nbr, "burn ratio fell"), (known & bais, "burned-area index rose"), (known & _holds(recent_fire), "recent fire nearby (supporting only)"),
-        (known & grown, "index rose"), (known & stands, "index high and steady"), (known & status.isNull(), "not enough evidence"),
+    return {"big_drop": big_drop, "sharp": sharp, "fell": fell, "nbr": _holds(nbr_delta <= -0.15), "bais": _holds(bais2_delta >= 0.1), "grown": grown, "stands": stands}
+
+
+def status_and_band(value: Column, delta: Column, drop: Column, nbr_delta: Column, bais2_delta: Column) -> tuple[Column, Column]:
+    """G-01 as two plain columns of finite numbers."""
+    x = _changes(value, delta, drop, nbr_delta, bais2_delta)
+    status = F.when(value.isNull(), None).when(x["fell"] & x["nbr"] & x["bais"], "BURNT").when(x["fell"], "HARVESTED").when(x["grown"], "SOWN").when(x["stands"], "STANDING")
+    return status, F.when(value.isNotNull() & x["fell"] & x["nbr"], "MODERATE").otherwise("LOW")
+
+
+def status_evidence(value: Column, delta: Column, drop: Column, nbr_delta: Column, bais2_delta: Column, recent_fire: Column) -> Column:
+    """G-01: what the status rests on. A description, never ground truth."""
+    known, x = value.isNotNull(), _changes(value, delta, drop, nbr_delta, bais2_delta)
+    return reasons([
+        (~known, "index unavailable"), (known & x["big_drop"], "far below the peak so far"), (known & x["sharp"], "sharp fall since the last observation"),
+        (known & x["nbr"], "burn ratio fell"), (known & x["bais"], "burned-area index rose"), (known & _holds(recent_fire), "recent fire nearby (supporting only)"),
+        (known & x["grown"], "index rose"), (known & x["stands"], "index high and steady"), (known & ~x["fell"] & ~x["grown"] & ~x["stands"], "not enough evidence"),
     ])
-    return F.struct(status.alias("status"), band.alias("band"), evidence.alias("evidence"))
+
+
+def status_candidate(value: Column, delta: Column, drop: Column, nbr_delta: Column, bais2_delta: Column, recent_fire: Column) -> Column:
+    """G-01: struct of status, band and evidence, whatever the numbers hold."""
+    clean = [finite(x) for x in (value, delta, drop, nbr_delta, bais2_delta)]
+    status, band = status_and_band(*clean)
+    return F.struct(status.alias("status"), band.alias("band"), status_evidence(*clean, recent_fire).alias("evidence"))
 
 
 def straw_estimate(status: Column, band: Column, area: Column, peak: Column, per_ha: float = 6.0, reference: float = 0.75, coefficient: float = 0.25, low: float = 0.85, high: float = 1.10, spread: float = 0.30) -> Column:
@@ -70,17 +83,34 @@ def risk_components(days_since_harvest: Column, harvest_state: Column, rain_72h:
     return {k: clip(v, 0.0, 1.0) for k, v in raw.items()}
 
 
-def risk_score(components: dict[str, Column], weights: dict[str, float] = RISK_WEIGHTS, top: int = 3) -> Column:
-    """G-03, T-06: struct of score (weights renormalised over what is available), level, and the top weighted factors (ties by name)."""
-    parts = F.array(*[F.struct(F.lit(k).alias("name"), components[k].alias("value"), F.lit(w).alias("weight")) for k, w in weights.items() if k in components])
-    have = F.filter(parts, lambda p: p["value"].isNotNull())
-    weight = F.aggregate(have, F.lit(0.0), lambda s, p: s + p["weight"])
-    score = F.try_divide(F.aggregate(have, F.lit(0.0), lambda s, p: s + p["value"] * p["weight"]), F.when(weight > 0, weight))
+def risk_total(components: dict[str, Column], weights: dict[str, float] = RISK_WEIGHTS) -> Column:
+    """G-03: the score alone, weights renormalised over the components that are there."""
+    known = {k: w for k, w in weights.items() if k in components}
+    weight, total = F.lit(0.0), F.lit(0.0)
+    for k, w in known.items():
+        weight = weight + F.when(components[k].isNotNull(), w).otherwise(0.0)
+        total = total + F.coalesce(components[k] * w, F.lit(0.0))
+    return F.try_divide(total, F.when(weight > 0, weight))
+
+
+def risk_level(score: Column) -> Column:
+    """G-03: LOW to CRITICAL by the upper limits of the levels."""
     level = F.when(score.isNull(), "INSUFFICIENT_DATA")
     for name, limit in RISK_LEVELS:
         level = level.when(score < limit, name)
-    ordered = F.array_sort(F.transform(have, lambda p: F.struct((-(p["value"] * p["weight"])).alias("k"), p["name"].alias("name"))))
-    return F.struct(score.alias("score"), level.otherwise("CRITICAL").alias("level"), F.transform(F.slice(ordered, 1, top), lambda p: p["name"]).alias("top"))
+    return level.otherwise("CRITICAL")
+
+
+def top_factors(components: dict[str, Column], weights: dict[str, float] = RISK_WEIGHTS, top: int = 3) -> Column:
+    """T-06: names of the components that weigh most, ties by name."""
+    parts = F.array(*[F.when(components[k].isNotNull(), F.struct((-(components[k] * w)).alias("k"), F.lit(k).alias("name"))) for k, w in weights.items() if k in components])
+    return F.transform(F.slice(F.sort_array(F.array_compact(parts)), 1, top), lambda p: p["name"])
+
+
+def risk_score(components: dict[str, Column], weights: dict[str, float] = RISK_WEIGHTS, top: int = 3) -> Column:
+    """G-03, T-06: struct of score, level and the top weighted factors."""
+    score = risk_total(components, weights)
+    return F.struct(score.alias("score"), risk_level(score).alias("level"), top_factors(components, weights, top).alias("top"))
 
 
 def forecast_admissible(issued: Column, observed: Column) -> Column:

@@ -32,9 +32,13 @@ def change(df: DataFrame, value: Column, name: str, epsilon: float = EPSILON) ->
 def valid_history(df: DataFrame, keys: list[str], value: Column, ok: Column, name: str, keep: int = 3, order: str = "ts_us", tie: str = "obs_id") -> DataFrame:
     """W-04 to W-07 build on this: the last keep eligible values strictly before the row, oldest first, as {name}_hist (ts, v)."""
     entry = F.when(ok & value.isNotNull(), F.struct(F.col(order).alias("ts"), F.col(tie).alias("tie"), value.cast("double").alias("v")))
-    past = F.sort_array(F.collect_list(entry).over(before(keys, order)))
-    last = F.slice(past, F.greatest(F.lit(1), F.size(past) - keep + 1), F.lit(keep))
-    return df.withColumn(f"{name}_hist", F.transform(last, lambda e: F.struct(e["ts"].alias("ts"), e["v"].alias("v"))))
+    # each eligible row with the ones before it; the latest such chain of an earlier instant is carried to the row
+    own = f"partition by {', '.join(f'`{k}`' for k in keys)} order by `{order}`, `{tie}`"
+    df = df.withColumn("_e", entry)
+    df = df.withColumn("_c", F.when(F.col("_e").isNotNull(), F.struct("_e", *[F.expr(f"lag(_e, {k}) ignore nulls over ({own})").alias(f"e{k}") for k in range(1, keep)])))
+    df = df.withColumn("_h", F.max("_c").over(before(keys, order)))
+    chain = F.array(*[F.col(f"_h.e{k}") for k in range(keep - 1, 0, -1)], F.col("_h._e"))
+    return df.withColumn(f"{name}_hist", F.transform(F.array_compact(chain), lambda e: F.struct(e["ts"].alias("ts"), e["v"].alias("v")))).drop("_e", "_c", "_h")
 
 
 def _mean(values: Column) -> Column:

@@ -228,8 +228,9 @@ RULE = "r as (select l_orderkey, l_linenumber, case when l_orderkey % 23 <> 0 th
     case when v is not null and f and n then 'MODERATE' else 'LOW' end as band from s""")
 def status_rules(spark, sf):
     """G-01."""
-    r = spectra(spark, sf).select("l_orderkey", "l_linenumber", rules.status_candidate(F.when(c("l_orderkey") % 23 != 0, c("b08")), c("b04") - 0.4, -c("b06"), c("b07") - 0.5, c("b11") - 0.3, c("l_orderkey") % 3 == 0).alias("s"))
-    return r.select("l_orderkey", "l_linenumber", "s.status", "s.band")
+    r = spectra(spark, sf).select("l_orderkey", "l_linenumber", F.when(c("l_orderkey") % 23 != 0, c("b08")).alias("v"), (c("b04") - 0.4).alias("dv"), (-c("b06")).alias("drop"), (c("b07") - 0.5).alias("nd"), (c("b11") - 0.3).alias("bd"))
+    status, band = rules.status_and_band(c("v"), c("dv"), c("drop"), c("nd"), c("bd"))
+    return r.select("l_orderkey", "l_linenumber", status.alias("status"), band.alias("band"))
 
 
 @query("""with x as (select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'HARVESTED' else 'STANDING' end as st, case when l_linestatus = 'F' then 'MODERATE' else 'LOW' end as band, l_quantity - 5 as area, case when l_linenumber < 5 then l_discount * 10 end as peak from lineitem),
@@ -249,10 +250,8 @@ def risk_score_renormalised(spark, sf):
     """G-03, T-06."""
     li = read(spark, sf, "lineitem")
     parts = {"time_pressure": F.when(c("l_linenumber") != 1, N.clip((c("l_quantity") - 10) / 10, 0, 1)), "dry_weather": F.when(c("l_partkey") % 4 != 0, N.clip(1 - c("l_quantity") / 12, 0, 1)), "low_humidity": F.when(c("l_suppkey") % 3 != 0, N.clip((100 - c("l_quantity")) / 100, 0, 1))}
-    s = li.select("l_orderkey", "l_linenumber", rules.risk_score(parts).alias("s"))
-    score = F.round("s.score", 9)
-    level = F.when(score.isNull(), "INSUFFICIENT_DATA").when(score < 0.25, "LOW").when(score < 0.5, "MEDIUM").when(score < 0.75, "HIGH").otherwise("CRITICAL")
-    return s.select("l_orderkey", "l_linenumber", score.alias("score"), level.alias("level"))
+    s = li.select("l_orderkey", "l_linenumber", F.round(rules.risk_total(parts), 9).alias("score"))
+    return s.select("l_orderkey", "l_linenumber", "score", rules.risk_level(c("score")).alias("level"))
 
 
 @query("""with x as (select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'HARVESTED' when l_returnflag = 'A' then 'STANDING' end as st, case when l_linestatus = 'F' then 'HIGH' else 'LOW' end as conf, l_quantity - 3 as straw, case when l_partkey % 5 = 0 then 'POOR' else 'GOOD' end as q, case when l_suppkey % 4 = 0 then 'UNSUITABLE' when l_suppkey % 4 = 1 then 'UNKNOWN' else 'SUITABLE' end as w from lineitem),

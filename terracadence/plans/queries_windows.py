@@ -202,9 +202,10 @@ def modal_class(spark, sf):
 WEAK = """s as (
         select event_id, user_id, ts_us, (v % 100) / 100 as x, case when event_type = 'error' then 'POOR' else 'GOOD' end as q, (event_id % 10) / 10 as c from o
     ), u as (select *, coalesce(q <> 'POOR' and x is not null, false) as u from s),
-    w as (select *, last_value(case when u then ts_us end ignore nulls) over k as pt, last_value(case when u then x end ignore nulls) over k as px,
-        last_value(case when u and x >= 0.55 then ts_us end ignore nulls) over k as ht, max(case when u and x <= 0.35 then ts_us end) over k as lt, min(case when u and x >= 0.55 then ts_us end) over k as ft
-        from u window k as (partition by user_id order by ts_us, x nulls first rows between unbounded preceding and 1 preceding)),
+    i as (select user_id, ts_us, max(case when u then {'k': event_id, 'x': x} end) as m, max(case when u and x >= 0.55 then 1 end) as hi, max(case when u and x <= 0.35 then 1 end) as lo from u group by all),
+    k as (select *, max(case when m is not null then {'t': ts_us, 'x': m.x} end) over b as p, max(case when hi = 1 then ts_us end) over b as ht, max(case when lo = 1 then ts_us end) over b as lt, min(case when hi = 1 then ts_us end) over b as ft
+        from i window b as (partition by user_id order by ts_us rows between unbounded preceding and 1 preceding)),
+    w as (select u.*, k.p.t as pt, k.p.x as px, ht, lt, ft from u join k using (user_id, ts_us)),
     l as (select *, u and coalesce(c >= 0.5, false) and pt is not null as g, (ts_us - pt) / 86400000000 as gap, (ts_us - ht) / 86400000000 as sh from w),
     m as (select *, case when g and ht is not null and (lt is null or lt <= ht) and x <= 0.35 and sh > 0 and sh <= 75 then 'HARVESTED'
         when g and gap > 0 and gap <= 75 and ft < pt and px <= 0.30 and x - px >= 0.15 then 'SOWN' when g and gap > 0 and gap <= 75 and x >= 0.55 and abs(x - px) < 0.15 then 'STANDING' else 'UNKNOWN' end as weak_label from l)"""
@@ -212,9 +213,9 @@ WEAK = """s as (
 
 @query(f"with {OBS}, {WEAK} select event_id, weak_label, case when weak_label = 'HARVESTED' then sh else gap end as evidence_window_days from m")
 def weak_label_state_machine(spark, sf):
-    """W-30. Rows of one instant stand in order of value."""
+    """W-30."""
     o = observations(spark, sf).select("event_id", "user_id", "ts_us", (F.col("v") % 100 / 100).alias("x"), F.when(F.col("ok"), "GOOD").otherwise("POOR").alias("q"), (F.col("event_id") % 10 / 10).alias("c"))
-    return weak_labels(o, K, "ts_us", "x", "q", "c").select("event_id", "weak_label", "evidence_window_days")
+    return weak_labels(o, K, "ts_us", "x", "q", "c", "event_id").select("event_id", "weak_label", "evidence_window_days")
 
 
 @query(f"""with {OBS} select user_id, arg_max(event_id, (ts_us, event_id)) as event_id from o where ok and v is not null group by user_id""")

@@ -38,19 +38,20 @@ def temporal_rows(obs: DataFrame, keys: list[str], metrics: list[str], peak: str
     return df
 
 
-def weak_labels(obs: DataFrame, keys: list[str], ts: str = "ts_us", value: str = "value", quality: str = "observation_quality", cropland: str = "cropland_fraction") -> DataFrame:
+def weak_labels(obs: DataFrame, keys: list[str], ts: str = "ts_us", value: str = "value", quality: str = "observation_quality", cropland: str = "cropland_fraction", tie: str | None = None) -> DataFrame:
     """W-30: HARVESTED, SOWN, STANDING or UNKNOWN per row from the usable rows before it, with the evidence window. Proxies, never ground truth.
 
-    A harvest is the first low value after the last high one; sowing is green-up from bare ground after an earlier high;
+    Rows of one instant do not see each other; of the latest instant the row with the greatest tie key (or value) counts. A
+    harvest is the first low value after the last high one; sowing is green-up from bare ground after an earlier high;
     windows longer than 75 days decide nothing.
     """
     usable = F.coalesce(F.col(quality).isin("GOOD", "LIMITED") & F.col(value).isNotNull(), F.lit(False))
-    w = W.Window.partitionBy(*keys).orderBy(ts, F.col(value)).rowsBetween(W.Window.unboundedPreceding, -1)
-    row = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
+    w = W.before(keys, ts)
+    row = F.struct(F.col(ts).alias("t"), F.col(tie or value).alias("k"), F.col(value).alias("v"))
     df = obs.withColumn("_u", usable)
     df = df.withColumns({
-        "_prev": F.last(F.when(F.col("_u"), row), ignorenulls=True).over(w),
-        "_high": F.last(F.when(F.col("_u") & (F.col(value) >= 0.55), row), ignorenulls=True).over(w),
+        "_prev": F.max(F.when(F.col("_u"), row)).over(w),
+        "_high": F.max(F.when(F.col("_u") & (F.col(value) >= 0.55), row)).over(w),
         "_low_t": F.max(F.when(F.col("_u") & (F.col(value) <= 0.35), F.col(ts))).over(w),
         "_first_high_t": F.min(F.when(F.col("_u") & (F.col(value) >= 0.55), F.col(ts))).over(w),
     })

@@ -170,6 +170,35 @@ def test_replay(spark):
     assert {r.key for r in simulate.replay(f, [0, 1, 2, 3, 4], "fifo", per_day=4.0).collect() if r.served_day is not None} == {"c"}
 
 
+def plain_season(rows, rain, rank, per_day, window):
+    """Every day looked at afresh: who is open, in order of rank, until the first that does not fit."""
+    served = {}
+    for day in range(60):
+        open_ = [r for r in rows if r["key"] not in served and r["ready"] <= day <= r["ready"] + window and not (r["burned"] and r["burn_day"] <= day)]
+        spent = 0.0
+        for k, r in enumerate(sorted(open_, key=lambda r: (-rank(r, day), r["key"])) if day not in rain else []):
+            if k and spent + r["area"] > per_day:
+                break
+            served[r["key"]], spent = day, spent + r["area"]
+    return served
+
+
+@pytest.mark.parametrize(("policy", "rank"), [
+    ("fifo", lambda r, d: d - r["ready"]), ("largest_first", lambda r, d: r["area"]), ("risk", lambda r, d: r["score"] + 1e-4 * (d - r["ready"])),
+    ("risk_urgency", lambda r, d: r["score"] * (1 + (d - r["ready"]) / 10)), ("oracle", lambda r, d: 1000 - (r["last_clear"] - d) if r["burned"] else 1e-3 * (d - r["ready"])),
+    ("dynamic", lambda r, d: next((p["score"] for p in reversed(r["dynamic"]) if p["day"] <= d), r["score"] * 1e-3) + 1e-4 * (d - r["ready"])),
+])
+def test_replay_equals_a_plain_season(spark, policy, rank):
+    rnd = random.Random(policy)
+    rows = [{"zone": k % 3, "key": k, "area": rnd.choice([0.5, 1.0, 2.0, 5.0]), "ready": float(rnd.randrange(12)), "burned": rnd.random() < 0.4, "burn_day": float(rnd.randrange(8, 30)), "last_clear": float(rnd.randrange(5, 28)), "score": rnd.randrange(100) / 100, "dynamic": [{"day": 3, "score": rnd.random()}, {"day": 7, "score": rnd.random()}]} for k in range(120)]
+    df = spark.createDataFrame(rows, "zone int, key int, area double, ready double, burned boolean, burn_day double, last_clear double, score double, dynamic array<struct<day: int, score: double>>")
+    got = {r.key: r.served_day for r in simulate.replay(df, [4, 9], policy, per_day=4.0, window=8).collect() if r.served_day is not None}
+    want = {}
+    for zone in range(3):
+        want |= plain_season([r for r in rows if r["zone"] == zone], {4, 9}, rank, 4.0, 8)
+    assert got == want and got
+
+
 @pytest.mark.parametrize("policy", ["random", "fifo", "largest_first", "risk", "risk_urgency", "dynamic", "oracle"])
 def test_replay_keeps_within_capacity(policy):
     rnd = random.Random(2)
