@@ -9,7 +9,6 @@ from ..functions import geo as G
 from ..functions import spectral as S
 from ..functions.texts import reasons, sorted_set
 from ..operators.aggregates import db_array_summary, number_stats
-from ..operators.band import radius_pairs
 from ..operators.joins import asof
 from ..operators.windows import keep_one
 
@@ -26,42 +25,66 @@ def optical_features(optical: DataFrame) -> DataFrame:
     return rows.withColumns({"valid_pixel_fraction": F.try_divide("valid_pixel_count", "total_pixel_count"), "cloud_fraction": F.try_divide("_c", "total_pixel_count")}).drop("_c")
 
 
-def weather_features(rows: DataFrame, weather: DataFrame, key: str, ts: str = "ts_us", hours: tuple[int, ...] = (24, 72)) -> DataFrame:
+#: Width of the time buckets that spread rows over tasks where there is one series only.
+BUCKET_US = 7 * 24 * HOUR_US
+
+
+def _carried(series: DataFrame, rows: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """series in buckets of time (_k), each bucket of rows also holding the last row before it, so that a bucket can be looked up alone."""
+    from pyspark.sql import Window
+
+    own = series.select(F.floor(F.col("at_us") / BUCKET_US).alias("_k"), "at_us", *columns)
+    last = own.groupBy("_k").agg(F.max(F.struct("at_us", *columns)).alias("last"))
+    wanted = rows.select(F.floor(F.col(at) / BUCKET_US).alias("_k")).distinct()
+    # a row for each week: bounded by the time the tables span
+    marks = last.unionByName(wanted.join(last, "_k", "left_anti"), allowMissingColumns=True)
+    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("held", F.last("last", ignorenulls=True).over(before)).where(F.col("held").isNotNull())
+    return own.unionByName(marks.select("_k", "held.*"))
+
+
+def weather_features(rows: DataFrame, weather: DataFrame, ts: str = "ts_us", hours: tuple[int, ...] = (24, 72)) -> DataFrame:
     """B-02: sums of rain over trailing hours (t - h, t], and the last value of each other measure that is not missing at or before t.
 
-    weather: at_us, rain and measures. Rain comes from an hourly prefix sum and two as-of lookups, so no row meets
-    hours one by one.
+    weather: at_us, rain and measures, of the nodes in the column node that rows name too, or of one series. Rain comes
+    from an hourly prefix sum and as-of lookups, so no row meets hours one by one; a single series is cut into buckets
+    of time, so its rows do not meet in one task.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.lit(0)).orderBy("at_us") if "node" not in weather.columns else Window.partitionBy("node").orderBy("at_us")
-    keys = ["node"] if "node" in weather.columns else []
-    run = weather.withColumn("rain_sum", F.sum(F.coalesce("rain", F.lit(0.0))).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    if not keys:
-        run, rows, keys = run.withColumn("_k", F.lit(0)), rows.withColumn("_k", F.lit(0)), ["_k"]
-    out = asof(rows, run, keys, ts, "at_us", ["rain_sum"], prefix="now_")
+    nodes = "node" in weather.columns
+    hourly = Window.partitionBy("node").orderBy("at_us") if nodes else Window.orderBy("at_us")  # one series is as long as its hours
+    run = weather.withColumn("rain_sum", F.sum(F.coalesce("rain", F.lit(0.0))).over(hourly.rangeBetween(Window.unboundedPreceding, 0)))
+    measures = [c for c in weather.columns if c not in ("at_us", "rain", "node")]
+
+    def lookup(out: DataFrame, series: DataFrame, at: str, column: str, prefix: str) -> DataFrame:
+        if nodes:
+            return asof(out, series, ["node"], at, "at_us", [column], prefix=prefix)
+        out = out.withColumn("_k", F.floor(F.col(at) / BUCKET_US))
+        return asof(out, _carried(series, out, at, [column]), ["_k"], at, "at_us", [column], prefix=prefix).drop("_k")
+
+    out = lookup(rows, run, ts, "rain_sum", "now_")
     for h in hours:
-        out = out.withColumn("_back", F.col(ts) - h * HOUR_US)
-        out = asof(out, run, keys, "_back", "at_us", ["rain_sum"], prefix="back_")
+        out = lookup(out.withColumn("_back", F.col(ts) - h * HOUR_US), run, "_back", "rain_sum", "back_")
         out = out.withColumn(f"rain_{h}h", F.when(F.col("now_ts") > F.col("_back"), F.col("now_rain_sum") - F.coalesce("back_rain_sum", F.lit(0.0)))).drop("_back", "back_ts", "back_rain_sum")
-    for m in [c for c in weather.columns if c not in ("at_us", "rain", "node")]:
-        kept = weather.where(F.col(m).isNotNull())
-        kept = kept if "node" in weather.columns else kept.withColumn("_k", F.lit(0))
-        out = asof(out, kept, keys, ts, "at_us", [m], prefix="last_").drop("last_ts")
-    return out.drop("now_ts", "now_rain_sum", "_k")
+    for m in measures:
+        out = lookup(out, weather.where(F.col(m).isNotNull()), ts, m, "last_").drop("last_ts")
+    return out.drop("now_ts", "now_rain_sum")
 
 
 def fire_features(rows: DataFrame, fires: DataFrame, row_id: str, ring: str, buffers_m: tuple[float, ...] = (500.0, 1000.0)) -> DataFrame:
     """J-19: detections up to t inside the polygon and within each buffer of it, recent ones within the largest, and their sources.
 
-    Candidates come from a banded join on the polygon's centre and reach; the exact distance to the polygon decides.
-    rows: x, y, reach (greatest distance of the ring from its centre), ring in metres, ts_us; fires: fx, fy, fire_us, source.
+    Each polygon covers the grid cells of its own box, widened by the largest buffer; fires are joined by their cell and
+    the exact distance to the polygon decides. rows: ring in metres, ts_us; fires: fx, fy, fire_us, source.
     """
     widest = max(buffers_m)
-    reach = rows.agg(F.max("reach")).first()[0] or 0.0
-    pairs = radius_pairs(rows.select(row_id, "x", "y", ring, "ts_us"), fires, widest + reach, ("x", "y"), ("fx", "fy"), F.col("fire_us") <= F.col("ts_us"))
-    d = G.polygon_distance(F.col("fx"), F.col("fy"), F.col(ring))
-    pairs = pairs.withColumn("d", d).where(F.col("d") <= widest)
+    cell = lambda v: F.floor(v / (2 * widest)).cast("long")
+    span = lambda k: F.sequence(cell(F.array_min(F.transform(ring, lambda p: p[k])) - widest), cell(F.array_max(F.transform(ring, lambda p: p[k])) + widest))
+    left = rows.select(row_id, ring, "ts_us", F.explode(span("x")).alias("gx"), span("y").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
+    right = fires.select("fx", "fy", "fire_us", "source", cell(F.col("fx")).alias("gx"), cell(F.col("fy")).alias("gy"))
+    pairs = left.join(right, ["gx", "gy"]).where(F.col("fire_us") <= F.col("ts_us"))
+    pairs = pairs.withColumn("d", G.polygon_distance(F.col("fx"), F.col("fy"), F.col(ring))).where(F.col("d") <= widest)
     age = F.col("ts_us") - F.col("fire_us")
     counts = pairs.groupBy(row_id).agg(
         F.count_if(F.col("d") == 0).alias("fires_inside"), *[F.count_if(F.col("d") <= b).alias(f"fires_{int(b)}m") for b in buffers_m], F.min("d").alias("nearest_m"),
@@ -85,16 +108,25 @@ def fixture_quality(n_valid, fraction, cloud, has_radar, has_vh, has_weather, ha
 
 
 def feature_rows(bundle: dict[str, DataFrame], to_us, max_age_us: int = 12 * 24 * HOUR_US) -> DataFrame:
-    """B-01: one row per field and image: optical statistics, the latest vertical radar pass within the tolerance, and the quality of both.
+    """B-01: one row per field and image: optical statistics, the latest vertical radar pass within the tolerance, weather and fires up to the image, and the quality of all.
 
-    to_us: Column -> microseconds. Of images of one field and instant the first stays (W-24).
+    bundle: optical and radar; weather (at_us, rain, measures) and fires with fields (field_id, ring in metres) where
+    there are any, what is missing being flagged. to_us: Column -> microseconds. Of images of one field and instant the
+    first stays (W-24).
     """
     rows = optical_features(bundle["optical"]).withColumn("ts_us", to_us(F.col("acquisition_datetime")))
     rows, _ = keep_one(rows, ["field_id", "ts_us"], [F.col("source_image_id")])
     radar = bundle["radar"].where((F.col("instrument_mode") == "IW") & F.array_contains("polarizations", "VV")).withColumn("s1_us", to_us(F.col("acquisition_datetime")))
     radar = radar.withColumns(db_array_summary(F.col("VV_dB"), F.col("VH_dB"))).withColumnRenamed("source_image_id", "source_image_id_s1")
     out = asof(rows, radar, ["field_id"], "ts_us", "s1_us", ["source_image_id_s1", "vv_mean_db", "vh_mean_db", "vv_minus_vh_db", "vv_vh_ratio_linear"], max_age_us, tie="source_image_id_s1", prefix="s1_")
-    q = fixture_quality(F.col("valid_pixel_count"), F.col("valid_pixel_fraction"), F.col("cloud_fraction"), F.col("s1_ts").isNotNull(), F.col("s1_vh_mean_db").isNotNull(), F.lit(True), F.lit(True))
+    has_weather = has_fires = F.lit(False)
+    if (weather := bundle.get("weather")) is not None:
+        out = weather_features(out, weather)
+        has_weather = F.col("rain_72h").isNotNull()
+    if (fires := bundle.get("fires")) is not None:
+        out = fire_features(out.join(bundle["fields"].select("field_id", "ring"), "field_id", "left"), fires, "source_image_id", "ring").drop("ring")
+        has_fires = F.lit(True)
+    q = fixture_quality(F.col("valid_pixel_count"), F.col("valid_pixel_fraction"), F.col("cloud_fraction"), F.col("s1_ts").isNotNull(), F.col("s1_vh_mean_db").isNotNull(), has_weather, has_fires)
     return out.withColumn("_q", q).withColumns({"observation_quality": F.col("_q.quality"), "quality_flags": F.col("_q.flags")}).drop("_q")
 
 
@@ -113,7 +145,7 @@ def checked_fields(raw: DataFrame, least_ha: float = 0.2, most_ha: float = 15.0)
     df = df.withColumns({"cx": cx, "cy": cy, "_shape": F.md5(F.to_json(F.sort_array(F.array_distinct(ring))))})
     outside = F.exists(ring, lambda p: ~p["x"].between(-180, 180) | ~p["y"].between(-90, 90) | p["x"].isNull() | p["y"].isNull())
     df = df.withColumn("issues", reasons([
-        (F.col("field_id").isNull() | (F.trim("field_id") == ""), "ID_MISSING"), (F.count(F.lit(1)).over(Window.partitionBy("field_id")) > 1, "ID_REPEATED"),
+        (F.col("field_id").isNull() | (F.trim("field_id") == ""), "ID_MISSING"), (F.col("field_id").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy("field_id")) > 1), "ID_REPEATED"),
         (F.row_number().over(Window.partitionBy("_shape").orderBy("field_id")) > 1, "SHAPE_REPEATED"), (F.size(F.array_distinct(ring)) < 3, "TOO_FEW_CORNERS"),
         (outside, "COORDINATES_OUT_OF_RANGE"), (crosses_itself(F.col("xy")), "CROSSES_ITSELF"), (F.col("area_ha") <= 1e-6, "NO_AREA"), (~F.col("area_ha").between(least_ha, most_ha), "AREA_OUTSIDE_LIMITS"),
     ])).drop("_shape")
@@ -128,11 +160,23 @@ def crosses_itself(ring):
     return F.exists(edges, lambda e: F.exists(edges, lambda f: F.coalesce(crossing(e, f), F.lit(False))))
 
 
-def overlapping(fields: DataFrame, least_m2: float = 1.0, reach_m: float = 500.0) -> DataFrame:
-    """J-22: pairs of fields whose polygons overlap by more than least_m2, found by bands on their centres and cut exactly (convex clipping side by side)."""
+def overlapping(fields: DataFrame, least_m2: float = 1.0, cell_m: float = 500.0) -> DataFrame:
+    """J-22: pairs of fields whose polygons overlap by more than least_m2, cut exactly (convex clipping side by side).
+
+    Polygons meet in the grid cells of their boxes; a pair is looked at in the cell where the boxes' intersection
+    begins, so once.
+    """
     from ..functions.clip import overlap_area
 
-    slim = fields.select("field_id", "cx", "cy", "xy")
-    other = slim.toDF("other_id", "ox", "oy", "oxy")
-    pairs = radius_pairs(slim, other, reach_m, ("cx", "cy"), ("ox", "oy"), F.col("field_id") < F.col("other_id"))
-    return pairs.withColumn("overlap_m2", overlap_area("xy", "oxy")).where(F.col("overlap_m2") > least_m2).select("field_id", "other_id", "overlap_m2")
+    low = lambda k: F.array_min(F.transform("xy", lambda p: p[k]))
+    high = lambda k: F.array_max(F.transform("xy", lambda p: p[k]))
+    cell = lambda v: F.floor(v / cell_m).cast("long")
+    slim = fields.select("field_id", "xy", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
+    slim = slim.withColumn("gx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("gy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+    a, b = slim.alias("a"), slim.alias("b")
+    c = F.col
+    begins = (c("a.gx") == cell(F.greatest("a.x0", "b.x0"))) & (c("a.gy") == cell(F.greatest("a.y0", "b.y0")))
+    boxes = (c("a.x0") <= c("b.x1")) & (c("b.x0") <= c("a.x1")) & (c("a.y0") <= c("b.y1")) & (c("b.y0") <= c("a.y1"))
+    pairs = a.join(b, (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & (c("a.field_id") < c("b.field_id")) & begins & boxes)
+    pairs = pairs.select(c("a.field_id").alias("field_id"), c("b.field_id").alias("other_id"), c("a.xy").alias("xy"), c("b.xy").alias("oxy"))
+    return pairs.withColumn("overlap_m2", overlap_area("xy", "oxy")).where(c("overlap_m2") > least_m2).select("field_id", "other_id", "overlap_m2")
