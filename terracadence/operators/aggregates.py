@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,12 +211,24 @@ def lift_per_group(df: DataFrame, group: str, label: str, score: str, tie: str,
 POTENTIALS = {"CH4": 27.0, "N2O": 273.0}
 
 
+def hash_uniform(i: Column, stream: int, seed: int = 0) -> Column:
+    """A number in (0, 1) that depends on the row number, the stream and the seed only, on any engine: 32 bits of an MD5."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), F.lit(stream), F.lit(seed))), 1, 8), 16, 10).cast("double")
+    return (bits + 0.5) / 4294967296.0
+
+
+def hash_normal(i: Column, stream: int, seed: int = 0) -> Column:
+    """A standard normal number out of two uniform ones."""
+    return F.sqrt(-2 * F.ln(hash_uniform(i, stream, seed))) * F.cos(2 * math.pi * hash_uniform(i, stream + 1, seed))
+
+
 def emission_draws(spark, area_ha: float, factors: dict[str, tuple[float, float]], draws: int = 20_000, seed: int = 0, potentials: dict[str, float] = POTENTIALS) -> DataFrame:
     """A-36: Monte-Carlo tonnes per species: straw 5 to 7.5 t/ha, dry share .8 to .9, burned share .7 to .9, factors normal and at least a tenth of their mean."""
-    uniform = lambda a, b, k: a + (b - a) * F.rand(seed * 100 + k)
+    i = F.col("id")
+    uniform = lambda a, b, k: a + (b - a) * hash_uniform(i, k, seed)
     df = spark.range(draws).withColumn("dry_matter_t", area_ha * uniform(5.0, 7.5, 1) * uniform(0.8, 0.9, 2) * uniform(0.7, 0.9, 3))
-    for i, (species, (mean, deviation)) in enumerate(factors.items()):
-        factor = F.greatest(F.lit(mean) + deviation * F.randn(seed * 100 + 10 + i), F.lit(0.1 * mean))
+    for k, (species, (mean, deviation)) in enumerate(factors.items()):
+        factor = F.greatest(F.lit(mean) + deviation * hash_normal(i, 10 + 2 * k, seed), F.lit(0.1 * mean))
         df = df.withColumn(f"{species}_t", F.col("dry_matter_t") * factor / 1000)
     known = [F.col(f"{s}_t") * g for s, g in potentials.items() if s in factors]
     return df.withColumn("co2e_t", sum(known[1:], known[0]) if known else F.lit(0.0))

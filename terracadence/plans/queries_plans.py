@@ -9,7 +9,7 @@ from ..operators import aggregates as A
 from ..operators import simulate
 from . import events as E
 from . import panels as P
-from .tables import observations, points, read
+from .tables import OBS, observations, points, read
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -141,12 +141,26 @@ def greedy_tours(spark, sf):
     return simulate.route(f, u, "depot")
 
 
-@query(None)
+# Grams of each species a kilogram of dry matter gives off, and their deviation.
+FACTORS = {"CO2": (1430.0, 230.0), "CH4": (5.7, 6.0), "N2O": (0.09, 0.04), "CO": (76.0, 55.0), "PM2_5": (8.2, 4.4), "BC": (0.42, 0.28), "OC": (4.9, 3.6)}
+
+
+def _emissions_sql() -> str:
+    u = lambda k: f"((('0x' || substr(md5(i || ':{k}:0'), 1, 8))::bigint + 0.5) / 4294967296.0)::double"
+    between = lambda a, b, k: f"({a}::double + {b - a}::double * {u(k)})"
+    species = [f"dm * greatest({m}::double + {d}::double * (sqrt(-2 * ln({u(10 + 2 * k)})) * cos(2 * pi() * {u(11 + 2 * k)})), {0.1 * m}::double) / 1000 as {s}_t" for k, (s, (m, d)) in enumerate(FACTORS.items())]
+    names = ["dry_matter_t", *[f"{s}_t" for s in FACTORS], "co2e_t"]
+    rows = " union all ".join(f"select '{n}' as measure, round(quantile_cont({n}, 0.05), 3) as p05, round(quantile_cont({n}, 0.5), 3) as median, round(quantile_cont({n}, 0.95), 3) as p95 from e" for n in names)
+    return f"""with i as (select unnest(generate_series(0, 19999)) as i), d as (select i, 1000::double * {between(5.0, 7.5, 1)} * {between(0.8, 0.9, 2)} * {between(0.7, 0.9, 3)} as dm from i),
+        s as (select dm as dry_matter_t, {", ".join(species)} from d), e as (select *, CH4_t * 27.0::double + N2O_t * 273.0::double as co2e_t from s) {rows}"""
+
+
+@query(_emissions_sql())
 def emissions_mc(spark, sf):
     """A-36."""
-    factors = {"CO2": (1430.0, 230.0), "CH4": (5.7, 6.0), "N2O": (0.09, 0.04), "CO": (76.0, 55.0), "PM2_5": (8.2, 4.4), "BC": (0.42, 0.28), "OC": (4.9, 3.6)}
-    draws = A.emission_draws(spark, 1000.0, factors)
-    return A.draw_summary(draws, ["dry_matter_t", *[f"{s}_t" for s in factors], "co2e_t"])
+    draws = A.emission_draws(spark, 1000.0, FACTORS)
+    out = A.draw_summary(draws, ["dry_matter_t", *[f"{s}_t" for s in FACTORS], "co2e_t"])
+    return out.select("measure", *[F.round(x, 3).alias(x) for x in ("p05", "median", "p95")])
 
 
 @query("""select s_suppkey, 2 * 6371.0088 * asin(sqrt(least(greatest(power(sin(radians(d2 - d1) / 2), 2) + cos(radians(d1)) * cos(radians(d2)) * power(sin(radians(l2 - l1) / 2), 2), 0), 1))) > 60 as far from
@@ -167,7 +181,24 @@ def polygon_membership(spark, sf):
     return p.select(c("id").alias("c_custkey"), G.in_ring(c("x"), c("y"), ring).alias("inside"), G.polygon_distance(c("x"), c("y"), ring).alias("distance"))
 
 
-@query(None)
+def _temporal_sql() -> str:
+    """The single windows' SQL side by side; the second metric is half the first, so its measures are."""
+    from .queries_windows import SQL as W
+
+    stats = ["delta_2obs", "rolling_mean_2", "rolling_mean_3", "rolling_std_3", "slope_last_3"]
+    scaled = ["prev", "delta", *stats]
+    first = [f"v_{c} as NDVI_{c}" for c in [*scaled, "pct_change"]] + [f"v_{c} / 2 as NBR_{c}" for c in scaled] + ["v_pct_change as NBR_pct_change"]
+    peak = [f"v_{c} as NDVI_{c}" for c in ("peak", "peak_ts", "drop_from_peak", "drop_fraction", "days_since_peak")]
+    back = f"""with {OBS}, g as (select o.event_id, max({{'t': p.ts_us, 'e': p.event_id}}) filter (p.ok) as m, count(p.event_id) filter (p.ok) as n from o left join o p on p.user_id = o.user_id and p.ts_us < o.ts_us group by o.event_id)
+        select event_id, m.t as prev_ts_us, m.e as prev_image, case when m is not null then 'GOOD' end as prev_quality, m is not null as has_prev, n as history_count from g"""
+    return f"""select o.event_id, o.user_id, o.ts_us, case when ok then 'GOOD' else 'POOR' end as observation_quality, 10 as valid_pixel_count, o.v as NDVI, o.v / 2 as NBR, h.history_count, h.prev_ts_us, h.prev_image, h.prev_quality, h.has_prev,
+        (o.ts_us - h.prev_ts_us) / 86400000000 as gap_days, case when h.prev_ts_us is null then null when (o.ts_us - h.prev_ts_us) / 86400000000 <= 14 then 'NORMAL' when (o.ts_us - h.prev_ts_us) / 86400000000 <= 30 then 'MODERATE' else 'LARGE' end as gap_category,
+        observation_number, days_since_first, duplicate_timestamp, {", ".join(first + peak)}, 'temporal-1' as feature_schema_version
+        from (with {OBS} select * from o) o join ({back}) h using (event_id) join ({W["obs_number_gap"]}) n using (event_id) join ({W["prev_valid_block"]}) b using (event_id)
+        join ({W["rolling_valid_means"]}) r using (event_id) join ({W["slope_last3"]}) s using (event_id) join ({W["running_peak"]}) p using (event_id)"""
+
+
+@query(_temporal_sql())
 def temporal_rows(spark, sf):
     """B-03: all windows in one plan; each has its own query with SQL."""
     from .temporal import temporal_rows as build

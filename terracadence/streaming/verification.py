@@ -32,27 +32,36 @@ def _state_of(n: int, strong: int, doubtful: int, span: float, sown: bool, late:
 TERMINAL = ("BURN_SIGNAL_DETECTED", "NO_BURN_VERIFIED", "CLOSED")
 
 
-def cases(stream: DataFrame, deadline_days: float = 30, least: int = 3, least_span: float = 20, ahead_us: int = 300_000_000) -> DataFrame:
+def cases(stream: DataFrame, deadline_days: float = 30, least: int = 3, least_span: float = 20, ahead_us: int = 300_000_000, late: str = "1 day") -> DataFrame:
     """X-01, X-02: observations of cases in strict order of time; what comes late, twice, before the start, from the future or after the end is rejected with a reason.
 
     stream: case_id, observation_id, at, started, received (timestamps), observation_quality, nbr_delta, bais2_delta,
-    ndvi_delta, fire, sown. The state per case is a few numbers and the ids seen; its timer is the processing clock, so
-    an idle case is let go after the deadline.
+    ndvi_delta, fire, sown. The state per case is a few numbers and the ids it accepted. Once the watermark of received
+    passes a case's deadline, it is judged, leaves a row without an observation, and its state goes; what comes after
+    that is rejected.
     """
     ship(stream.sparkSession)
     evidence = burn_evidence(F.col("observation_quality"), F.col("nbr_delta"), F.col("bais2_delta"), F.col("ndvi_delta"), F.col("fire"))
-    rows = stream.withColumn("evidence", evidence)
+    rows = stream.withWatermark("received", late).withColumn("evidence", evidence)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, strong, doubtful, first, last, sown, seen = state.get if state.exists else (0, 0, 0, None, None, False, "")
+        if state.hasTimedOut:
+            span = (last - first) / DAY_US if n > 1 else 0.0
+            state.remove()
+            final = _state_of(n, strong, doubtful, span, sown, True, least, least_span)
+            yield pd.DataFrame({"case_id": [key[0]], "observation_id": [None], "at": [pd.NaT], "accepted": [False], "reason": ["DEADLINE"], "state": [final], "n": [n]}).astype({"at": "datetime64[us]"})
+            return
         ids, out = set(seen.split("\n")) if seen else set(), []
+        over = state.getCurrentWatermarkMs()
+        fresh = not state.exists
         batch = pd.concat(list(frames), ignore_index=True)
         for r in batch.sort_values(["received", "at", "observation_id"], kind="stable").itertuples():
             at, begun, now = (int(x.value // 1000) for x in (r.at, r.started, r.received))
             span = (last - first) / DAY_US if n > 1 else 0.0
             current = _state_of(n, strong, doubtful, span, sown, last is not None and last >= begun + deadline_days * DAY_US, least, least_span)
             reason = (
-                "CASE_ENDED" if n and current in TERMINAL else "FUTURE" if at > now + ahead_us else "BEFORE_START" if at < begun
+                "CASE_ENDED" if n and current in TERMINAL or fresh and over * 1000 >= begun + deadline_days * DAY_US else "FUTURE" if at > now + ahead_us else "BEFORE_START" if at < begun
                 else "DUPLICATE" if r.observation_id in ids else "NOT_CHRONOLOGICAL" if last is not None and at <= last else None
             )
             if reason is None:
@@ -64,9 +73,10 @@ def cases(stream: DataFrame, deadline_days: float = 30, least: int = 3, least_sp
                 current = _state_of(n, strong, doubtful, span, sown, last >= begun + deadline_days * DAY_US, least, least_span)
             out.append((key[0], r.observation_id, r.at, reason is None, reason, current, n))
         state.update((n, int(strong), int(doubtful), first, last, bool(sown), "\n".join(sorted(ids))))
+        state.setTimeoutTimestamp(max(over + 1, int(begun + deadline_days * DAY_US) // 1000))
         yield pd.DataFrame(out, columns=["case_id", "observation_id", "at", "accepted", "reason", "state", "n"])
 
-    return rows.groupBy("case_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("case_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fresh_fires(stream: DataFrame, late: str = "2 days") -> DataFrame:
