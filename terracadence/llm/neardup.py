@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import components
-from .shingles import ODD, mix, shingle_set
+from .shingles import ODD, forget, mix, shingle_set
 
 #: Bands and samples in each: a pair at 0.85 shares no band once in 4e7.
 BANDS, ROWS = 30, 5
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 halves = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
                 cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "n", "s1", "s2", "bands", "sketch"])
+        forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
     return slim.mapInArrow(run, "id long, tag long, n long, s1 long, s2 long, bands array<long>, sketch binary")
@@ -213,6 +214,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, per
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "full"])
+        forget()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, x, y), group in _groups(batches, 3):

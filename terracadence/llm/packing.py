@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Words whose ids a task keeps; beyond that it starts anew.
+CACHE_WORDS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +68,7 @@ def encoder(path: str, added: bool = False):
                     out[i] = x
         return b"".join([pack(first) if first else b"", *out])
 
+    encode.forget = kept.clear
     return encode
 
 
@@ -197,6 +198,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 rows, size = [], 0
         if rows:
             yield flush()
+        encode.forget()  # the worker lives on
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)

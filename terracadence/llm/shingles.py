@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 500_000
+#: Words whose hashes a task keeps; beyond that it starts anew.
+CACHE_WORDS = 200_000
 MASK = (1 << 64) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _kept: dict[bytes, bytes] = {}
@@ -27,6 +27,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(out), np.uint64)
 
 
+def forget() -> None:
+    """Let go of the kept words: at the end of a task, as its worker lives on."""
+    _kept.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over the word."""
     x = x ^ (x >> np.uint64(31))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .shingles import mix, windows, word_hashes
+from .shingles import forget, mix, windows, word_hashes
 
 #: Bits of the bitmap of repeated anchors that goes to every task (16 MB whatever the input), and words in an anchor.
 BITMAP_BITS, ANCHOR = 27, 8
@@ -47,6 +47,7 @@ def repeated_anchors(docs: DataFrame, width: int) -> np.ndarray:
                 if got:
                     value, n = np.unique(np.concatenate(got), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(n, 2), pa.int64())], ["a", "n"])
+        forget()
 
     repeated = docs.select("text").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
     cell = F.shiftrightunsigned("a", 64 - BITMAP_BITS)
@@ -125,6 +126,7 @@ def edges(docs: DataFrame, width: int, bitmap) -> DataFrame:
                         got, size = [], 0
         if got:
             yield from flush()
+        forget()
 
     return docs.mapInArrow(run, EDGE_SCHEMA)
 
