@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.staging import staged
 
-__all__ = ["SPACE", "WORD", "read", "small", "staged", "text_of"]
+__all__ = ["SPACE", "WORD", "read", "sliced", "small", "staged", "text_of"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,3 +31,10 @@ def text_of(text_col: str) -> Column:
 def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """Mark for broadcast only if the counted rows stay within the bound; otherwise leave the join to the planner's shuffle."""
     return F.broadcast(df) if rows <= bound else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most so many rows, so that a worker holds few texts as Python strings at once."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)

@@ -74,8 +74,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
                 n, s, keys, sketches = [], [], [], []
                 for text in b.column(1).to_pylist():
                     x = shingle_set(text, width)

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a task keeps; beyond that it starts anew.
 CACHE_WORDS = 200_000
@@ -181,7 +183,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
         def sequences() -> Iterator[list[tuple]]:
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     yield from packer.add(doc, encode(text or "") + end)
             yield from packer.close()

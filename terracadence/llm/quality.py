@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .features import BINS, STATS, quality_features
 
 #: Labelled rows that training looks at, chosen by the hash of their id.
@@ -92,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(meta_col).cast("long").alias("meta")).join(chosen, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [quality_features(t or "", m, word_bits) for t, m in zip(b.column("text").to_pylist(), b.column("meta").to_pylist(), strict=True)]
             cols = [b.column("id"), b.column("y"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", "idx", "val"])
@@ -111,7 +112,7 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     as empty and get a score too; repeated rows are scored alike; no rows give none.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, metas, out = b.column(text_name).to_pylist(), b.column("_meta").to_pylist(), []
             for at in range(0, len(texts), 256):
                 out.append(model.score([quality_features(t or "", m, word_bits) for t, m in zip(texts[at : at + 256], metas[at : at + 256], strict=True)]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sliced, staged
 from .shingles import forget, mix, windows, word_hashes
 
 #: Bits of the bitmap of repeated anchors that goes to every task (16 MB whatever the input), and words in an anchor.
@@ -111,7 +111,7 @@ def edges(docs: DataFrame, width: int, bitmap) -> DataFrame:
             if len(paths[0]):
                 yield _batch([mix((paths[0] ^ paths[1]).view(np.uint64)).view(np.int64), *paths])
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, tag, text in zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = _words(text)
                 if doc is None or len(w) < width:
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 33).alias("tag"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             counts, removed, kept = [], [], []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .features import word_features
 from .quality import labelled
 
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             features = [word_features(t or "", word_bits).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(features, pa.binary())], ["id", "y", "idx"])
 
@@ -169,7 +170,7 @@ def score(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col:
     names = [id_col, *(f"p_{c}" for c in NAMES), "score", "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             p = run_chain(chain, [word_features(t or "", word_bits) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k], pa.float64()) for k in range(len(CHAIN))), pa.array((p[:, -1] >= threshold).astype(np.int32), pa.int32())], names)
 
