@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, neardup, packing, quality, secrets, substring, topk, toxicity
+from . import fingerprint, hardneg, heaplloyd, linededup, mixing, neardup, packing, quality, secrets, substring, topk, toxicity, wrappers
 from .common import read
 
 
@@ -59,7 +59,39 @@ def op10_de_bruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op7_line_setjoin, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans)}
+def op11_gemm_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hardneg.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op12_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heaplloyd.compress(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_credential_links, op3_block_topk, op4_toxicity_chain, op5_hash_mix, op6_canonical_digest, op7_line_setjoin, op8_min_slack_packing, op9_odd_sketch_minhash, op10_de_bruijn_spans, op11_gemm_negatives, op12_html_wrappers, op13_heap_lloyd)}
+
+def _lloyd_sql() -> str:
+    """Two rounds and a last assignment, written out: m is 64 * distance + entry, so its least value breaks ties to the lower index."""
+    way = " + ".join(f"(s[{d}] - c[{d}]) * (s[{d}] - c[{d}])" for d in range(1, 5))
+    mean = ", ".join(f"cast(floor(sum(s[{d}]) / cast(count(*) as double)) as bigint)" for d in range(1, 5))
+    assign = lambda r: f"a{r} as materialized (select x.n, x.p, any_value(s) as s, min(({way}) * 64 + e) as m from x join b{r} b on x.p = b.p group by x.n, x.p)"
+    update = lambda r: f"b{r + 1} as materialized (select b.p, b.e, coalesce(u.c, b.c) as c from b{r} b left join (select p, m % 64 as e, [{mean}] as c from a{r} group by all) u on b.p = u.p and b.e = u.e)"
+    return f"""
+        with v as materialized (
+            select row_number() over (order by vec_id nulls last) - 1 as n, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+            where embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) is not false
+        ), x as materialized (select n, p, v[4 * p + 1:4 * p + 4] as s from v, range(16) t(p)),
+        b0 as materialized (select p, n as e, s as c from x where n < 64),
+        {assign(0)}, {update(0)}, {assign(1)}, {update(1)}, {assign(2)},
+        r as (select n, string_agg(format('{{:02x}}', m % 64), '' order by p) as code, cast(sum(m // 64) as bigint) as error from a2 group by n),
+        h as (select sha256(string_agg(array_to_string(list_transform(c, lambda y: cast(y as varchar)), ','), ',' order by p, e)) as codebooks_sha256 from b2)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from r join v using (n), h"""
+
 
 def _secrets_sql() -> str:
     """The scan in SQL: places from the lengths of gaps and matches, links from a join of intervals."""
@@ -105,6 +137,21 @@ SQL = {
             from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
         ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op11_gemm_negatives": """
+        with v as materialized (
+            select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+            where vec_id is not null and label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) is not false
+        ), s as materialized (
+            select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score
+            from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id
+        ), p as (
+            select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+        ), n as (
+            select anchor_id, positive_id, id as negative_id, positive_score, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+            from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+        )
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op13_heap_lloyd": _lloyd_sql(),
     "op5_hash_mix": r"""
         with d as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
