@@ -95,6 +95,13 @@ def risk_panel(spark, sf):
     return out.select("field_id", "prior_burn", "nbhd_prior_rate", "nbhd_burned_before", "nbhd_harvested_before", "harvest_doy")
 
 
+def rain_and_passes(spark, sf, year: int):
+    """Customers as passes every few days, suppliers as rain gauges."""
+    day = lambda k: F.date_add(F.lit(f"{year}-01-01").cast("date"), k.cast("int"))
+    passes = read(spark, sf, "customer").select(day(5 * (c("c_custkey") % 80)).alias("t")).distinct()
+    return passes, read(spark, sf, "supplier").select(day(c("s_suppkey") % 300).alias("day"), (c("s_suppkey") % 7).cast("double").alias("mm"))
+
+
 @query(f"""with {_season_sql(1997, 'n')}, t as (select distinct date '1997-01-01' + (5 * (c_custkey % 80))::integer as t from customer),
     r as (select day, sum(mm) / count(mm) as mm from (select date '1997-01-01' + (s_suppkey % 300)::integer as day, (s_suppkey % 7)::double as mm from supplier) group by day),
     x as (select n.*, t.t from n join t on hd <= t and t <= hd + 30 and not (burned and bd - 1 < t))
@@ -103,9 +110,7 @@ def risk_panel(spark, sf):
     coalesce((select sum(mm) from r where day between x.t - 3 and x.t - 1), 0) as rain_before, coalesce((select sum(mm) from r where day between x.t and x.t + 4), 0) as rain_after from x""")
 def hazard_panel(spark, sf):
     """B-08, A-15."""
-    day = lambda k: F.date_add(F.lit("1997-01-01").cast("date"), k.cast("int"))
-    passes = read(spark, sf, "customer").select(day(5 * (c("c_custkey") % 80)).alias("t")).distinct()
-    rain = read(spark, sf, "supplier").select(day(c("s_suppkey") % 300).alias("day"), (c("s_suppkey") % 7).cast("double").alias("mm"))
+    passes, rain = rain_and_passes(spark, sf, 1997)
     return P.hazard_panel(season_fields(spark, sf, 1997), passes, rain).select("field_id", "t", "days_since_harvest", "label", "recent_burns_3", "recent_burns_9", "rain_before", "rain_after")
 
 
