@@ -10,7 +10,9 @@ from ..functions import spectral as S
 from ..functions.texts import reasons, sorted_set
 from ..operators.aggregates import db_array_summary, number_stats
 from ..operators.joins import asof
+from ..operators.pyramid import nearest_before
 from ..operators.windows import keep_one
+from ..sources.staging import staged
 
 HOUR_US = 3_600_000_000
 
@@ -73,10 +75,12 @@ def weather_features(rows: DataFrame, weather: DataFrame, ts: str = "ts_us", hou
 
 
 def fire_features(rows: DataFrame, fires: DataFrame, row_id: str, ring: str, buffers_m: tuple[float, ...] = (500.0, 1000.0)) -> DataFrame:
-    """J-19: detections up to t inside the polygon and within each buffer of it, recent ones within the largest, and their sources.
+    """J-19: detections up to t inside the polygon and within each buffer of it, the nearest however far, recent ones within the largest, and their sources.
 
     Each polygon covers the grid cells of its own box, widened by the largest buffer; fires are joined by their cell and
-    the exact distance to the polygon decides. rows: ring in metres, ts_us; fires: fx, fy, fire_us, source.
+    the exact distance to the polygon decides. Polygons without a fire in the largest buffer look further through a
+    pyramid of cells. rows: ring in metres, ts_us; fires: fx, fy, fire_us, source. Without a ring counts are 0 and the
+    nearest is NULL.
     """
     widest = max(buffers_m)
     cell = lambda v: F.floor(v / (2 * widest)).cast("long")
@@ -87,10 +91,15 @@ def fire_features(rows: DataFrame, fires: DataFrame, row_id: str, ring: str, buf
     pairs = pairs.withColumn("d", G.polygon_distance(F.col("fx"), F.col("fy"), F.col(ring))).where(F.col("d") <= widest)
     age = F.col("ts_us") - F.col("fire_us")
     counts = pairs.groupBy(row_id).agg(
-        F.count_if(F.col("d") == 0).alias("fires_inside"), *[F.count_if(F.col("d") <= b).alias(f"fires_{int(b)}m") for b in buffers_m], F.min("d").alias("nearest_m"),
+        F.count_if(F.col("d") == 0).alias("fires_inside"), *[F.count_if(F.col("d") <= b).alias(f"fires_{int(b)}m") for b in buffers_m], F.min("d").alias("_near"),
         F.bool_or(age <= 24 * HOUR_US).alias("fire_24h"), F.bool_or(age <= 72 * HOUR_US).alias("fire_72h"), sorted_set("source").alias("fire_sources"),
     )
-    out = rows.join(counts, row_id, "left")
+    out = staged(rows.join(counts, row_id, "left"))
+    side = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    box = (side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y"))
+    corner = (F.get(F.col(ring), F.lit(0))["x"], F.get(F.col(ring), F.lit(0))["y"])
+    further = nearest_before(out.where("_near is null").select(row_id, ring, "ts_us"), fires, row_id, box, corner, ("fx", "fy"), lambda x, y: G.polygon_distance(x, y, F.col(ring)), (ring,), "ts_us", "fire_us", "_far")
+    out = out.join(further.select(row_id, "_far"), row_id, "left").withColumn("nearest_m", F.coalesce("_near", "_far")).drop("_near", "_far")
     zero = F.lit(0).cast("long")
     return out.withColumns({c: F.coalesce(c, zero) for c in ("fires_inside", *[f"fires_{int(b)}m" for b in buffers_m])} | {c: F.coalesce(c, F.lit(False)) for c in ("fire_24h", "fire_72h")})
 

@@ -54,8 +54,8 @@ SQUARES = "q as (select c_custkey as id, (c_custkey * 7919 % 100000)::double as
 
 
 @query(f"""with {SQUARES}, f as (select o_orderkey, (o_orderkey * 31 % 100000)::double as fx, (o_orderkey * 53 % 99991)::double as fy, 1000000000000 + o_orderkey % 1500 as ft, case when o_orderkey % 3 = 0 then 'M' else 'V' end as src from orders),
-    p as (select q.id, src, q.t - ft as age, sqrt(power(greatest(x - fx, 0, fx - x - side), 2) + power(greatest(y - fy, 0, fy - y - side), 2)) as d from q join f on fx between x - 1000 and x + side + 1000 and fy between y - 1000 and y + side + 1000 and ft <= q.t),
-    g as (select id, count(*) filter (d = 0) as a, count(*) filter (d <= 500) as b, count(*) as n, min(d) as nearest from p where d <= 1000 group by id)
+    p as (select q.id, sqrt(power(greatest(x - fx, 0, fx - x - side), 2) + power(greatest(y - fy, 0, fy - y - side), 2)) as d from q join f on ft <= q.t),
+    g as (select id, count(*) filter (d = 0) as a, count(*) filter (d <= 500) as b, count(*) filter (d <= 1000) as n, min(d) as nearest from p group by id)
     select q.id, coalesce(a, 0) as fires_inside, coalesce(b, 0) as fires_500m, coalesce(n, 0) as fires_1000m, round(nearest, 6) as nearest_m from q left join g using (id)""")
 def fires_around_polygons(spark, sf):
     """J-19, F-27: fires up to the image inside and around polygons of very different sizes."""

@@ -8,6 +8,7 @@ from ..functions import geo as G
 from ..operators import band as B
 from ..operators import grid, joins
 from ..operators import windows as W
+from ..operators.pyramid import nearest_point
 from .tables import OBS, observations, points, points_sql, read
 
 K = ["user_id"]
@@ -100,10 +101,22 @@ def nearest_by_type(spark, sf):
 
 @query(f"""with s as ({points_sql('supplier', 's_suppkey')}), c as ({points_sql('customer', 'c_custkey')}) select c.id as cid, min(sqrt(power(c.x - s.x, 2) + power(c.y - s.y, 2))) as nearest from c, s group by c.id""")
 def nearest_unbounded(spark, sf):
-    """J-14, J-19: however far, by widening bands."""
+    """J-14: however far, through a pyramid of cells."""
     c = points(spark, sf, "customer", "c_custkey").toDF("cid", "x", "y")
     s = points(spark, sf, "supplier", "s_suppkey").toDF("sid", "sx", "sy")
-    return B.nearest_unbounded(c, s, "cid", ("x", "y"), ("sx", "sy"), 20.0).select("cid", "nearest")
+    return nearest_point(c, s, "cid", ("x", "y"), ("sx", "sy")).select("cid", "nearest")
+
+
+@query("""with c as (select c_custkey as cid, (c_custkey * 7919 % 100000)::double * power(10, c_custkey % 5) as x, (c_custkey * 104729 % 99991)::double * power(10, c_custkey % 5) as y, date '1995-01-01' + (c_custkey % 2000)::integer as t from customer),
+    o as (select (o_orderkey * 6007 % 100000)::double * power(10, o_orderkey % 4) as ox, (o_orderkey * 9973 % 99991)::double * power(10, o_orderkey % 4) as oy, cast(o_orderdate as date) as ot from orders)
+    select cid, round((select min(sqrt(power(x - ox, 2) + power(y - oy, 2))) from o where ot <= t), 3) as nearest from c""")
+def nearest_up_to_time(spark, sf):
+    """J-14, J-19: the nearest point that is not later, with distances from metres to a million kilometres."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    far = lambda key, a, m, n: F.pmod(key * a, F.lit(m)).cast("double") * F.pow(F.lit(10.0), key % n)
+    c = read(spark, sf, "customer").select(k.alias("cid"), far(k, 7919, 100000, 5).alias("x"), far(k, 104729, 99991, 5).alias("y"), F.date_add(F.lit("1995-01-01").cast("date"), (k % 2000).cast("int")).alias("t"))
+    p = read(spark, sf, "orders").select(far(o, 6007, 100000, 4).alias("ox"), far(o, 9973, 99991, 4).alias("oy"), F.to_date("o_orderdate").alias("ot"))
+    return nearest_point(c, p, "cid", ("x", "y"), ("ox", "oy"), "t", "ot").select("cid", F.round("nearest", 3).alias("nearest"))
 
 
 BAND = """f as (select event_id, (event_id * 7919 % 1000)::double as x, (event_id * 104729 % 997)::double as y, ts_us from o where event_type = 'view'),
