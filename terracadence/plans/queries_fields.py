@@ -74,22 +74,46 @@ def overlapping_fields(spark, sf):
     return features.overlapping(rows).select("field_id", "other_id", F.round("overlap_m2", 3).alias("overlap_m2"))
 
 
-@query("""select c_custkey, case c_custkey % 7 when 1 then 'AREA_OUTSIDE_LIMITS' when 2 then 'AREA_OUTSIDE_LIMITS' when 3 then 'ID_MISSING' when 4 then 'TOO_FEW_CORNERS|NO_AREA|AREA_OUTSIDE_LIMITS' when 5 then 'CROSSES_ITSELF|NO_AREA|AREA_OUTSIDE_LIMITS' when 6 then 'COORDINATES_OUT_OF_RANGE' else '' end as issues,
-    case when c_custkey % 7 in (0, 3) then true end as plausible from customer""")
+def _shape(x, y, s, corners):
+    """GeoJSON of a ring; corners in units of the side."""
+    at = lambda dx, dy: F.concat(F.lit("["), (x + dx * s).cast("string"), F.lit(","), (y + dy * s).cast("string"), F.lit("]"))
+    return F.concat(F.lit("[["), F.concat_ws(",", *[at(*p) for p in corners]), F.lit("]]"))
+
+
+#: Corners of the shapes that customers hold by their key modulo 6: square, small square, bow tie, spike, square from another corner, flat.
+CORNERS = {0: ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), 2: ((0, 0), (1, 1), (1, 0), (0, 1), (0, 0)), 3: ((0, 0), (1, 0), (1, 1), (0.5, 1), (0.5, 1.5), (0.5, 1), (0, 1), (0, 0)), 4: ((1, 1), (0, 1), (0, 0), (1, 0), (1, 1)), 5: ((0, 0), (1, 0), (2, 0), (0, 0))}
+
+
+@query(f"""with g as (select c_custkey as k, case when c_mktsegment = 'BUILDING' and c_custkey % 5 = 0 then null when c_custkey % 10 = 9 then cast(c_custkey - 9 as varchar) else cast(c_custkey as varchar) end as id, 75 + (c_custkey - c_custkey % 12 + case when c_custkey % 12 = 4 then 0 else c_custkey % 12 end) % 700 / 100 as x,
+        28 + floor((c_custkey - c_custkey % 12) / 700) / 50 as y, case when c_custkey % 6 = 1 then 0.00005 else 0.001 end as s, c_custkey % 6 as kind, c_acctbal < -900 as far, c_acctbal > 9900 as line from customer),
+    p as (select k, unnest(case {" ".join(f"when kind = {n} then [{', '.join(f'[{a}, {b}]' for a, b in CORNERS[n])}]" for n in CORNERS)} else [[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]] end) as d, generate_subscripts(case {" ".join(f"when kind = {n} then range({len(CORNERS[n])})" for n in CORNERS)} else range(5) end, 1) as i from g),
+    v as (select k, i, x + d[1] * s as px, case when far then 89.9995 else y end + d[2] * s as py, x, y, s from p join g using (k)),
+    e as (select a.k, a.i, a.px as x1, a.py as y1, b.px as x2, b.py as y2 from v a join v b on a.k = b.k and b.i = a.i + 1),
+    w as (select k, least(x1 || ':' || y1, x2 || ':' || y2) || '/' || greatest(x1 || ':' || y1, x2 || ':' || y2) as edge, count(*) as n from e group by all),
+    t as (select k, max(n) as most from w group by k),
+    o as (select a.k, bool_or(((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0 and ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0) as crosses from e a join e b on a.k = b.k and abs(a.i - b.i) > 1 group by a.k),
+    f as (select k, sum(x1 * y2 - x2 * y1) / 2 as twice, bool_or(y1 > 90 or y1 < -90) as outside, string_agg(distinct round(x1, 7) || ':' || round(y1, 7), '|' order by round(x1, 7) || ':' || round(y1, 7)) as corners, count(distinct round(y1, 7)) = 1 as flat from e group by k),
+    r as (select g.k, g.id, g.line, outside, crosses, corners, flat or (most > 1) as unsafe, not flat and s < 0.0005 as small from g join f using (k) join o using (k) join t using (k)),
+    q as (select *, id is not null and row_number() over (partition by id order by k) > 1 as again, not line and not unsafe and row_number() over (partition by (line or unsafe), case when line or unsafe then cast(k as varchar) else corners || crosses end order by k) > 1 as shape_again from r),
+    z as (select *, array_to_string(list_filter([case when id is null then 'missing_required_attribute:field_id' end, case when again then 'duplicate_field_id' end, case when line then 'geometry_not_polygon' end, case when outside and not line then 'coordinates_outside_valid_wgs84_bounds' end, case when unsafe and not line then 'invalid_geometry_not_safely_repairable' end, case when shape_again then 'duplicate_geometry' end], lambda i: i is not null), '|') as earlier from q)
+    select k as c_custkey, case when earlier = '' and small then 'area_below_minimum' else earlier end as issues, coalesce(crosses, false) and not unsafe and not line as geometry_repaired from z""")
 def field_validation(spark, sf):
-    """B-12, P-14, F-24, F-25, F-28: fields of 100 m, 30 m and 600 m, without an id, of two corners, crossing themselves, and off the map."""
-    k = c("c_custkey")
-    lon, lat = F.lit(75.5) + k % 100 / 100, F.lit(30.0) + F.floor(k / 100) / 1000
-    side = F.when(k % 7 == 1, 0.0003).when(k % 7 == 2, 0.006).otherwise(0.001)
-    at = lambda dx, dy: F.struct((lon + dx * side).alias("x"), F.when((k % 7 == 6) & F.lit(dx + dy == 2), -91.0).otherwise(lat + dy * side).alias("y"))
-    ring = F.when(k % 7 == 4, F.array(at(0, 0), at(1, 1))).when(k % 7 == 5, F.array(at(0, 0), at(1, 1), at(1, 0), at(0, 1))).otherwise(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)))
-    raw = read(spark, sf, "customer").select("c_custkey", F.when(k % 7 != 3, k.cast("string")).alias("field_id"), ring.alias("ring"))
-    good, bad = features.checked_fields(raw)
-    # a square of a thousandth of a degree at 30 degrees north: about 96.5 by 110.9 metres
-    plausible = F.when((k % 7).isin(0, 3), c("area_ha").between(1.05, 1.10))
-    rows = good.select("c_custkey", F.lit("").alias("issues"), plausible.alias("plausible"))
-    off = F.when(k % 7 == 6, F.array_join(F.filter("issues", lambda i: i == "COORDINATES_OUT_OF_RANGE"), "|")).otherwise(F.array_join("issues", "|"))
-    return rows.unionByName(bad.select("c_custkey", off.alias("issues"), plausible.alias("plausible")))
+    """B-12, P-14, F-24, F-25, F-28: squares, squares too small, bow ties, spikes, squares again from another corner and flat rings; rows without an id, with the id of another, off the map and of another kind. The SQL finds crossings, spikes, equal shapes and limits in the coordinates."""
+    from .fields import import_fields
+
+    k, home = c("c_custkey"), c("c_custkey") - c("c_custkey") % 12
+    x = F.lit(75) + (home + F.when(k % 12 == 4, 0).otherwise(k % 12)) % 700 / 100
+    y = F.when(c("c_acctbal") < -900, 89.9995).otherwise(F.lit(28) + F.floor(home / 700) / 50)
+    side = F.when(k % 6 == 1, 0.00005).otherwise(0.001)
+    ring = F.lit(None).cast("string")
+    for n, corners in CORNERS.items():
+        ring = F.when(k % 6 == n, _shape(x, y, side, corners)).otherwise(ring)
+    ring = F.coalesce(ring, _shape(x, y, side, CORNERS[0]))
+    kind = F.when(c("c_acctbal") > 9900, "MultiLineString").otherwise("Polygon")
+    name = F.when((c("c_mktsegment") == "BUILDING") & (k % 5 == 0), None).otherwise(F.when(k % 10 == 9, k - 9).otherwise(k).cast("string"))
+    raw = read(spark, sf, "customer").select("c_custkey", name.alias("field_id"), F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), ring, F.lit("}")).alias("geometry"))
+    out = import_fields(raw, "c_custkey")
+    return out.select("c_custkey", F.array_join("issues", "|").alias("issues"), "geometry_repaired")
 
 
 @query(f"""with {OBS} select event_id, lag(event_id) over (partition by user_id order by ts_us, event_id) as previous, (ts_us - min(ts_us) over (partition by user_id)) // 86400000000 as day from o""")
