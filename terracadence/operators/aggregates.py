@@ -222,11 +222,17 @@ def hash_normal(i: Column, stream: int, seed: int = 0) -> Column:
     return F.sqrt(-2 * F.ln(hash_uniform(i, stream, seed))) * F.cos(2 * math.pi * hash_uniform(i, stream + 1, seed))
 
 
-def emission_draws(spark, area_ha: float, factors: dict[str, tuple[float, float]], draws: int = 20_000, seed: int = 0, potentials: dict[str, float] = POTENTIALS) -> DataFrame:
-    """A-36: Monte-Carlo tonnes per species: straw 5 to 7.5 t/ha, dry share .8 to .9, burned share .7 to .9, factors normal and at least a tenth of their mean."""
-    i = F.col("id")
+def emission_draws(areas: DataFrame, factors: dict[str, tuple[float, float]], draws: int = 20_000, seed: int = 0, potentials: dict[str, float] = POTENTIALS) -> DataFrame:
+    """A-36: Monte-Carlo tonnes per species for each row's area_ha: straw 5 to 7.5 t/ha, dry share .8 to .9, burned share .7 to .9, factors normal and at least a tenth of their mean.
+
+    The numbers of a draw depend on its number alone, so areas share their draws. Draws are dealt out in thousands.
+    """
+    block = 1_000
+    dealt = areas.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1)))).repartition(*areas.columns, "_block")
+    rows = dealt.withColumn("draw", F.explode(F.sequence(F.col("_block") * block, F.least((F.col("_block") + 1) * block, F.lit(draws)) - 1))).drop("_block")
+    i = F.col("draw").cast("long")
     uniform = lambda a, b, k: a + (b - a) * hash_uniform(i, k, seed)
-    df = spark.range(draws).withColumn("dry_matter_t", area_ha * uniform(5.0, 7.5, 1) * uniform(0.8, 0.9, 2) * uniform(0.7, 0.9, 3))
+    df = rows.withColumn("dry_matter_t", F.col("area_ha") * uniform(5.0, 7.5, 1) * uniform(0.8, 0.9, 2) * uniform(0.7, 0.9, 3))
     for k, (species, (mean, deviation)) in enumerate(factors.items()):
         factor = F.greatest(F.lit(mean) + deviation * hash_normal(i, 10 + 2 * k, seed), F.lit(0.1 * mean))
         df = df.withColumn(f"{species}_t", F.col("dry_matter_t") * factor / 1000)
@@ -234,8 +240,8 @@ def emission_draws(spark, area_ha: float, factors: dict[str, tuple[float, float]
     return df.withColumn("co2e_t", sum(known[1:], known[0]) if known else F.lit(0.0))
 
 
-def draw_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A-36: 5 %, 50 % and 95 % of each column."""
-    wide = df.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias(c) for c in columns])
+def draw_summary(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """A-36: 5 %, 50 % and 95 % of each column, by keys."""
+    wide = df.groupBy(*keys).agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias(c) for c in columns])
     entries = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c)[0].alias("p05"), F.col(c)[1].alias("median"), F.col(c)[2].alias("p95")) for c in columns])
-    return wide.select(F.inline(entries))
+    return wide.select(*keys, F.inline(entries))

@@ -31,7 +31,7 @@ def hours(spark, sf):
     return read(spark, sf, "orders").select(at.alias("at_us"), (c("o_custkey") % 5).alias("r"), F.when(k % 3 == 0, (k % 100).cast("double")).alias("q")).groupBy("at_us").agg(F.sum("r").cast("double").alias("rain"), F.max("q").alias("humidity"))
 
 
-@query(f"""with {HOURS}, e as (select l_orderkey, l_linenumber, epoch_us(l_shipdate::timestamp) + (l_linenumber * 3 + 1) * 3600000000 as t from lineitem where l_linenumber <= 2),
+@query(f"""with {HOURS}, e as (select l_orderkey, l_linenumber, epoch_us(l_shipdate::timestamp) + (l_linenumber * 3 + 1) * 3600000000 as t from lineitem),
     d as (select distinct t from e), n as (select d.t, max(h.at_us) as seen from d join h on h.at_us <= d.t group by d.t),
     r as (select d.t, n.seen, coalesce(sum(h.rain) filter (h.at_us > d.t - 86400000000), 0) as r24, sum(h.rain) as r72 from d join n using (t) left join h on h.at_us <= d.t and h.at_us > d.t - 259200000000 group by all),
     m as (select d.t, arg_max(h.humidity, h.at_us) as hum from d join h on h.at_us <= d.t and h.humidity is not null group by d.t)
@@ -41,7 +41,7 @@ def weather_at_images(spark, sf):
     from ..functions.times import ts_us
 
     t = ts_us(c("l_shipdate").cast("timestamp_ntz")) + (c("l_linenumber") * 3 + 1) * 3_600_000_000
-    rows = read(spark, sf, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", t.cast("long").alias("ts_us"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", t.cast("long").alias("ts_us"))
     return features.weather_features(rows, hours(spark, sf)).drop("ts_us")
 
 

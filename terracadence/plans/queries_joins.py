@@ -205,13 +205,13 @@ def neighbour_before(spark, sf):
     return grid.counts_before(g, [], "ix", "iy", "burn", "d").select("id", "nbhd_before")
 
 
-@query("""with u as (select user_id, event_id, event_type, 1 as p from events where event_id % 2 = 0 union all select user_id, event_id, event_type || '!', 2 from events where event_id % 3 = 0)
+@query("""with u as (select user_id, event_id, event_type, 1 as p from events union all select user_id, event_id, event_type || '!', 2 from events where event_type in ('purchase', 'error'))
     select event_id, event_type from (select *, row_number() over (partition by event_id order by p desc) as n from u) where n = 1""")
 def union_dedup_keep_last(spark, sf):
     """U-01, U-02, W-24."""
     e = read(spark, sf, "events")
-    a = e.where("event_id % 2 = 0").select("user_id", "event_id", "event_type", F.lit(1).alias("p"))
-    b = e.where("event_id % 3 = 0").select("user_id", "event_id", F.concat("event_type", F.lit("!")).alias("event_type"), F.lit(2).alias("p"))
+    a = e.select("user_id", "event_id", "event_type", F.lit(1).alias("p"))
+    b = e.where("event_type in ('purchase', 'error')").select("user_id", "event_id", F.concat("event_type", F.lit("!")).alias("event_type"), F.lit(2).alias("p"))
     return W.keep_one(a.unionByName(b), ["event_id"], [F.col("p").desc()])[0].select("event_id", "event_type")
 
 

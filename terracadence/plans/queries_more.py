@@ -50,11 +50,12 @@ def clearest_scene(spark, sf):
     return R.clearest(o, ["d", "p"], "cloud", "o_orderkey").select("d", "p", "o_orderkey")
 
 
-@query("""select unnest(range(0, 30, 5))::integer as k, (date '2024-01-01' + unnest(range(0, 30, 5))::integer)::date as start, least((date '2024-01-01' + unnest(range(0, 30, 5))::integer + 4)::date, date '2024-01-28') as "end" """)
+@query("""with m as (select date_trunc('month', o_orderdate)::date as month, min(o_orderdate::date) as f, max(o_orderdate::date) as l from orders group by 1)
+    select month, (f + k::integer)::date as start, least(f + k::integer + 4, l)::date as "end" from m, range(0, 31, 5) t(k) where f + k::integer <= l""")
 def request_chunks(spark, sf):
-    """S-10."""
-    chunks = R.request_chunks(spark, "2024-01-01", "2024-01-28")
-    return chunks.select(F.datediff("start", F.lit("2024-01-01").cast("date")).alias("k"), "start", "end")
+    """S-10: requests for the days that each month holds."""
+    months = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).groupBy(F.trunc("d", "month").alias("month")).agg(F.min("d").alias("f"), F.max("d").alias("l"))
+    return R.request_chunks(months, "f", "l").select("month", "start", "end")
 
 
 @query("""select s_suppkey, i::integer as i, case when i <= 3 then s_nationkey * i end as a, case when i <= 2 then s_suppkey + i end as b from supplier, range(1, 4) t(i)""")
@@ -93,10 +94,13 @@ def season_listing(spark, sf):
     return R.in_season(o, "d", {1996: ("1996-09-01", "1996-12-31"), 1997: ("1997-09-01", "1997-12-31")}).select("o_orderkey", "season")
 
 
-@query("""select (x * 0.25::double) as longitude, (y * 0.25::double) as latitude from range(290, 312) a(x), range(110, 132) b(y) where x * 0.25 + 0.125 >= 75.1 and x * 0.25 - 0.125 <= 75.9 and y * 0.25 + 0.125 >= 30.2 and y * 0.25 - 0.125 <= 30.7""")
+@query("""with b as (select c_nationkey, 70 + min(c_custkey % 1000) / 100 as west, 75 + max(c_custkey % 700) / 100 as east, 28 + min(c_custkey % 300) / 100 as south, 29 + max(c_custkey % 200) / 100 as north from customer group by 1)
+    select c_nationkey, x * 0.25::double as longitude, y * 0.25::double as latitude from b, range(270, 340) s(x), range(100, 140) t(y) where x * 0.25 + 0.125 >= west and x * 0.25 - 0.125 <= east and y * 0.25 + 0.125 >= south and y * 0.25 - 0.125 <= north""")
 def grid_nodes(spark, sf):
-    """S-25."""
-    return R.grid_nodes(spark, (75.1, 30.2, 75.9, 30.7), 0.25)
+    """S-25: the nodes around each nation's customers."""
+    low, high = (lambda m, f=f: f(c("c_custkey") % m) / 100 for f in (F.min, F.max))
+    boxes = read(spark, sf, "customer").groupBy("c_nationkey").agg((70 + low(1000)).alias("west"), (75 + high(700)).alias("east"), (28 + low(300)).alias("south"), (29 + high(200)).alias("north"))
+    return R.grid_nodes(boxes, 0.25).select("c_nationkey", "longitude", "latitude")
 
 
 ITEM = "'S1' || case when s_suppkey % 2 = 0 then 'A' else 'C' end || '_IW_GRDH_1SDV_202509' || lpad((1 + s_suppkey % 20)::varchar, 2, '0') || 'T0100' || lpad((s_suppkey % 50)::varchar, 2, '0') || '_202509' || lpad((1 + s_suppkey % 20)::varchar, 2, '0') || 'T0102' || lpad((s_suppkey % 50)::varchar, 2, '0')"
@@ -223,10 +227,10 @@ def label_validation(spark, sf):
     return l.select("doc_id", F.array_join(e, "|").alias("errors"))
 
 
-@query("""select o_custkey, 'REPEATED_IN_FILE' as conflict from orders where o_orderkey % 20 = 0 group by o_custkey having count(*) > 1 union all select distinct o_custkey, 'ALREADY_KNOWN' from orders where o_orderkey % 20 = 0 and o_custkey in (select c_custkey from customer where c_nationkey = 3)""")
+@query("""select o_custkey, 'REPEATED_IN_FILE' as conflict from orders group by o_custkey having count(*) > 1 union all select distinct o_custkey, 'ALREADY_KNOWN' from orders where o_custkey in (select c_custkey from customer where c_nationkey = 3)""")
 def import_conflicts(spark, sf):
     """V-03."""
-    new = read(spark, sf, "orders").where("o_orderkey % 20 = 0").select("o_custkey")
+    new = read(spark, sf, "orders").select("o_custkey")
     known = read(spark, sf, "customer").where("c_nationkey = 3").select(c("c_custkey").alias("o_custkey"))
     return audit.import_conflicts(new, known, ["o_custkey"])
 

@@ -155,17 +155,18 @@ def _emissions_sql() -> str:
     between = lambda a, b, k: f"({a}::double + {b - a}::double * {u(k)})"
     species = [f"dm * greatest({m}::double + {d}::double * (sqrt(-2 * ln({u(10 + 2 * k)})) * cos(2 * pi() * {u(11 + 2 * k)})), {0.1 * m}::double) / 1000 as {s}_t" for k, (s, (m, d)) in enumerate(FACTORS.items())]
     names = ["dry_matter_t", *[f"{s}_t" for s in FACTORS], "co2e_t"]
-    rows = " union all ".join(f"select '{n}' as measure, round(quantile_cont({n}, 0.05), 3) as p05, round(quantile_cont({n}, 0.5), 3) as median, round(quantile_cont({n}, 0.95), 3) as p95 from e" for n in names)
-    return f"""with i as (select unnest(generate_series(0, 19999)) as i), d as (select i, 1000::double * {between(5.0, 7.5, 1)} * {between(0.8, 0.9, 2)} * {between(0.7, 0.9, 3)} as dm from i),
-        s as (select dm as dry_matter_t, {", ".join(species)} from d), e as (select *, CH4_t * 27.0::double + N2O_t * 273.0::double as co2e_t from s) {rows}"""
+    rows = " union all ".join(f"select region, '{n}' as measure, round(quantile_cont({n}, 0.05), 3) as p05, round(quantile_cont({n}, 0.5), 3) as median, round(quantile_cont({n}, 0.95), 3) as p95 from e group by region" for n in names)
+    return f"""with i as (select unnest(generate_series(0, 19999)) as i), a as (select n_regionkey as region, sum(c_custkey % 40)::double / 10 as area_ha from customer join nation on n_nationkey = c_nationkey group by 1), d as (select region, i, area_ha * {between(5.0, 7.5, 1)} * {between(0.8, 0.9, 2)} * {between(0.7, 0.9, 3)} as dm from a, i),
+        s as (select region, dm as dry_matter_t, {", ".join(species)} from d), e as (select *, CH4_t * 27.0::double + N2O_t * 273.0::double as co2e_t from s) {rows}"""
 
 
 @query(_emissions_sql())
 def emissions_mc(spark, sf):
-    """A-36."""
-    draws = A.emission_draws(spark, 1000.0, FACTORS)
-    out = A.draw_summary(draws, ["dry_matter_t", *[f"{s}_t" for s in FACTORS], "co2e_t"])
-    return out.select("measure", *[F.round(x, 3).alias(x) for x in ("p05", "median", "p95")])
+    """A-36: what each region's fields would give off."""
+    fields = read(spark, sf, "customer").join(read(spark, sf, "nation"), c("n_nationkey") == c("c_nationkey"))
+    areas = fields.groupBy(c("n_regionkey").alias("region")).agg((F.sum(c("c_custkey") % 40) / 10).alias("area_ha"))
+    out = A.draw_summary(A.emission_draws(areas, FACTORS), ["dry_matter_t", *[f"{s}_t" for s in FACTORS], "co2e_t"], ("region",))
+    return out.select("region", "measure", *[F.round(x, 3).alias(x) for x in ("p05", "median", "p95")])
 
 
 @query("""select s_suppkey, 2 * 6371.0088 * asin(sqrt(least(greatest(power(sin(radians(d2 - d1) / 2), 2) + cos(radians(d1)) * cos(radians(d2)) * power(sin(radians(l2 - l1) / 2), 2), 0), 1))) > 60 as far from

@@ -172,7 +172,7 @@ def revisit_thinning(spark, sf):
     return W.thin_dates(observations(spark, sf), K, "day", 4)
 
 
-@query("""with p as (select user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as x, max(round(value * 100)) as v from events where event_id % 3 = 0 group by all),
+@query("""with p as (select user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as x, max(round(value * 100)) as v from events group by all),
     g as (select user_id, unnest(range(0, 30, 5)) as x from (select distinct user_id from p)),
     b as (select g.user_id, g.x, max(case when p.x <= g.x then p.x end) as lx, min(case when p.x >= g.x then p.x end) as hx from g join p using (user_id) group by all),
     v as (select b.*, l.v as lv, h.v as hv from b left join p l on l.user_id = b.user_id and l.x = b.lx left join p h on h.user_id = b.user_id and h.x = b.hx)
@@ -181,7 +181,7 @@ def curve_interpolation(spark, sf):
     """W-28."""
     from .tables import read
 
-    e = read(spark, sf, "events").where("event_id % 3 = 0").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("x"), F.round(F.col("value") * 100).alias("v"))
+    e = read(spark, sf, "events").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("x"), F.round(F.col("value") * 100).alias("v"))
     p = e.groupBy("user_id", "x").agg(F.max("v").alias("v"))
     grid = p.select("user_id").distinct().withColumn("x", F.explode(F.array(*[F.lit(x) for x in range(0, 30, 5)])))
     return W.interpolate(p, grid, K, "x", "v")

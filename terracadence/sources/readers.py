@@ -73,10 +73,11 @@ def clearest(scenes: DataFrame, keys: list[str], cloud: str, item: str) -> DataF
     return top_per_group(scenes, keys, [F.col(cloud).asc_nulls_last(), F.col(item)], 1)
 
 
-def request_chunks(spark: SparkSession, first: str, last: str, days: int = 5) -> DataFrame:
-    """S-10: closed spans of at most days days that cover the period."""
-    starts = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.make_interval(days=F.lit(days))))
-    return spark.range(1).select(starts.alias("start")).select("start", F.least(F.date_add("start", days - 1), F.lit(last).cast("date")).alias("end"))
+def request_chunks(periods: DataFrame, first: str, last: str, days: int = 5) -> DataFrame:
+    """S-10: each row's period in closed spans of at most days days, in columns start and end; periods that end before they begin give none."""
+    starts = F.sequence(F.col(first).cast("date"), F.col(last).cast("date"), F.make_interval(days=F.lit(days)))
+    rows = periods.where(F.col(first) <= F.col(last)).withColumn("start", F.explode(starts))
+    return rows.withColumn("end", F.least(F.date_add("start", days - 1), F.col(last).cast("date")))
 
 
 def fire_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,14 +158,13 @@ def pass_metadata(items: DataFrame, item: str) -> DataFrame:
     return rows.groupBy("platform", "mode", F.to_date("s").alias("day")).agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count(F.lit(1)).alias("slices"))
 
 
-def grid_nodes(spark: SparkSession, box: tuple[float, float, float, float], step: float) -> DataFrame:
-    """S-25: nodes of a regular grid whose cells meet the box (west, south, east, north)."""
-    west, south, east, north = box
-    axis = lambda a, b: F.sequence(F.floor(F.lit(a) / step - 0.5).cast("long"), F.ceil(F.lit(b) / step + 0.5).cast("long"))
-    nodes = spark.range(1).select(F.explode(axis(west, east)).alias("i"), axis(south, north).alias("js")).select("i", F.explode("js").alias("j"))
-    nodes = nodes.select((F.col("i") * step).alias("longitude"), (F.col("j") * step).alias("latitude"))
-    half = step / 2
-    return nodes.where((F.col("longitude") + half >= west) & (F.col("longitude") - half <= east) & (F.col("latitude") + half >= south) & (F.col("latitude") - half <= north))
+def grid_nodes(boxes: DataFrame, step: float) -> DataFrame:
+    """S-25: nodes (longitude, latitude) of a regular grid whose cells meet each row's box (west, south, east, north)."""
+    c, half = F.col, step / 2
+    axis = lambda a, b: F.sequence(F.floor(c(a) / step - 0.5).cast("long"), F.ceil(c(b) / step + 0.5).cast("long"))
+    nodes = boxes.where("west <= east and south <= north").withColumn("_i", F.explode(axis("west", "east"))).withColumn("_j", F.explode(axis("south", "north")))
+    nodes = nodes.withColumns({"longitude": c("_i") * step, "latitude": c("_j") * step}).drop("_i", "_j")
+    return nodes.where((c("longitude") + half >= c("west")) & (c("longitude") - half <= c("east")) & (c("latitude") + half >= c("south")) & (c("latitude") - half <= c("north")))
 
 
 def in_season(scenes: DataFrame, day: str, seasons: dict[int, tuple[str, str]]) -> DataFrame:

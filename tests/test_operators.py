@@ -208,6 +208,17 @@ def test_replay_keeps_within_capacity(policy):
     assert (served.served >= served.ready).all() and 4 not in set(served.served) and (served.groupby("served").area.sum() <= 4.0).all()
 
 
+def test_the_informed_policy_on_any_count_of_days_and_fields_without_area():
+    """What burns first goes first, whatever day is called 0; a field of no area is the first of its day like any other."""
+    def season(start):
+        rows = pd.DataFrame([{"zone": 0, "key": k, "area": 4.0, "ready": start, "burned": b, "burn_day": start + 9, "last_clear": c, "score": 0.0, "dynamic": None} for k, (b, c) in enumerate([(False, math.nan), (True, math.nan), (True, start + 6), (True, start + 3)])])
+        return [x - start for x in simulate.serve_zone(rows, set(), "oracle", 4.0, 20, 0)["served"]]
+
+    assert season(1.0) == season(20_001.0) == [3.0, 2.0, 1.0, 0.0]
+    rows = pd.DataFrame([{"zone": 0, "key": k, "area": a, "ready": 0.0, "burned": False, "burn_day": math.nan, "last_clear": math.nan, "score": 1.0 - k / 10, "dynamic": None} for k, a in enumerate([0.0, 9.0, 4.0, 0.0])])
+    assert list(simulate.serve_zone(rows, set(), "risk", 4.0, 20, 0)["served"]) == [0.0, 1.0, 2.0, 2.0]
+
+
 def test_buyers(spark):
     f = spark.createDataFrame([("f1", 30.0, 75.0, "Straw", 10.0, 0.9, 8.0), ("f2", 30.0, 75.1, "straw", 10.0, 0.5, 5.0), ("f3", None, 75.0, "straw", 10.0, 0.4, 1.0), ("f4", 30.0, 75.0, "husk", 10.0, 0.3, 1.0)], "field_id string, field_lat double, field_lon double, residue string, moisture double, score double, tonnes double")
     b = spark.createDataFrame([("b1", 30.0, 75.0, "AVAILABLE", ["STRAW"], 15.0, "06:00", "20:00", 10.0, 10.0), ("b2", 30.0, 75.0, "PAUSED", ["STRAW"], 15.0, "06:00", "20:00", 10.0, 10.0)], "buyer_id string, buyer_lat double, buyer_lon double, buyer_status string, accepted array<string>, max_moisture double, opens string, closes string, demand double, room double")
@@ -241,10 +252,10 @@ def test_audits(spark):
     files = spark.createDataFrame([("a", bytearray(b"x\r\n")), ("b", bytearray(b"version https://git-lfs.github.com/spec/v1"))], "path string, content binary")
     import hashlib
 
-    manifest = spark.createDataFrame([("a", hashlib.sha256(b"x\n").hexdigest()), ("b", "0"), ("c", "0")], "path string, sha256 string")
+    assert readers.request_chunks(spark.createDataFrame([("2025-01-01", "2025-01-12"), ("2025-01-05", "2025-01-04")], "a string, b string"), "a", "b").count() == 3
     assert {x.path: x.status for x in audit.artifact_status(files, manifest).collect()} == {"a": "MATCH_AFTER_LINE_ENDINGS", "b": "POINTER", "c": "MISSING"}
 
-
+    assert readers.grid_nodes(spark.createDataFrame([(75.0, 30.0, 75.4, 30.2)], "west double, south double, east double, north double"), 0.25).count() == 6
 def test_readers(spark, tmp_path):
     (tmp_path / "x.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"field_id": "a"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}]}')
     r = readers.geojson(spark, str(tmp_path / "x.geojson"), "field_id: string").first()
