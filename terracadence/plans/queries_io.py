@@ -158,12 +158,12 @@ def medians(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.median("l_quantity").alias("quantity"), F.median("l_discount").alias("discount"))
 
 
-def _stream(spark, sf, name: str, columns: list, build):
+def _stream(spark, sf, name: str, columns: list, build, most_files: int = 100):
     """What a stream over files of a table says once all are read: new files in, results to a folder out."""
     source, out, done = place(spark), place(spark), place(spark)
     read(spark, sf, name).select(*columns).write.parquet(source)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(source).schema)
-    built = build(V.new_files(spark, source, schema))
+    built = build(V.new_files(spark, source, schema, most_files))
     shape = built.schema
     built.writeStream.format("parquet").option("path", out).option("checkpointLocation", done).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(shape).parquet(out)
@@ -199,3 +199,36 @@ def stream_attempts(spark, sf):
     columns = [(c("user_id") % 5).cast("string").alias("address"), c("ts").cast("timestamp").alias("at")]
     out = _stream(spark, sf, "events", columns, lambda s: V.attempts(s, 10, "2 days", "1 day"))
     return out.select(c("start").cast("timestamp_ntz").alias("start"), c("address").cast("long").alias("k"), "n")
+
+
+CASE_SQL = """with o as (
+        select (user_id % 400)::varchar as case_id, event_id::varchar as observation_id, ts as seen, timestamp '2024-01-01' + interval 1 day * (user_id % 9) as started, ts + interval 1 hour * (event_id % 7 * 5) + interval 20 hour * (event_id % 29 // 28) - interval 1 hour * (event_id % 83 // 82) as received,
+               case when event_type = 'error' and event_id % 31 = 0 then 'UNCLEAR' when event_id % 211 = 0 then 'STRONG' when event_id % 157 = 0 then 'MODERATE' else 'NO_BURN' end as ev, event_id % 401 = 0 as sown from events
+    ), e as (select *, seen > received + interval 5 minute as future, seen < started as early from o),
+    p as (select *, max(seen) filter (not future and not early) over (partition by case_id order by received, seen, observation_id rows between unbounded preceding and 1 preceding) as last from e),
+    a as (select *, case when future then 'FUTURE' when early then 'BEFORE_START' when seen <= last then 'NOT_CHRONOLOGICAL' end as why from p),
+    r as (select *, count(*) filter (why is null) over w as n, count(*) filter (why is null and ev = 'STRONG') over w as strong, count(*) filter (why is null and ev in ('UNCLEAR', 'MODERATE')) over w as doubtful, coalesce(bool_or(why is null and sown) over w, false) as any_sown, min(case when why is null then seen end) over w as first, max(case when why is null then seen end) over w as latest
+        from a window w as (partition by case_id order by received, seen, observation_id rows between unbounded preceding and current row)),
+    s as (select *, latest >= started + interval 10 day as late, n > 1 and epoch_us(latest) - epoch_us(first) >= 6 * 86400000000 as wide from r),
+    t as (select *, case when strong > 0 then 'BURN_SIGNAL_DETECTED' when doubtful > 0 then 'MANUAL_REVIEW_REQUIRED' when n >= 3 and wide and (late or any_sown) then 'NO_BURN_VERIFIED' when n > 0 and not coalesce(late, false) then 'MONITORING' else 'INSUFFICIENT_EVIDENCE' end as state from s),
+    f as (select *, count(*) filter (state in ('BURN_SIGNAL_DETECTED', 'NO_BURN_VERIFIED')) over (partition by case_id order by received, seen, observation_id rows between unbounded preceding and 1 preceding) > 0 as over_,
+            arg_min(state, (received, seen, observation_id)) filter (state in ('BURN_SIGNAL_DETECTED', 'NO_BURN_VERIFIED')) over (partition by case_id) as final, min(n) filter (state in ('BURN_SIGNAL_DETECTED', 'NO_BURN_VERIFIED')) over (partition by case_id) as final_n from t),
+    d as (select case_id, arg_max(n, (received, seen, observation_id)) as n, arg_max(strong, (received, seen, observation_id)) as strong, arg_max(doubtful, (received, seen, observation_id)) as doubtful, arg_max(wide, (received, seen, observation_id)) as wide, any_value(started) as started, bool_or(final is not null) as ended from f group by case_id)
+    select case_id, observation_id, not over_ and why is null as accepted, case when over_ then 'CASE_ENDED' else why end as reason, case when over_ then final else state end as state, case when over_ then final_n else n end as n from f
+    union all select case_id, null, false, 'DEADLINE', case when doubtful > 0 then 'MANUAL_REVIEW_REQUIRED' when n >= 3 and wide then 'NO_BURN_VERIFIED' else 'INSUFFICIENT_EVIDENCE' end, n from d where not ended and started + interval 10 day <= (select max(received) from o) - interval 1 day"""
+
+
+@query(CASE_SQL)
+def case_stream(spark, sf):
+    """X-01, X-02, G-09, G-10: observations of cases as they are received, in one run over all that is there; cases past their deadline are judged by the watermark."""
+    k, u, h = c("event_id"), c("user_id"), lambda n: F.make_interval(hours=n)
+    received = c("ts") + h((k % 7 * 5 + F.when(k % 29 == 28, 20).otherwise(0) - F.when(k % 83 == 82, 1).otherwise(0)).cast("int"))
+    blind, strong, moderate = (c("event_type") == "error") & (k % 31 == 0), k % 211 == 0, k % 157 == 0
+    change = lambda a, b, z: F.when(strong, a).when(moderate, b).otherwise(z)
+    columns = [
+        (u % 400).cast("string").alias("case_id"), k.cast("string").alias("observation_id"), c("ts").cast("timestamp").alias("at"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(days=(u % 9).cast("int"))).cast("timestamp").alias("started"), received.cast("timestamp").alias("received"),
+        F.when(blind, "POOR").otherwise("GOOD").alias("observation_quality"), change(-0.3, -0.16, 0.0).alias("nbr_delta"), change(0.2, 0.11, 0.0).alias("bais2_delta"), change(-0.3, 0.0, 0.0).alias("ndvi_delta"), F.lit(False).alias("fire"), (k % 401 == 0).alias("sown"),
+    ]
+    with V.keyed_state(spark):
+        out = _stream(spark, sf, "events", columns, lambda s: V.cases(s, 10, 3, 6), most_files=1_000_000)
+    return out.drop("at")

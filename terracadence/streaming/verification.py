@@ -3,80 +3,133 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rules import burn_evidence
 from ..shipping import ship
 
 OUT = "case_id string, observation_id string, at timestamp, accepted boolean, reason string, state string, n long"
-STATE = "n long, strong long, doubtful long, first_us long, last_us long, sown boolean, seen string"
+SUMMARY = "n long, strong long, doubtful long, first_us long, last_us long, deadline_us long, sown boolean, ended boolean"
 DAY_US = 86_400_000_000
-
-
-def _state_of(n: int, strong: int, doubtful: int, span: float, sown: bool, late: bool, least: int, least_span: float) -> str:
-    if strong:
-        return "BURN_SIGNAL_DETECTED"
-    if doubtful:
-        return "MANUAL_REVIEW_REQUIRED"
-    if n >= least and span >= least_span and (late or sown):
-        return "NO_BURN_VERIFIED"
-    if late:
-        return "INSUFFICIENT_EVIDENCE"
-    return "MONITORING" if n else "INSUFFICIENT_EVIDENCE"
-
-
 TERMINAL = ("BURN_SIGNAL_DETECTED", "NO_BURN_VERIFIED", "CLOSED")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which map states and timers need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+@dataclass
+class Case:
+    """What is known of a case besides its observations' ids."""
+
+    n: int = 0
+    strong: int = 0
+    doubtful: int = 0
+    first_us: int | None = None
+    last_us: int | None = None
+    deadline_us: int = 0
+    sown: bool = False
+    ended: bool = False
+
+    def state(self, late: bool, least: int, least_span: float) -> str:
+        if self.strong:
+            return "BURN_SIGNAL_DETECTED"
+        if self.doubtful:
+            return "MANUAL_REVIEW_REQUIRED"
+        span = (self.last_us - self.first_us) / DAY_US if self.n > 1 else 0.0
+        if self.n >= least and span >= least_span and (late or self.sown):
+            return "NO_BURN_VERIFIED"
+        return "MONITORING" if self.n and not late else "INSUFFICIENT_EVIDENCE"
+
+
+class CaseProcessor(StatefulProcessor):
+    """Observations of a case in strict order; a summary, the ids it accepted, and a timer at its deadline."""
+
+    def __init__(self, deadline_days: float, least: int, least_span: float, ahead_us: int):
+        self.deadline_us, self.least, self.least_span, self.ahead_us = int(deadline_days * DAY_US), least, least_span, ahead_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.summary = handle.getValueState("summary", SUMMARY)
+        self.ids = handle.getMapState("ids", "id string", "at_us long")
+
+    def known(self) -> Case | None:
+        return Case(*self.summary.get()) if self.summary.exists() else None
+
+    def against(self, case: Case, r, at: int, begun: int, received: int) -> str | None:
+        """Why an observation is not accepted."""
+        if case.ended:
+            return "CASE_ENDED"
+        if at > received + self.ahead_us:
+            return "FUTURE"
+        if at < begun:
+            return "BEFORE_START"
+        if self.ids.containsKey((r.observation_id,)):
+            return "DUPLICATE"
+        return "NOT_CHRONOLOGICAL" if case.last_us is not None and at <= case.last_us else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        case, fresh, out = self.known(), False, []
+        clock = timerValues.getCurrentWatermarkInMs() * 1000
+        for r in pd.concat(list(rows), ignore_index=True).sort_values(["received", "at", "observation_id"], kind="stable").itertuples():
+            at, begun, received = (int(x.value // 1000) for x in (r.at, r.started, r.received))
+            if case is None:
+                # what the watermark has passed was judged, and its state is gone
+                case, fresh = Case(deadline_us=begun + self.deadline_us, ended=clock >= begun + self.deadline_us), True
+            late = case.last_us is not None and case.last_us >= case.deadline_us
+            reason = self.against(case, r, at, begun, received)
+            if reason is None:
+                case.n, case.last_us, case.first_us = case.n + 1, at, at if case.first_us is None else case.first_us
+                case.strong, case.doubtful, case.sown = case.strong + (r.evidence == "STRONG"), case.doubtful + (r.evidence in ("MODERATE", "UNCLEAR")), bool(case.sown or r.sown)
+                self.ids.updateValue((r.observation_id,), (at,))
+                late = at >= case.deadline_us
+            state = case.state(late, self.least, self.least_span)
+            if state in TERMINAL and not case.ended:
+                case.ended = True
+                self.ids.clear()
+            out.append((key[0], r.observation_id, r.at, reason is None, reason, state, case.n))
+        if clock < case.deadline_us:
+            self.summary.update((case.n, case.strong, case.doubtful, case.first_us, case.last_us, case.deadline_us, case.sown, case.ended))
+            if fresh:
+                self.handle.registerTimer(max(clock // 1000 + 1, case.deadline_us // 1000))
+        yield pd.DataFrame(out, columns=["case_id", "observation_id", "at", "accepted", "reason", "state", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        case = self.known()
+        self.summary.clear()
+        self.ids.clear()
+        if case is not None and not case.ended:
+            final = case.state(True, self.least, self.least_span)
+            yield pd.DataFrame({"case_id": [key[0]], "observation_id": [None], "at": [pd.NaT], "accepted": [False], "reason": ["DEADLINE"], "state": [final], "n": [case.n]}).astype({"at": "datetime64[us]"})
 
 
 def cases(stream: DataFrame, deadline_days: float = 30, least: int = 3, least_span: float = 20, ahead_us: int = 300_000_000, late: str = "1 day") -> DataFrame:
     """X-01, X-02: observations of cases in strict order of time; what comes late, twice, before the start, from the future or after the end is rejected with a reason.
 
     stream: case_id, observation_id, at, started, received (timestamps), observation_quality, nbr_delta, bais2_delta,
-    ndvi_delta, fire, sown. The state per case is a few numbers and the ids it accepted. Once the watermark of received
-    passes a case's deadline, it is judged, leaves a row without an observation, and its state goes; what comes after
-    that is rejected.
+    ndvi_delta, fire, sown. State of a case: a row of counts, and an entry for each id it accepted; a case that ends
+    drops its ids at once. Once the watermark of received passes a case's deadline, a timer judges it (a row without an
+    observation, unless it has ended) and all its state goes; what comes after that is rejected. Start the stream
+    within keyed_state.
     """
     ship(stream.sparkSession)
     evidence = burn_evidence(F.col("observation_quality"), F.col("nbr_delta"), F.col("bais2_delta"), F.col("ndvi_delta"), F.col("fire"))
-    rows = stream.withWatermark("received", late).withColumn("evidence", evidence)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, strong, doubtful, first, last, sown, seen = state.get if state.exists else (0, 0, 0, None, None, False, "")
-        if state.hasTimedOut:
-            span = (last - first) / DAY_US if n > 1 else 0.0
-            state.remove()
-            final = _state_of(n, strong, doubtful, span, sown, True, least, least_span)
-            yield pd.DataFrame({"case_id": [key[0]], "observation_id": [None], "at": [pd.NaT], "accepted": [False], "reason": ["DEADLINE"], "state": [final], "n": [n]}).astype({"at": "datetime64[us]"})
-            return
-        ids, out = set(seen.split("\n")) if seen else set(), []
-        over = state.getCurrentWatermarkMs()
-        fresh = not state.exists
-        batch = pd.concat(list(frames), ignore_index=True)
-        for r in batch.sort_values(["received", "at", "observation_id"], kind="stable").itertuples():
-            at, begun, now = (int(x.value // 1000) for x in (r.at, r.started, r.received))
-            span = (last - first) / DAY_US if n > 1 else 0.0
-            current = _state_of(n, strong, doubtful, span, sown, last is not None and last >= begun + deadline_days * DAY_US, least, least_span)
-            reason = (
-                "CASE_ENDED" if n and current in TERMINAL or fresh and over * 1000 >= begun + deadline_days * DAY_US else "FUTURE" if at > now + ahead_us else "BEFORE_START" if at < begun
-                else "DUPLICATE" if r.observation_id in ids else "NOT_CHRONOLOGICAL" if last is not None and at <= last else None
-            )
-            if reason is None:
-                n, last, first = n + 1, at, at if first is None else first
-                strong, doubtful = strong + (r.evidence == "STRONG"), doubtful + (r.evidence in ("MODERATE", "UNCLEAR"))
-                sown = bool(sown or r.sown)
-                ids.add(r.observation_id)
-                span = (last - first) / DAY_US if n > 1 else 0.0
-                current = _state_of(n, strong, doubtful, span, sown, last >= begun + deadline_days * DAY_US, least, least_span)
-            out.append((key[0], r.observation_id, r.at, reason is None, reason, current, n))
-        state.update((n, int(strong), int(doubtful), first, last, bool(sown), "\n".join(sorted(ids))))
-        state.setTimeoutTimestamp(max(over + 1, int(begun + deadline_days * DAY_US) // 1000))
-        yield pd.DataFrame(out, columns=["case_id", "observation_id", "at", "accepted", "reason", "state", "n"])
-
-    return rows.groupBy("case_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.withWatermark("received", late).select("case_id", "observation_id", "at", "started", "received", "sown", evidence.alias("evidence"))
+    return rows.groupBy("case_id").transformWithStateInPandas(CaseProcessor(deadline_days, least, least_span, ahead_us), OUT, "Append", "EventTime")
 
 
 def fresh_fires(stream: DataFrame, late: str = "2 days") -> DataFrame:
