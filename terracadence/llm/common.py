@@ -33,8 +33,14 @@ def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Pieces of at most so many rows, so that a worker holds few texts as Python strings at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most so many rows and bytes (a row of more bytes alone), so that a worker holds few texts as Python strings at once."""
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+        todo = [whole.slice(at, rows) for at in range(0, whole.num_rows, rows)][::-1]
+        while todo:
+            piece = todo.pop()
+            if piece.num_rows > 1 and piece.nbytes > most_bytes:
+                half = piece.num_rows // 2
+                todo += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece

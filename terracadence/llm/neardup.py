@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from ..shipping import ship
+from .common import sliced, staged
 from .components import components
 from .shingles import ODD, forget, mix, shingle_set
 
@@ -19,8 +20,8 @@ from .shingles import ODD, forget, mix, shingle_set
 BANDS, ROWS = 30, 5
 #: Bits of an odd sketch, and how far below the threshold its estimate may lie (five standard errors of BANDS * ROWS samples).
 SKETCH_BITS, MARGIN = 512, 0.17
-#: Members of a bucket that one task compares; larger buckets become pairs of blocks.
-BLOCK = 512
+#: Members of a bucket that one task compares, and about how many bytes of full sets; larger buckets become pairs of blocks.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
 #: Members of a large bucket that all its blocks are compared with.
 PIVOTS = 4
 #: Cells of the bounded filter before texts are fetched again.
@@ -29,6 +30,7 @@ np.seterr(over="ignore")
 
 
 @lru_cache(maxsize=4)
+
 def _functions(k: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240229)
     a, b = (r.integers(0, 1 << 64, (k, 1), dtype=np.uint64) for _ in range(2))
@@ -73,19 +75,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
-                n, s, keys, sketches = [], [], [], []
-                for text in b.column(1).to_pylist():
-                    x = shingle_set(text, width)
-                    n.append(len(x))
-                    s.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    samples = minhash(x, k) if len(x) else None
-                    keys.append(band_keys(samples, bands).view(np.int64) if len(x) else None)
-                    sketches.append(odd_sketch(samples) if len(x) else None)
-                halves = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
-                cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "n", "s1", "s2", "bands", "sketch"])
+        for b in sliced(batches):
+            n, s, keys, sketches = [], [], [], []
+            for text in b.column(1).to_pylist():
+                x = shingle_set(text, width)
+                n.append(len(x))
+                s.append(xxhash.xxh3_128_digest(x.tobytes()))
+                samples = minhash(x, k) if len(x) else None
+                keys.append(band_keys(samples, bands).view(np.int64) if len(x) else None)
+                sketches.append(odd_sketch(samples) if len(x) else None)
+            halves = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
+            cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "n", "s1", "s2", "bands", "sketch"])
         forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
@@ -176,29 +177,31 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, per
 
     1. Signatures beside the scan. Equal sets become one representative, the smallest id.
     2. Representatives meet in bands; buckets with the same members are compared once.
-    3. In a bucket, size and odd sketch choose candidate pairs. A bucket of more than block members is dealt to blocks;
+    3. In a bucket, size and odd sketch choose candidate pairs. A bucket of more than block members, or whose sets hold
+       more than BLOCK_BYTES, is dealt to blocks;
        each is compared in itself and with a few pivots of the bucket, so rows move once.
     4. Full sets of what is left, made anew from the texts, confirm the links exactly; a task gives each member's
        smallest linked id, never all pairs. Star contraction joins these into components.
     5. Members of a large bucket outside its largest component then meet all blocks of it, as pairs within one
        component need no further look. If that links more, components are joined again.
     """
+    ship(docs.sparkSession)
     k, share = bands * rows, percent / 100
     low = share - MARGIN
     sig = staged(signatures(docs, id_col, text_col, width, bands, rows))
     sets = sig.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     sets = staged(sets)
     reps = staged(sig.join(sets.select("s1", "s2", "id"), ["s1", "s2", "id"], "left_semi").dropDuplicates(["s1", "s2", "id"]))
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("m > 1")
-    buckets = buckets.groupBy("m", "who").agg(F.min("key").alias("key"))
-    members = staged(banded.join(buckets.select("key", "m"), "key"))
-    n_blocks = F.ceil(F.col("m") / block).cast("int")
-    members = members.withColumn("x", F.pmod(F.xxhash64("id", "key"), n_blocks).cast("int"))
+    banded = reps.select("id", "n", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).where("m > 1")
+    buckets = buckets.groupBy("m", "who").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    n_blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(8 * F.col("shingles") / BLOCK_BYTES)).cast("int")
+    members = staged(banded.drop("n").join(buckets.select("key", "m", n_blocks.alias("parts")), "key"))
+    members = members.withColumn("x", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     inside = members.select("key", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "id")
-    large = members.where(F.col("m") > block)
-    pivots = large.groupBy("key", "m").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(p)), "id"))["id"].alias(f"p{p}") for p in range(PIVOTS)])
-    pivots = pivots.withColumn("id", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)])))).withColumn("x", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    large = members.where("parts > 1")
+    pivots = large.groupBy("key", "parts").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(p)), "id"))["id"].alias(f"p{p}") for p in range(PIVOTS)])
+    pivots = pivots.withColumn("id", F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)])))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pivots = pivots.select("key", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "id")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +214,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int = 5, per
     layout = pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
     shape = "key long, x int, y int, side int, id long, n long, sketch binary"
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "full"])
         forget()
 
@@ -255,9 +258,9 @@ def _rest(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     top = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
     open_ = top.where(F.col("all") > F.col("top.size")).select("key", F.col("top.label").alias("top"), (F.col("all") - F.col("top.size")).alias("left"))
-    rows = labelled.join(open_, "key").withColumn("blocks", F.ceil(F.col("left") / block).cast("int"))
+    rows = labelled.join(open_, "key").withColumn("blocks", F.greatest(F.ceil(F.col("left") / block), F.ceil(F.col("parts") * F.col("left") / F.col("m"))).cast("int"))
     outside = rows.where(F.col("label") != F.col("top")).withColumn("row", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-    outside = outside.select("key", F.col("row").alias("x"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1)).alias("y"), F.lit(0).alias("side"), "id")
+    outside = outside.select("key", F.col("row").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"), F.lit(0).alias("side"), "id")
     against = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("row"), F.col("x").alias("y"), F.lit(1).alias("side"), "id").withColumnRenamed("row", "x")
     # x and y number different blocks here; x < y keeps them apart from a block that meets itself
     shift = F.lit(1 << 30)

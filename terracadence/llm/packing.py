@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sliced
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -167,6 +168,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     Ids are those of Tokenizer.encode(text, add_special_tokens=False), so a text that spells an added token has its id.
     Null and empty texts are the end id alone; ids may be null or repeat (each row is a document); no rows give none.
     """
+    ship(docs.sparkSession)
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = struct.pack("<I", end_id)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sliced
 from .features import BINS, STATS, quality_features
 
@@ -89,6 +90,7 @@ def labelled(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars", label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS, word_bits: int = WORD_BITS) -> FactorisationMachine:
     """Learn from at most max_rows labelled documents outside the held-out fold; their features come to the driver."""
+    ship(docs.sparkSession)
     chosen = F.broadcast(labelled(labels, id_col, label_col, max_rows))  # max_rows at most
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(meta_col).cast("long").alias("meta")).join(chosen, "id")
 
@@ -111,6 +113,7 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     Returns id, score (0 to 1, higher: label 1 likelier), predicted and the columns named in keep. Null texts count
     as empty and get a score too; repeated rows are scored alike; no rows give none.
     """
+    ship(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts, metas, out = b.column(text_name).to_pylist(), b.column("_meta").to_pylist(), []

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sliced, staged
 from .shingles import forget, mix, windows, word_hashes
 
@@ -245,6 +246,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Consecutive ones compact into paths along the document and along the place they repeat.
     4. The words at both places of each path are read again and compared by digest.
     """
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 33).alias("tag"), F.col(text_col).alias("text"))
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_anchors(slim, width))
     paths = staged(compacted(later_edges(edges(slim, width, bitmap)), width))
@@ -260,6 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a hash of the text. Ids are integers. Texts are taken whole, however long; other columns are not read. No rows give
     none.
     """
+    ship(docs.sparkSession)
     spans = repeated_spans(docs, id_col, text_col, width)
     spans = staged(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "words")).alias("spans")))
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 33).alias("tag"), F.col(text_col).alias("text"))

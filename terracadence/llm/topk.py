@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Candidates and queries that meet in one task, and candidates in a block.
 GROUP_ROWS, QUERY_ROWS, BLOCK_ROWS = 16_384, 1_024, 128
 #: Scores end here.
 LARGEST = (1 << 63) - 1
 
 
-
 def search_blocks(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> tuple[list[tuple[int, int, int]], int]:
     """The k best (query id, id, score) of each query, ties to smaller ids, and how many blocks were scored.
 
@@ -55,6 +56,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     Returns query_id, rank (from 1), the row's id and score.
     """
+    ship(rows.sparkSession)
     def whole(df: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
         fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

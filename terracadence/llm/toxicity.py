@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sliced
 from .features import word_features
 from .quality import labelled
@@ -146,6 +147,7 @@ def run_chain(chain: list[Link], rows: list[np.ndarray]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS, word_bits: int = WORD_BITS) -> list[Link]:
     """Learn the chain from at most max_rows labelled documents outside the held-out fold (crc32 of the id mod 3 is 1); categories come from the same rows."""
+    ship(docs.sparkSession)
     chosen = F.broadcast(labelled(labels, id_col, label_col, max_rows))  # max_rows at most
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
@@ -167,6 +169,7 @@ def score(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col:
     Null and empty texts count as texts without words; repeated rows are scored alike; no rows give none. A category
     never seen in training keeps a probability near 0. Other columns of docs are not read.
     """
+    ship(docs.sparkSession)
     names = [id_col, *(f"p_{c}" for c in NAMES), "score", "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,15 +7,19 @@ import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from terracadence.llm import components, features, fingerprint, linededup, mixing, neardup, packing, quality, queries, secrets, shingles, substring, topk, toxicity
+from terracadence.llm.common import sliced
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TABLES = "/root/testdata/sf0.001"
@@ -541,10 +545,10 @@ def test_large_buckets_move_little(spark, monkeypatch):
     rnd = random.Random(12)
     base = [f"b{k}" for k in range(120)]
     rows = []
-    for d in range(300):
+    for d in range(600):
         words = list(base)
         words[rnd.randrange(120)] = f"v{d}"
-        if d >= 240:  # a second family: some of it within reach of the first, most not
+        if d >= 480:  # a second family: some of it within reach of the first, most not
             words[40:52] = [f"z{k}" for k in range(12)]
         rows.append((d, " ".join(words)))
     placed = []
@@ -559,6 +563,46 @@ def test_large_buckets_move_little(spark, monkeypatch):
     want = plain_components({d: plain_set(t) for d, t in rows}, 85)
     out = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
     assert {d: r.component_id for d, r in out.items()} == want and placed and placed[0][0] > 16
+    assert placed[0][1] < placed[0][0] ** 2 / 8
+
+
+def test_blocks_of_few_bytes(spark, monkeypatch):
+    """Long sets part a bucket long before its members are many; nothing is lost."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 8 * 400)
+    rnd = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(d, " ".join(f"v{d}" if k == 11 * d % 200 else w for k, w in enumerate(base))) for d in range(20)] + [(50 + d, sentence(rnd, 150)) for d in range(5)]
+    want = plain_components({d: plain_set(t) for d, t in rows}, 85)
+    out = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {d: r.component_id for d, r in out.items()} == want
+
+
+def test_slices_hold_few_bytes():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": ["x" * (3_000_000 if k % 10 == 3 else 10) for k in range(40)]})
+    parts = list(sliced([batch, batch.slice(0, 0)], rows=25, most_bytes=4_000_000))
+    assert [i for p in parts for i in p["id"].to_pylist()] == list(range(40))
+    assert all(p.num_rows <= 25 and (p.num_rows == 1 or p.nbytes <= 4_000_000) for p in parts)
+
+
+def test_operators_on_a_table_of_the_users_own_from_another_folder(tmp_path):
+    """Nothing but the driver's path knows the package; executors get its code from the operators themselves."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "cp").getOrCreate()
+import public_tokenizers
+from terracadence.llm import hardneg, heaplloyd, neardup, packing, quality, substring, topk, toxicity, wrappers
+docs = spark.createDataFrame([(k, f"some words of text {{k}} " * 9, 9) for k in range(12)], "doc_id long, text string, n_chars long")
+labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+vectors = spark.createDataFrame([(k, [k / 16.0] * 16, 0) for k in range(12)], "vec_id long, embedding array<float>, label int")
+found = [quality.score(docs, quality.fit(docs, labels)), toxicity.score(docs, toxicity.fit(docs, labels)), neardup.near_duplicates(docs), substring.remove_repeats(docs), packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")),
+         topk.top_k(vectors, vectors), heaplloyd.compress(vectors), wrappers.extract(spark.createDataFrame([(k, "http://x/", "<p>t") for k in range(12)], "page_id long, url string, html string"))]
+print("ROWS", [f.count() >= 12 for f in found], hardneg.mine(vectors, vectors).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS [True, True, True, True, True, True, True, True] 0" in done.stdout, done.stderr[-3000:]
 
 
 def test_keep_one_tells_texts_of_an_id_apart(spark):
