@@ -232,3 +232,33 @@ def case_stream(spark, sf):
     with V.keyed_state(spark):
         out = _stream(spark, sf, "events", columns, lambda s: V.cases(s, 10, 3, 6), most_files=1_000_000)
     return out.drop("at")
+
+
+@query("select event_id, user_id, event_type, ts from events")
+def content_increments(spark, sf):
+    """S-22, X-04: a feed that delivers some files twice and repeats rows across files is taken once."""
+    from ..streaming.ledger import Ledger
+
+    feed, folder = place(spark), place(spark)
+    e = read(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    for part, rows in enumerate((e.where("event_type <> 'error'"), e.where("event_type in ('error', 'view')"), e.where("event_type = 'view'"))):
+        rows.write.parquet(f"{feed}/{part}")
+    schema = "event_id long, user_id long, event_type string, ts timestamp_ntz"
+    ledger = Ledger(folder, schema)
+    for _ in range(2):  # the second run finds nothing new
+        ledger.follow(V.new_files(spark, f"{feed}/*", schema), f"{folder}/progress").awaitTermination()
+    return ledger.table(spark)
+
+
+@query("""with m as (select year(o_orderdate)::integer as year, month(o_orderdate)::integer as month, count(*) as n, max(o_orderkey) as latest from orders group by all) select year, month, n, latest, year <= 1997 as cached from m""")
+def cached_requests(spark, sf):
+    """S-22: requests for months, of which some were answered before."""
+    from ..streaming.ledger import cached
+
+    folder, d = place(spark), c("o_orderdate")
+    o = read(spark, sf, "orders").select(F.year(d).alias("year"), F.month(d).alias("month"), "o_orderkey")
+    asked = o.select("year", "month").distinct()
+    answer = lambda wanted: o.join(wanted, ["year", "month"], "left_semi").groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("latest"))
+    schema = "year int, month int, n long, latest long"
+    cached(asked.where("year <= 1997"), answer, folder, ["year", "month"], schema)
+    return cached(asked, answer, folder, ["year", "month"], schema)
