@@ -262,3 +262,32 @@ def cached_requests(spark, sf):
     schema = "year int, month int, n long, latest long"
     cached(asked.where("year <= 1997"), answer, folder, ["year", "month"], schema)
     return cached(asked, answer, folder, ["year", "month"], schema)
+
+
+@query("""with p as (select p_partkey % 4 as k, p_partkey // 4 // 32 as r, p_partkey // 4 % 32 as col_, p_size::double as a, p_retailprice as b from part where p_partkey // 4 < 32 * 60)
+    select k, (r // 3)::bigint as "row", (col_ // 3)::bigint as col, round(avg(a), 6) as size, round(avg(b), 6) as price from p group by k, r // 3, col_ // 3""")
+def raster_average(spark, sf):
+    """S-07: tables written as tiled rasters and read back as means of three by three pixels, tile by tile."""
+    from ..sources.raster import read_raster, write_rasters
+
+    k = F.floor(c("p_partkey") / 4)
+    p = read(spark, sf, "part").where(k < 32 * 60).select((c("p_partkey") % 4).alias("k"), F.floor(k / 32).alias("r"), (k % 32).alias("col_"), c("p_size").cast("double").alias("a"), c("p_retailprice").alias("b"))
+    paths = write_rasters(p, place(spark), "k", "r", "col_", ["a", "b"], 60, 32, tile=16)
+    out = read_raster(spark, paths, factor=3, resampling="average").where(c("bands")[0].isNotNull())
+    return out.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("k"), "row", "col", F.round(c("bands")[0], 6).alias("size"), F.round(c("bands")[1], 6).alias("price"))
+
+
+PAINTED = "s as (select c_custkey as k, (c_custkey * 7919 % 10007) / 11.0 + 0.013 as x, (c_custkey * 104729 % 9973) / 11.0 + 0.017 as y, 1 + c_custkey % 7 * 1.9 as r, (1 + c_custkey % 3)::integer as tier from customer)"
+
+
+@query(f"""with {PAINTED}, p as (select floor(y)::bigint + j as "row", floor(x)::bigint + i as col, tier from s, range(-16, 17) a(i), range(-16, 17) b(j) where abs(floor(x) + i + 0.5 - x) + abs(floor(y) + j + 0.5 - y) < r)
+    select "row", col, max(tier)::integer as value from p where "row" between 0 and 899 and col between 0 and 899 group by all""")
+def field_painting(spark, sf):
+    """K-05, F-45: diamonds of three tiers on a grid of 900 pixels; the SQL tests every pixel's middle."""
+    from ..operators.paint import paint, paint_order
+
+    k = c("c_custkey")
+    x, y, r = k * 7919 % 10007 / 11 + 0.013, k * 104729 % 9973 / 11 + 0.017, 1 + k % 7 * 1.9
+    ring = F.array(*[F.struct((x + dx * r).alias("x"), (y + dy * r).alias("y")) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    shapes = read(spark, sf, "customer").select(F.array(ring).alias("rings"), F.element_at(F.array(F.lit("CROP"), F.lit("LOOSE"), F.lit("STRICT")), (1 + k % 3).cast("int")).alias("tier"))
+    return paint(shapes, "rings", paint_order(c("tier")), 900, 900).select("row", "col", "value")
