@@ -40,13 +40,49 @@ def utm_xy(lat: Column, lon: Column, central: float = CENTRAL) -> tuple[Column,
     return EASTING + SCALE * radius * x, SCALE * radius * y
 
 
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 6) -> tuple[Column, Column]:
+    """F-26: metres along the ellipsoid from the first place to the second, and the direction there in radians from north; the inverse series of the great ellipse, for places that are not opposite each other.
+
+    The longitude on the auxiliary sphere is found by a fixed number of rounds: within a few hundred km three leave less
+    than a micrometre. Equal places are 0 apart, to the north.
+    """
+    b = A * (1 - FLATTENING)
+    reduced = lambda lat: F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
+    u1, u2 = reduced(lat1), reduced(lat2)
+    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
+    turn = F.radians(F.pmod(lon2 - lon1 + 540, F.lit(360.0)) - 180)
+    start = F.struct(turn.alias("l"), *[F.lit(0.0).alias(n) for n in ("sin", "cos", "sigma", "alpha2", "middle")])
+
+    def again(state: Column, _: Column) -> Column:
+        sl, cl = F.sin(state["l"]), F.cos(state["l"])
+        sin = F.sqrt(F.pow(c2 * sl, 2) + F.pow(c1 * s2 - s1 * c2 * cl, 2))
+        cos = s1 * s2 + c1 * c2 * cl
+        sigma = F.atan2(sin, cos)
+        sin_alpha = F.coalesce(F.try_divide(c1 * c2 * sl, sin), F.lit(0.0))
+        alpha2 = 1 - sin_alpha * sin_alpha
+        middle = cos - F.coalesce(F.try_divide(2 * s1 * s2, alpha2), F.lit(0.0))
+        c = FLATTENING / 16 * alpha2 * (4 + FLATTENING * (4 - 3 * alpha2))
+        longer = turn + (1 - c) * FLATTENING * sin_alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
+        return F.struct(longer.alias("l"), sin.alias("sin"), cos.alias("cos"), sigma.alias("sigma"), alpha2.alias("alpha2"), middle.alias("middle"))
+
+    def finish(done: Column) -> Column:
+        q = done["alpha2"] * (A * A - b * b) / (b * b)
+        big = 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768))
+        small = q / 1024 * (256 + q * (q * (74 - 47 * q) - 128))
+        m, cos, sin = done["middle"], done["cos"], done["sin"]
+        off = small * sin * (m + small / 4 * (cos * (2 * m * m - 1) - small / 6 * m * (4 * sin * sin - 3) * (4 * m * m - 3)))
+        towards = F.atan2(c2 * F.sin(done["l"]), c1 * s2 - s1 * c2 * F.cos(done["l"]))
+        return F.struct((b * big * (done["sigma"] - off)).alias("away"), towards.alias("towards"))
+
+    # by transform, so that the rounds are run once for both
+    line = F.transform(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again)), finish)[0]
+    return line["away"], line["towards"]
+
+
 def local_xy(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
-    """F-26: metres east and north of a centre, from the ellipsoid's radii there; centimetres off within a few km."""
-    e2 = FLATTENING * (2 - FLATTENING)
-    w = 1 - e2 * F.pow(F.sin(F.radians(lat0)), 2)
-    east = F.radians(lon - lon0) * F.cos(F.radians((lat + lat0) / 2)) * A / F.sqrt(w)
-    north = F.radians(lat - lat0) * A * (1 - e2) / F.pow(w, 1.5)
-    return east, north
+    """F-26: metres east and north of a centre, true in distance and direction from it (azimuthal equidistant on the ellipsoid)."""
+    away, towards = geodesic(lat0, lon0, lat, lon)
+    return away * F.sin(towards), away * F.cos(towards)
 
 
 def cell(x: Column, origin: float | Column, size: float) -> Column:

@@ -134,16 +134,52 @@ def replay_zone_greedy(spark, sf):
 def buyer_greedy(spark, sf):
     """N-08, P-15. Capacity is shared within a nation's market."""
     f = read(spark, sf, "customer").where("c_acctbal > 0").select(c("c_custkey").alias("field_id"), c("c_nationkey").alias("market"), (F.lit(30) + c("c_custkey") % 100 / 50).alias("field_lat"), (F.lit(75) + c("c_custkey") % 70 / 50).alias("field_lon"), F.lit("straw").alias("residue"), F.lit(12.0).alias("moisture"), (c("c_acctbal") / 10000).alias("score"), F.round(c("c_acctbal") / 100).alias("tonnes"))
-    b = read(spark, sf, "supplier").select(c("s_suppkey").alias("buyer_id"), (F.lit(30) + c("s_suppkey") % 50 / 50).alias("buyer_lat"), (F.lit(75) + c("s_suppkey") % 60 / 50).alias("buyer_lon"), F.when(c("s_suppkey") % 9 == 0, "PAUSED").otherwise("AVAILABLE").alias("buyer_status"), F.array(F.lit("STRAW")).alias("accepted"), F.lit(15.0).alias("max_moisture"), F.lit("06:00").alias("opens"), F.lit("20:00").alias("closes"), F.lit(400.0).alias("demand"), F.lit(300.0).alias("room"))
-    return simulate.match_buyers(f, b, ["market"], arrival_minute=600)
+    return simulate.match_buyers(f, buyers(spark, sf), ["market"], arrival_minute=600)
+
+
+def buyers(spark, sf):
+    """Suppliers as buyers."""
+    return read(spark, sf, "supplier").select(c("s_suppkey").alias("buyer_id"), (F.lit(30) + c("s_suppkey") % 50 / 50).alias("buyer_lat"), (F.lit(75) + c("s_suppkey") % 60 / 50).alias("buyer_lon"), F.when(c("s_suppkey") % 9 == 0, "PAUSED").otherwise("AVAILABLE").alias("buyer_status"), F.array(F.lit("STRAW")).alias("accepted"), F.lit(15.0).alias("max_moisture"), F.lit("06:00").alias("opens"), F.lit("20:00").alias("closes"), F.lit(400.0).alias("demand"), F.lit(300.0).alias("room"))
+
+
+def depots(spark, sf):
+    """Customers as fields and suppliers as units of their nation's depot."""
+    f = read(spark, sf, "customer").where("c_acctbal > 5000").select(c("c_custkey").alias("field_id"), c("c_nationkey").alias("depot"), (F.lit(30) + c("c_custkey") % 100 / 200).alias("lat"), (F.lit(75) + c("c_custkey") % 70 / 200).alias("lon"), (F.lit(1) + c("c_custkey") % 9).cast("double").alias("acres"), F.round(c("c_acctbal") / 1000).alias("tonnes"), (c("c_acctbal") / 10000).alias("score"))
+    u = read(spark, sf, "supplier").select(c("s_suppkey").alias("unit_id"), c("s_nationkey").alias("depot"), F.lit(30.2).alias("lat"), F.lit(75.2).alias("lon"), F.lit(20.0).alias("max_acres"), F.lit(40.0).alias("max_straw"), F.lit(480).alias("shift_minutes"), F.lit(3.0).alias("acres_per_hour"))
+    return f, u
 
 
 @query(None)
 def greedy_tours(spark, sf):
     """N-10, N-11."""
-    f = read(spark, sf, "customer").where("c_acctbal > 5000").select(c("c_custkey").alias("field_id"), c("c_nationkey").alias("depot"), (F.lit(30) + c("c_custkey") % 100 / 200).alias("lat"), (F.lit(75) + c("c_custkey") % 70 / 200).alias("lon"), (F.lit(1) + c("c_custkey") % 9).cast("double").alias("acres"), F.round(c("c_acctbal") / 1000).alias("tonnes"), (c("c_acctbal") / 10000).alias("score"))
-    u = read(spark, sf, "supplier").select(c("s_suppkey").alias("unit_id"), c("s_nationkey").alias("depot"), F.lit(30.2).alias("lat"), F.lit(75.2).alias("lon"), F.lit(20.0).alias("max_acres"), F.lit(40.0).alias("max_straw"), F.lit(480).alias("shift_minutes"), F.lit(3.0).alias("acres_per_hour"))
-    return simulate.route(f, u, "depot")
+    return simulate.route(*depots(spark, sf), "depot")
+
+
+@query("""with f as (select c_custkey as field_id, c_nationkey as depot from customer where c_acctbal > 5000), u as (select distinct s_nationkey as depot from supplier)
+    select field_id, true as once, true as within_limits, true as no_dearer, case when depot not in (select depot from u) then false end as served_without_units from f""")
+def guided_tours(spark, sf):
+    """N-09: what holds of every tour: each field once, units within area, straw, shift and distance, no depot dearer than its greedy tours, depots without units serve nothing. Tours themselves are held against the limits here and by tests."""
+    from ..operators.routing import guided_routes
+
+    f, u = depots(spark, sf)
+    out = guided_routes(f, u, "depot", steps=1_000).join(f.select("field_id", "depot", "acres", "tonnes", "lat", "lon"), "field_id")
+    home = G.haversine_km(c("lat"), c("lon"), F.lit(30.2), F.lit(75.2))
+    last = F.max(F.struct("stop", home.alias("km")))["km"]
+    tour = out.where("unit_id is not null").groupBy("unit_id").agg((F.sum("acres") <= 20).alias("a"), (F.sum("tonnes") <= 40).alias("t"), (F.sum(F.ceil(c("acres") / 3 * 60)) <= 480).alias("m"), (F.sum("leg_km") + last <= 300).alias("k"), (F.max("stop") == F.count(F.lit(1))).alias("s"))
+    times = out.groupBy("field_id").agg((F.count(F.lit(1)) == 1).alias("once"))
+    rows = out.join(times, "field_id").join(tour, "unit_id", "left").join(u.select("depot").distinct().withColumn("has", F.lit(True)), "depot", "left")
+    limits = F.coalesce(c("a") & c("t") & c("m") & c("k") & c("s"), F.lit(True))
+    return rows.select("field_id", "once", limits.alias("within_limits"), (c("depot_cost") <= c("greedy_cost")).alias("no_dearer"), F.when(c("has").isNull(), c("unit_id").isNotNull()).alias("served_without_units"))
+
+
+@query(None)
+def action_plan(spark, sf):
+    """N-12: fields that a buyer would take, their tours, and the buyers of what was collected."""
+    f, u = depots(spark, sf)
+    fields = f.select("*", c("lat").alias("field_lat"), c("lon").alias("field_lon"), F.lit("straw").alias("residue"), F.lit(12.0).alias("moisture"), c("depot").alias("market"))
+    plan = simulate.plan_action(fields, buyers(spark, sf), u, "depot", ["market"], steps=500)
+    tours = plan["tours"].select("field_id", "unit_id", "stop")
+    return plan["preview"].select("field_id", "reason").join(tours, "field_id", "left").join(plan["matches"].select("field_id", "buyer_id"), "field_id", "left")
 
 
 # Grams of each species a kilogram of dry matter gives off, and their deviation.
