@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import queries_fields, queries_io, queries_joins, queries_measures, queries_models, queries_more, queries_plans, queries_windows
+from .plans import queries_fields, queries_io, queries_joins, queries_measures, queries_models, queries_more, queries_plans, queries_records, queries_windows
 
-MODULES = (queries_windows, queries_joins, queries_measures, queries_plans, queries_more, queries_io, queries_fields, queries_models)
+MODULES = (queries_windows, queries_joins, queries_measures, queries_plans, queries_more, queries_io, queries_fields, queries_models, queries_records)
 FLAGSHIP = "event_detection"
 
 

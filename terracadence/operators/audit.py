@@ -70,6 +70,14 @@ def disjoint(a: DataFrame, b: DataFrame, key: list[str]) -> bool:
     return a.select(*key).intersect(b.select(*key)).isEmpty()
 
 
+def shared_keys(splits: DataFrame, key: str, split: str) -> DataFrame:
+    """U-05 for any number of splits: pairs of splits and how many keys both hold; none where they are disjoint."""
+    held = splits.select(key, split).distinct()
+    sides = held.groupBy(key).agg(F.sort_array(F.collect_set(split)).alias("s")).where(F.size("s") > 1)  # splits are few
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return sides.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+
+
 def transition_audit(df: DataFrame, key: str, order: list[str], state: str, allowed: list[tuple[str, str]]) -> DataFrame:
     """X-03 on stored rows: each change of state with whether the table of transitions allows it."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -18,7 +18,7 @@ HOUR_US = 3_600_000_000
 
 
 def optical_features(optical: DataFrame) -> DataFrame:
-    """A-01, A-02: index statistics of the valid, cloudless pixels of each image, with counts and shares."""
+    """A-01: index statistics of the valid, cloudless pixels of each image, with counts and shares."""
     px = optical.select("field_id", "source_image_id", "acquisition_datetime", F.coalesce("value_scale", F.lit(1.0)).alias("k"), F.explode_outer("pixels").alias("p"))
     ok = F.coalesce(F.col("p.valid"), F.lit(True)) & ~F.coalesce(F.col("p.cloudy"), F.lit(False)) & F.col("p").isNotNull()
     b = lambda n: F.when(ok, F.col(f"p.{n}") * F.col("k"))
@@ -27,6 +27,29 @@ def optical_features(optical: DataFrame) -> DataFrame:
     return rows.withColumns({"valid_pixel_fraction": F.try_divide("valid_pixel_count", "total_pixel_count"), "cloud_fraction": F.try_divide("_c", "total_pixel_count")}).drop("_c")
 
 
+STATISTICS = ("mean", "median", "std", "min", "max")
+REDUCED = "struct<indices:map<string,struct<mean:double,median:double,std:double,min:double,max:double>>,bands:map<string,struct<mean:double>>,valid_pixel_count:bigint,total_pixel_count:bigint,cloud_pixel_count:bigint,valid_pixel_fraction:double,cloud_fraction:double>"
+
+
+def reduced_features(rows: DataFrame, statistics: str, indices: tuple[str, ...] = ("NDVI", "NBR", "BAIS2"), bands: tuple[str, ...] = ()) -> DataFrame:
+    """A-02: what a server's reducer already summed up (a column of type REDUCED), in the columns of optical_features, with what is inconsistent about it in errors.
+
+    Missing counts are 0; missing shares come from the counts where there is a total, else stay NULL; values that are not
+    finite are NULL. Rows with errors are kept, marked: counts below 0 or more valid pixels than pixels, and shares
+    outside 0 to 1.
+    """
+    from ..functions.numbers import finite
+
+    s = F.col(statistics)
+    whole = lambda n: F.coalesce(s[n], F.lit(0).cast("long"))
+    share = lambda given, part: F.coalesce(s[given], F.when(s["total_pixel_count"] != 0, part / s["total_pixel_count"]))
+    out = rows.withColumns({f"{i}_{m}": finite(s["indices"][i][m]) for i in indices for m in STATISTICS} | {f"{b}_mean": finite(s["bands"][b]["mean"]) for b in bands})
+    out = out.withColumns({"valid_pixel_count": whole("valid_pixel_count"), "total_pixel_count": whole("total_pixel_count"), "valid_pixel_fraction": share("valid_pixel_fraction", whole("valid_pixel_count")), "cloud_fraction": share("cloud_fraction", whole("cloud_pixel_count"))})
+    odd = (F.col("valid_pixel_count") < 0) | (F.col("total_pixel_count") < 0) | (F.col("valid_pixel_count") > F.col("total_pixel_count"))
+    outside = lambda n: F.col(n).isNotNull() & ~F.coalesce(F.col(n).between(0, 1), F.lit(False))
+    return out.withColumn("errors", reasons([(odd, "inconsistent_pixel_counts"), (outside("valid_pixel_fraction"), "invalid_valid_pixel_fraction"), (outside("cloud_fraction"), "invalid_cloud_fraction")]))
+
+
 #: Width of the time buckets that spread rows over tasks where there is one series only.
 BUCKET_US = 7 * 24 * HOUR_US
 
