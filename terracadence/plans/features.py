@@ -54,13 +54,12 @@ def reduced_features(rows: DataFrame, statistics: str, indices: tuple[str, ...]
 BUCKET_US = 7 * 24 * HOUR_US
 
 
-def _carried(series: DataFrame, rows: DataFrame, at: str, columns: list[str]) -> DataFrame:
-    """series in buckets of time (_k), each bucket of rows also holding the last row before it, so that a bucket can be looked up alone."""
+def _carried(series: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """series in buckets of time (_k), each bucket that is wanted also holding the last row before it, so that a bucket can be looked up alone."""
     from pyspark.sql import Window
 
     own = series.select(F.floor(F.col("at_us") / BUCKET_US).alias("_k"), "at_us", *columns)
     last = own.groupBy("_k").agg(F.max(F.struct("at_us", *columns)).alias("last"))
-    wanted = rows.select(F.floor(F.col(at) / BUCKET_US).alias("_k")).distinct()
     # a row for each week: bounded by the time the tables span
     marks = last.unionByName(wanted.join(last, "_k", "left_anti"), allowMissingColumns=True)
     before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,19 +77,21 @@ def weather_features(rows: DataFrame, weather: DataFrame, ts: str = "ts_us", hou
     from pyspark.sql import Window
 
     nodes = "node" in weather.columns
+    rows = rows if nodes else staged(rows)  # each lookup asks for the buckets of all rows
     hourly = Window.partitionBy("node").orderBy("at_us") if nodes else Window.orderBy("at_us")  # one series is as long as its hours
     run = weather.withColumn("rain_sum", F.sum(F.coalesce("rain", F.lit(0.0))).over(hourly.rangeBetween(Window.unboundedPreceding, 0)))
     measures = [c for c in weather.columns if c not in ("at_us", "rain", "node")]
 
-    def lookup(out: DataFrame, series: DataFrame, at: str, column: str, prefix: str) -> DataFrame:
+    def lookup(out: DataFrame, series: DataFrame, at: str, column: str, prefix: str, back_us: int = 0) -> DataFrame:
         if nodes:
             return asof(out, series, ["node"], at, "at_us", [column], prefix=prefix)
+        wanted = rows.select(F.floor((F.col(ts) - back_us) / BUCKET_US).alias("_k")).distinct()
         out = out.withColumn("_k", F.floor(F.col(at) / BUCKET_US))
-        return asof(out, _carried(series, out, at, [column]), ["_k"], at, "at_us", [column], prefix=prefix).drop("_k")
+        return asof(out, _carried(series, wanted, [column]), ["_k"], at, "at_us", [column], prefix=prefix).drop("_k")
 
     out = lookup(rows, run, ts, "rain_sum", "now_")
     for h in hours:
-        out = lookup(out.withColumn("_back", F.col(ts) - h * HOUR_US), run, "_back", "rain_sum", "back_")
+        out = lookup(out.withColumn("_back", F.col(ts) - h * HOUR_US), run, "_back", "rain_sum", "back_", h * HOUR_US)
         out = out.withColumn(f"rain_{h}h", F.when(F.col("now_ts") > F.col("_back"), F.col("now_rain_sum") - F.coalesce("back_rain_sum", F.lit(0.0)))).drop("_back", "back_ts", "back_rain_sum")
     for m in measures:
         out = lookup(out, weather.where(F.col(m).isNotNull()), ts, m, "last_").drop("last_ts")

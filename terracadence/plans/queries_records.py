@@ -191,14 +191,14 @@ def _geodesic_sql() -> str:
     ctes = [f"p as (select c_custkey, 30 + c_custkey % 7 / 10 as lat0, 75 + c_custkey % 5 / 10 as lon0, 30 + c_custkey % 7 / 10 + (c_custkey * 37 % 601 - 300) / 1000 as lat, 75 + c_custkey % 5 / 10 + (c_custkey * 53 % 599 - 299) / 1000 as lon from customer)", f"r0 as (select *, radians(lon - lon0) as turn, radians(lon - lon0) as l, atan((1 - {f}) * tan(radians(lat0))) as u1, atan((1 - {f}) * tan(radians(lat))) as u2 from p)"]
     for k in range(6):
         ctes += [
-            f"a{k} as (select *, sqrt(power(cos(u2) * sin(l), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) as cs from r{k})",
+            f"a{k} as (select c_custkey, lat0, lon0, lat, lon, turn, u1, u2, l, sqrt(power(cos(u2) * sin(l), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l), 2)) as ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) as cs from r{k})",
             f"b{k} as (select *, atan2(ss, cs) as sg, case when ss <> 0 then cos(u1) * cos(u2) * sin(l) / ss else 0 end as sa from a{k})",
             f"d{k} as (select *, 1 - sa * sa as ca, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) as cm from b{k})",
             f"e{k} as (select *, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) as cc from d{k})",
             f"r{k + 1} as (select c_custkey, lat0, lon0, lat, lon, turn, u1, u2, ss, cs, sg, ca, cm, turn + (1 - cc) * {f} * sa * (sg + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) as l from e{k})",
         ]
     return "with " + ",\n".join(ctes) + f""",
-        q as (select *, ca * ({a} * {a} / power({a} * (1 - {f}), 2) - 1) as q from r6), s as (select *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) as big, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) as small from q),
+        q as (select *, ca * (1 / power(1 - {f}, 2) - 1) as q from r6), s as (select *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) as big, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) as small from q),
         o as (select *, small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))) as off_, atan2(cos(u2) * sin(l), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l)) as az from s)
         select c_custkey, round({a} * (1 - {f}) * big * (sg - off_) * sin(az), 3) as east, round({a} * (1 - {f}) * big * (sg - off_) * cos(az), 3) as north, round(111.2 * sqrt(power(lat0 - lat, 2) + power((lon0 - lon) * cos(radians(lat0)), 2)), 6) as degree_km from o"""
 
