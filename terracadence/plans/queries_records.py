@@ -59,8 +59,8 @@ IMAGES = """b as (select l_orderkey, l_linenumber, l_suppkey % 9 = 0 as cloudy,
 @query(f"""with {HOURS}, {IMAGES}, d as (select distinct t from on_), n as (select d.t, max(h.at_us) as seen from d join h on h.at_us <= d.t group by d.t),
     r as (select d.t, n.seen, coalesce(sum(h.rain) filter (h.at_us > d.t - 86400000000), 0) as r24, sum(h.rain) as r72 from d join n using (t) left join h on h.at_us <= d.t and h.at_us > d.t - 259200000000 group by all),
     m as (select d.t, arg_max(h.humidity, h.at_us) as hum from d join h on h.at_us <= d.t and h.humidity is not null group by d.t),
-    fi as (select (l_orderkey * 31 % 9000)::double as fx, (l_orderkey * 53 % 8999)::double as fy, epoch_us(l_shipdate::timestamp) as ft from lineitem where l_linenumber = 1),
-    fl as (select 'f' || i as field_id, (i * 137 % 8000)::double as x, (i * 211 % 8000)::double as y from range(60) t(i)),
+    fi as (select (l_orderkey * 31 % 90000)::double as fx, (l_orderkey * 53 % 89989)::double as fy, epoch_us(l_shipdate::timestamp) as ft from lineitem where l_linenumber = 1),
+    fl as (select 'f' || i as field_id, (i * 1370 % 80000)::double + 0.5 as x, (i * 2110 % 80000)::double + 0.5 as y from range(60) t(i)),
     fd as (select on_.image, sqrt(power(greatest(x - fx, 0, fx - x - 300), 2) + power(greatest(y - fy, 0, fy - y - 300), 2)) as d, on_.t - ft as age from on_ join fl using (field_id) join fi on ft <= on_.t),
     ff as (select image, count(*) filter (d = 0) as fires_inside, count(*) filter (d <= 500) as fires_500m, min(d) as nearest, coalesce(bool_or(age <= 72 * 3600000000::bigint) filter (d <= 1000), false) as fire_72h from fd group by image),
     q as (select on_.*, s, seen, case when seen > on_.t - 86400000000 then r24 end as rain_24h, case when seen > on_.t - 259200000000 then r72 end as rain_72h, hum, coalesce(fires_inside, 0) as fires_inside, coalesce(fires_500m, 0) as fires_500m, nearest, coalesce(fire_72h, false) as fire_72h from on_ left join sa using (image) left join r on r.t = on_.t left join m on m.t = on_.t left join ff using (image)),
@@ -82,10 +82,10 @@ def feature_rows(spark, sf):
         F.array(-(8 + u % 5).cast("double")).alias("VV_dB"), F.when(u % 4 > 0, F.array(-(14 + u % 7).cast("double"))).alias("VH_dB"),
     )
     i = c("id")
-    corner = lambda dx, dy: F.struct((i * 137 % 8000 + dx).cast("double").alias("x"), (i * 211 % 8000 + dy).cast("double").alias("y"))
+    corner = lambda dx, dy: F.struct(((i * 1370 % 80000).cast("double") + 0.5 + dx).alias("x"), ((i * 2110 % 80000).cast("double") + 0.5 + dy).alias("y"))
     names = o.select((c("o_custkey") % 60).alias("id")).distinct()
     fields = names.select(F.concat(F.lit("f"), i).alias("field_id"), F.array(corner(0, 0), corner(300, 0), corner(300, 300), corner(0, 300)).alias("ring"))
-    fires = li.where("l_linenumber = 1").select((c("l_orderkey") * 31 % 9000).cast("double").alias("fx"), (c("l_orderkey") * 53 % 8999).cast("double").alias("fy"), ts_us(c("l_shipdate").cast("timestamp_ntz")).alias("fire_us"), F.lit("V").alias("source"))
+    fires = li.where("l_linenumber = 1").select((c("l_orderkey") * 31 % 90000).cast("double").alias("fx"), (c("l_orderkey") * 53 % 89989).cast("double").alias("fy"), ts_us(c("l_shipdate").cast("timestamp_ntz")).alias("fire_us"), F.lit("V").alias("source"))
     out = features.feature_rows({"optical": optical, "radar": radar, "weather": hours(spark, sf), "fires": fires, "fields": fields}, F.unix_micros)
     return out.select(
         "field_id", "source_image_id", "valid_pixel_count", "total_pixel_count", "valid_pixel_fraction", "cloud_fraction", F.round("NDVI_mean", 9).alias("ndvi_mean"), c("s1_source_image_id_s1").alias("source_image_id_s1"), F.round("s1_vv_minus_vh_db", 9).alias("vv_minus_vh"), "rain_24h", "rain_72h", "last_humidity",
