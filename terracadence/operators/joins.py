@@ -35,18 +35,45 @@ def asof_with_status(left: DataFrame, right: DataFrame, keys: list[str], left_ts
 
 
 def asof_compatible(df: DataFrame, keys: list[str], ts: str, tie: str, same: list[str], same_if_known: list[str], payload: list[str], prefix: str = "compat_") -> DataFrame:
-    """J-12: the latest strictly earlier row of the key that agrees in the mandatory columns, and in the others where both are known."""
-    rid = F.struct(*[F.col(c) for c in df.columns])
-    left = df.select(*keys, *same, F.col(ts).alias("_at"), *[F.col(c).alias(f"_l_{c}") for c in same_if_known], rid.alias("_l"))
-    right = df.where(F.col(ts).isNotNull()).select(*keys, *same, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), *[F.col(c).alias(f"_r_{c}") for c in same_if_known], *[F.col(c).alias(f"_p_{c}") for c in payload])
-    fits = F.col("_ts") < F.col("_at")
-    for c in same_if_known:
-        fits = fits & F.coalesce(F.col(f"_l_{c}") == F.col(f"_r_{c}"), F.lit(True))
-    joined = left.alias("a").join(right.alias("b"), keys + same, "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    best = F.max(F.when(F.col("_fits"), F.struct("_ts", "_tie", *[f"_p_{c}" for c in payload]))).alias("_m")
-    # rows that do not join (NULL in a mandatory column) come back without a match
-    out = joined.groupBy("_l").agg(best)
-    return out.select("_l.*", F.col("_m._ts").alias(f"{prefix}ts"), *[F.col(f"_m._p_{c}").alias(f"{prefix}{c}") for c in payload])
+    """J-12: the latest strictly earlier row of the key that agrees in the mandatory columns, and in the others where both are known.
+
+    No pair of rows is made. Which optional columns a row knows is a pattern; a right row is filed once under each pattern
+    with the values of the columns known to both, a left row looks its own pattern up once for each subset of what it
+    knows. So n rows with m optional columns become at most 2 * 2 ** m * n (m is one or two), and each lookup is an as-of
+    join in one shuffle. Rows with NULL in a key or mandatory column, or without a time, come back without a match; rows
+    that repeat come back as often as they are.
+    """
+    c = F.col
+    must = [*keys, *same]
+    whole = F.lit(True)
+    for k in [*must, ts]:
+        whole = whole & c(k).isNotNull()
+    optional = range(len(same_if_known))
+    value = lambda k: c(same_if_known[k]).cast("string")
+    known = sum([F.when(c(o).isNotNull(), 1 << k).otherwise(0) for k, o in enumerate(same_if_known)], F.lit(0))
+    subsets = [[k for k in optional if n >> k & 1] for n in range(1 << len(same_if_known))]
+    bits = lambda ks: sum(1 << k for k in ks)
+    shared = lambda pattern, agreed: F.struct(F.lit(bits(pattern)).alias("pattern"), F.lit(bits(agreed)).alias("agreed"), F.array(*[value(k) for k in agreed]).cast("array<string>").alias("values"))
+
+    def entry(pattern: list[int]) -> Column:
+        cases = [(known.bitwiseAND(F.lit(bits(pattern))) == bits(agreed), shared(pattern, agreed)) for agreed in subsets if set(agreed) <= set(pattern)]
+        return F.coalesce(*[F.when(fits, key) for fits, key in cases])
+
+    filed = [entry(pattern) for pattern in subsets]
+    asked = [F.when(known == bits(pattern), shared(pattern, agreed)) for pattern in subsets for agreed in subsets if set(agreed) <= set(pattern)]
+
+    row = F.struct(c(ts).alias("_ts"), c(tie).alias("_tie"), *[c(p).alias(p) for p in payload])
+    right = df.where(whole).select(*must, F.explode(F.array(*filed)).alias("_k"), c(ts).alias("_at"), F.lit(1).alias("_side"), row.alias("_r"))
+    numbered = df.withColumn("_row", F.struct(*[c(k) for k in df.columns]))
+    left = numbered.where(whole).select(*must, F.explode(F.array_compact(F.array(*asked))).alias("_k"), c(ts).alias("_at"), F.lit(0).alias("_side"), c("_row").alias("_l"))
+    w = Window.partitionBy(*must, "_k").orderBy("_at", "_side", c("_r._tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = left.unionByName(right, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where(c("_l").isNotNull())
+    # each row asked 2 ** (known columns) times, so a row that repeats can be told by its count
+    best = carried.groupBy("_l").agg(F.max("_m").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    times = F.explode(F.array_repeat(F.lit(0), (c("_n") / F.pow(F.lit(2), sum([F.when(c(f"_l.{o}").isNotNull(), 1).otherwise(0) for o in same_if_known], F.lit(0)))).cast("int")))
+    none = numbered.where(~whole).select(c("_row").alias("_l"), F.lit(None).cast(best.schema["_m"].dataType).alias("_m"))
+    out = best.withColumn("_i", times).select("_l", "_m").unionByName(none)
+    return out.select("_l.*", c("_m._ts").alias(f"{prefix}ts"), *[c(f"_m.{p}").alias(f"{prefix}{p}") for p in payload])
 
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -59,13 +59,13 @@ def bbox_scan(spark, sf):
 
 @query("""select s_suppkey as id, case when s_suppkey % 2 = 0 then 'Polygon' else 'MultiPolygon' end as geometry_type, (1 + s_suppkey % 2)::integer as rings, (4 * (1 + s_suppkey % 2))::integer as corners, (s_suppkey % 50)::double as first_x from supplier""")
 def geojson_features(spark, sf):
-    """S-01: a collection of polygons and multi-polygons, written as one document."""
+    """S-01: a collection of polygons and multi-polygons, written as documents of bounded size."""
     path, x = place(spark), c("s_suppkey") % 50
     ring = lambda dx: F.format_string("[[%d,0],[%d,1],[%d,1],[%d,0]]", *[(x + dx + k).cast("int") for k in (0, 0, 1, 1)])
     coordinates = F.when(c("s_suppkey") % 2 == 0, F.concat(F.lit("["), ring(0), F.lit("]"))).otherwise(F.concat(F.lit("[["), ring(0), F.lit("],["), ring(5), F.lit("]]")))
     kind = F.when(c("s_suppkey") % 2 == 0, "Polygon").otherwise("MultiPolygon")
     feature = F.format_string('{"properties":{"id":%d},"geometry":{"type":"%s","coordinates":%s}}', c("s_suppkey"), kind, coordinates)
-    parts = read(spark, sf, "supplier").groupBy(F.pmod("s_suppkey", F.lit(8)).alias("part")).agg(F.array_join(F.collect_list(feature), ",").alias("all"))  # one document for each of eight parts
+    parts = read(spark, sf, "supplier").groupBy(F.floor(c("s_suppkey") / 500).alias("part")).agg(F.array_join(F.collect_list(feature), ",").alias("all"))  # documents of 500 features, more of them as the table grows
     document = F.concat(F.lit('{"type":"FeatureCollection","features":['), c("all"), F.lit("]}"))
     parts.select("part", document.alias("value")).write.partitionBy("part").text(path)
     out = R.geojson(spark, f"{path}/*", "id long")
@@ -78,7 +78,7 @@ def observation_bundle(spark, sf):
     path, k = place(spark), c("c_custkey")
     pixels = F.transform(F.sequence(F.lit(1), (1 + k % 3).cast("int")), lambda i: F.struct((i / 10).alias("B8"), (k % 2 == 0).alias("valid")))
     row = F.struct(F.concat(F.lit("f"), k % 40).alias("field_id"), k.cast("string").alias("source_image_id"), pixels.alias("pixels"))
-    docs = read(spark, sf, "customer").groupBy((k % 16).alias("part")).agg(F.collect_list(row).alias("s2_observations"))  # sixteen documents
+    docs = read(spark, sf, "customer").groupBy(F.floor(k / 1000).alias("part")).agg(F.collect_list(row).alias("s2_observations"))  # documents of a thousand rows, more of them as the table grows
     docs.select("part", F.to_json(F.struct(F.lit("synthetic").alias("fixture_type"), "s2_observations")).alias("value")).write.partitionBy("part").text(path)
     out = R.bundle(spark, f"{path}/*")["optical"]
     return out.select("field_id", "source_image_id", F.size("pixels").alias("pixels"), c("pixels")[0]["valid"].alias("first_valid"))

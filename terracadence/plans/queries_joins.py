@@ -142,7 +142,7 @@ def radius_join_interval(spark, sf):
     """J-16."""
     l = points(spark, sf, "customer", "c_custkey").toDF("cid", "x", "y").withColumns({"a": F.col("cid") % 30, "b": F.col("cid") % 30 + 9})
     r = points(spark, sf, "supplier", "s_suppkey").toDF("sid", "sx", "sy").withColumn("t", F.col("sid") % 37)
-    return B.match_intervals(l, r, "cid", 150.0, ("x", "y"), ("sx", "sy"), "a", "b", "t").select("cid", "n_matches")
+    return B.match_intervals(l, r, "cid", 150.0, ("x", "y"), ("sx", "sy"), "a", "b", "t", 10.0).select("cid", "n_matches")
 
 
 @query(f"""with c as ({points_sql('customer', 'c_custkey')}), s as ({points_sql('supplier', 's_suppkey')}), l as (select *, id % 30 as a, id % 30 + 9 as b, id % 2 = 0 as hit from c), r as (select *, id % 37 as t from s)

@@ -139,7 +139,7 @@ def buyer_greedy(spark, sf):
 
 def buyers(spark, sf):
     """Suppliers as buyers."""
-    return read(spark, sf, "supplier").select(c("s_suppkey").alias("buyer_id"), (F.lit(30) + c("s_suppkey") % 50 / 50).alias("buyer_lat"), (F.lit(75) + c("s_suppkey") % 60 / 50).alias("buyer_lon"), F.when(c("s_suppkey") % 9 == 0, "PAUSED").otherwise("AVAILABLE").alias("buyer_status"), F.array(F.lit("STRAW")).alias("accepted"), F.lit(15.0).alias("max_moisture"), F.lit("06:00").alias("opens"), F.lit("20:00").alias("closes"), F.lit(400.0).alias("demand"), F.lit(300.0).alias("room"))
+    return read(spark, sf, "supplier").select(c("s_suppkey").alias("buyer_id"), c("s_nationkey").alias("market"), (F.lit(30) + c("s_suppkey") % 50 / 50).alias("buyer_lat"), (F.lit(75) + c("s_suppkey") % 60 / 50).alias("buyer_lon"), F.when(c("s_suppkey") % 9 == 0, "PAUSED").otherwise("AVAILABLE").alias("buyer_status"), F.array(F.lit("STRAW")).alias("accepted"), F.lit(15.0).alias("max_moisture"), F.lit("06:00").alias("opens"), F.lit("20:00").alias("closes"), F.lit(400.0).alias("demand"), F.lit(300.0).alias("room"))
 
 
 def depots(spark, sf):

@@ -222,8 +222,11 @@ def test_the_informed_policy_on_any_count_of_days_and_fields_without_area():
 def test_buyers(spark):
     f = spark.createDataFrame([("f1", 30.0, 75.0, "Straw", 10.0, 0.9, 8.0), ("f2", 30.0, 75.1, "straw", 10.0, 0.5, 5.0), ("f3", None, 75.0, "straw", 10.0, 0.4, 1.0), ("f4", 30.0, 75.0, "husk", 10.0, 0.3, 1.0)], "field_id string, field_lat double, field_lon double, residue string, moisture double, score double, tonnes double")
     b = spark.createDataFrame([("b1", 30.0, 75.0, "AVAILABLE", ["STRAW"], 15.0, "06:00", "20:00", 10.0, 10.0), ("b2", 30.0, 75.0, "PAUSED", ["STRAW"], 15.0, "06:00", "20:00", 10.0, 10.0)], "buyer_id string, buyer_lat double, buyer_lon double, buyer_status string, accepted array<string>, max_moisture double, opens string, closes string, demand double, room double")
-    got = {r.field_id: (r.buyer_id, r.reason) for r in simulate.match_buyers(f, b).collect()}
-    assert got == {"f1": ("b1", None), "f2": (None, "NO_BUYER_CAPACITY"), "f3": (None, "INVALID_LOCATION"), "f4": (None, "NO_COMPATIBLE_BUYER")}
+    f, b = f.withColumn("market", F.lit("north")), b.withColumn("market", F.lit("north"))
+    away = f.where("field_id = 'f2'").withColumns({"field_id": F.lit("f5"), "market": F.lit("south")})
+    nowhere = away.withColumns({"field_id": F.lit("f6"), "market": F.lit(None).cast("string")})
+    got = {r.field_id: (r.buyer_id, r.reason) for r in simulate.match_buyers(f.unionByName(away).unionByName(nowhere), b, ["market"]).collect()}
+    assert got == {"f1": ("b1", None), "f2": (None, "NO_BUYER_CAPACITY"), "f3": (None, "INVALID_LOCATION"), "f4": (None, "NO_COMPATIBLE_BUYER"), "f5": (None, "NO_COMPATIBLE_BUYER"), "f6": (None, "NO_COMPATIBLE_BUYER")}
 
 
 def test_tours(spark):
@@ -301,3 +304,31 @@ def test_indices_guard_their_domain(spark):
     cols = [F.col(x) for x in "abcde"]
     assert [r[0] for r in df.select(S.bais2_strict(*cols)).collect()] == [None] * 4
     assert [r[0] for r in df.select(S.bais2_floored(*cols)).collect()][0] is None
+
+
+def test_compatible_rows_without_pairs(spark):
+    """Every pattern of unknown columns against all pairs, with repeated rows, ties and missing keys."""
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    rows = [(draw.choice([1, 2, None]), draw.choice([*range(12), None]), n, draw.choice(["IW", None]), draw.choice(["A", "D", None]), draw.choice([7, 8, None])) for n in range(120)]
+    rows += rows[:10]
+    df = spark.createDataFrame(rows, "k int, t long, n int, mode string, orbit string, track int")
+    out = joins.asof_compatible(df, ["k"], "t", "n", ["mode"], ["orbit", "track"], ["n"]).collect()
+    want = []
+    for a in rows:
+        fits = lambda b: None not in (a[0], a[1], a[3], b[0], b[1], b[3]) and a[0] == b[0] and a[3] == b[3] and b[1] < a[1] and all(None in (x, y) or x == y for x, y in itertools.islice(zip(a, b), 4, None))  # noqa: B023, B905, E731
+        best = max(((b[1], b[2]) for b in rows if fits(b)), default=(None, None))
+        want.append((*a, *best))
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+    assert any(r[-1] is not None for r in want)
+
+
+def test_intervals_meet_in_buckets(spark):
+    """Intervals longer and shorter than a bucket, turned round, and without an end."""
+    l = spark.createDataFrame([(1, 0.0, 0.0, -40, 95), (2, 1.0, 1.0, 5, 5), (3, 0.0, 0.0, 9, 3), (4, 0.0, 0.0, 0, None), (5, 50.0, 0.0, 0, 90)], "id int, x double, y double, a int, b int")
+    r = spark.createDataFrame([(0.0, 0.0, t) for t in (-41, -40, 5, 30, 95, 96, None)], "ox double, oy double, t int")
+    out = band.match_intervals(l, r, "id", 5.0, ("x", "y"), ("ox", "oy"), "a", "b", "t", 30.0)
+    assert {r.id: r.n_matches for r in out.collect()} == {1: 4, 2: 1, 3: 0, 4: 0, 5: 0}
