@@ -1,4 +1,4 @@
-"""As-of, lookup and nearest joins (J-01 to J-13, J-20, J-21, J-24 to J-32)."""
+"""As-of and lookup joins (J-01 to J-13, J-24 to J-32)."""
 
 from __future__ import annotations
 
@@ -101,18 +101,6 @@ def in_all_periods(df: DataFrame, keys: list[str], period: str, n: int) -> DataF
     return df.groupBy(*keys).agg(F.countDistinct(period).alias("_n")).where(F.col("_n") == n).drop("_n")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, distance: Column, order: str, by: list[str], payload: list[str], bound: int = 10_000) -> DataFrame:
-    """J-20, J-21: the nearest right row of each left row (per value of by), ties to the smaller order column.
-
-    Meant for small reference tables (grid nodes, facilities): the right side is counted and broadcast, and refused beyond bound.
-    """
-    if (n := right.count()) > bound:
-        raise ValueError(f"{n} rows on the right, {bound} at most; use a banded join")
-    met = left.crossJoin(F.broadcast(right)).withColumn("_d", distance).where(F.col("_d").isNotNull())
-    best = met.groupBy(left_id, *by).agg(F.min(F.struct("_d", order, *[c for c in payload if c != order])).alias("b"))
-    return best.select(left_id, *by, F.col("b._d").alias("distance"), F.col(f"b.{order}").alias(order), *[F.col(f"b.{c}").alias(c) for c in payload if c != order])
-
-
 def with_reverse(matrix: DataFrame, a: str, b: str) -> DataFrame:
     """J-30: a travel matrix completed by its reverse; a pair given both ways keeps its own values."""
     others = [c for c in matrix.columns if c not in (a, b)]

@@ -8,7 +8,7 @@ from ..functions import geo as G
 from ..operators import band as B
 from ..operators import grid, joins
 from ..operators import windows as W
-from ..operators.pyramid import nearest_point
+from ..operators.pyramid import nearest_of_each_kind, nearest_point
 from .tables import OBS, observations, points, points_sql, read
 
 K = ["user_id"]
@@ -95,8 +95,7 @@ def nearest_by_type(spark, sf):
     """J-20, J-21."""
     c = points(spark, sf, "customer", "c_custkey").toDF("cid", "x", "y")
     s = points(spark, sf, "supplier", "s_suppkey").toDF("sid", "sx", "sy").withColumn("kind", F.col("sid") % 3)
-    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-    return joins.nearest(c, s, "cid", d, "sid", ["kind"], ["sid"])
+    return nearest_of_each_kind(c, s, "cid", ("x", "y"), ("sx", "sy"), "kind", ("sid",), "distance")
 
 
 @query(f"""with s as ({points_sql('supplier', 's_suppkey')}), c as ({points_sql('customer', 'c_custkey')}) select c.id as cid, min(sqrt(power(c.x - s.x, 2) + power(c.y - s.y, 2))) as nearest from c, s group by c.id""")
