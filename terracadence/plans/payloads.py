@@ -59,13 +59,24 @@ def recent_activity(tables: list[tuple[str, DataFrame, str, str]], n: int = 5) -
     return out.orderBy(F.col("at").desc(), "kind", "title").limit(n)
 
 
-def intelligence(rows: DataFrame) -> DataFrame:
-    """G-05: status, then straw, then risk, each a struct, for the latest row of each field."""
-    c = F.col
-    df = rows.withColumn("status", R.status_candidate(c("NDVI_mean"), c("NDVI_delta"), c("NDVI_drop_from_peak"), c("NBR_delta"), c("BAIS2_delta"), c("recent_fire_24h")))
+def intelligence(rows: DataFrame, trust: str = "NO_MODEL", predicted: str | None = None) -> DataFrame:
+    """G-05: per row the status, then the straw, then the risk, each a struct, and where the status comes from.
+
+    A validated model's own status (column predicted) is taken; any other model is set aside for the rule, and one fitted
+    to synthetic rows is refused. Straw is estimated for a harvest only, risk only for a harvest that is well founded (a
+    band of MODERATE or HIGH, or a validated model); otherwise risk is NULL and risk_state says so.
+    """
+    if trust == "SYNTHETIC_TEST_MODEL":
+        raise ValueError("a model fitted to synthetic rows cannot serve")
+    c, validated = F.col, trust == "VALIDATED_MODEL" and predicted is not None
+    status = R.status_candidate(c("NDVI_mean"), c("NDVI_delta"), c("NDVI_drop_from_peak"), c("NBR_delta"), c("BAIS2_delta"), c("recent_fire_24h"))
+    if validated:
+        status = F.struct(c(predicted).alias("status"), F.lit("HIGH").alias("band"), F.lit("model").alias("evidence"))
+    df = rows.withColumn("status", status).withColumns({"status_source": F.lit("trained_model" if validated else "rule"), "model_trust_state": F.lit(trust)})
     df = df.withColumn("straw", R.straw_estimate(c("status.status"), c("status.band"), c("area_ha"), c("peak_NDVI")))
+    founded = F.coalesce((c("status.status") == "HARVESTED") & c("status.band").isin("MODERATE", "HIGH"), F.lit(False))
     parts = R.risk_components(c("days_since_harvest"), c("harvest_state"), c("rain_72h"), c("forecast_rain"), R.forecast_admissible(c("forecast_issued"), c("observed")), c("humidity_pct"), c("baler_m"), c("buyer_m"), c("burn_rate"), c("straw.estimate_t"), c("recent_fire_72h"))
-    return df.withColumn("risk", R.risk_score(parts))
+    return df.withColumns({"risk": F.when(founded, R.risk_score(parts)), "risk_state": F.when(founded, "SCORED").otherwise("NOT_APPLICABLE_INSUFFICIENT_HARVEST_EVIDENCE")})
 
 
 def dashboard(df: DataFrame) -> DataFrame:

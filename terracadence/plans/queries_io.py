@@ -291,3 +291,19 @@ def field_painting(spark, sf):
     ring = F.array(*[F.struct((x + dx * r).alias("x"), (y + dy * r).alias("y")) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1))])
     shapes = read(spark, sf, "customer").select(F.array(ring).alias("rings"), F.element_at(F.array(F.lit("CROP"), F.lit("LOOSE"), F.lit("STRICT")), (1 + k % 3).cast("int")).alias("tier"))
     return paint(shapes, "rings", paint_order(c("tier")), 900, 900).select("row", "col", "value")
+
+
+@query("""select 'optical' as source, count(*) filter (o_orderkey % 5 <> 0) as loaded, count(*) filter (o_orderkey % 5 = 0) as rejected, null::varchar as warning from orders
+    union all select 'fires', count(*), 0, null from supplier union all select 'weather', 0, count(*), null from part union all select 'radar', 0, 0, 'radar is unavailable'""")
+def demo_acquisition(spark, sf):
+    """S-29: four sources as JSON lines, of which one is absent and others hold rows of another type, of none, or that are broken."""
+    path, k = place(spark), c("o_orderkey")
+    lines = {
+        "optical": read(spark, sf, "orders").select(F.when(k % 10 == 0, "{broken").when(k % 5 == 0, F.format_string('{"id":%d}', k)).otherwise(F.format_string('{"id":%d,"dataset_type":"DEMO"}', k)).alias("value")),
+        "fires": read(spark, sf, "supplier").select(F.format_string('{"id":%d,"dataset_type":"DEMO"}', c("s_suppkey")).alias("value")),
+        "weather": read(spark, sf, "part").select(F.format_string('{"id":%d,"dataset_type":"REAL"}', c("p_partkey")).alias("value")),
+    }
+    for name, rows in lines.items():
+        rows.write.text(f"{path}/{name}")
+    names = (*lines, "radar")
+    return R.demo_sources(spark, {n: f"{path}/{n}" for n in names}, dict.fromkeys(names, "id long, dataset_type string"))[1]

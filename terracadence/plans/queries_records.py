@@ -9,6 +9,8 @@ from ..functions import spectral as S
 from ..functions.times import ts_us
 from ..operators import aggregates as A
 from ..operators import audit, sampling, simulate
+from ..operators import windows as W
+from ..sources import readers
 from . import events as E
 from . import features, payloads
 from . import panels as P
@@ -224,3 +226,57 @@ def certificates(spark, sf):
     out = payloads.certificates(cases, seen)
     named = ("field_id", "first_image", "last_image", "observations", "verification_id")
     return out.withColumn("sha256", canonical_hash({n: c(n).cast("string") for n in named})).select("verification_id", "observations", "first_image", "last_image", "sha256")
+
+
+@query("""with o as (select o_orderkey as id, o_orderdate::date - (o_orderkey % 50)::integer as a, o_orderdate::date + (o_orderkey % 30)::integer as b, date '1996-06-15' as t from orders), p as (
+        select id, 'archive' as provider, a as from_day, least(b, t - 1) as to_day, 0 as days_missing from o where a < t
+        union all select id, 'forecast', greatest(a, t), least(b, t + 15), greatest(b - (t + 15), 0) from o where b >= t and a <= t + 15
+        union all select id, 'none', null, null, b - a + 1 from o where a > t + 15)
+    select id, provider, from_day, to_day, days_missing::integer as days_missing from p""")
+def weather_requests(spark, sf):
+    """S-13: the days around each order, asked of the archive or the forecast."""
+    k, d = c("o_orderkey"), F.to_date("o_orderdate")
+    wanted = read(spark, sf, "orders").select(k.alias("id"), F.date_sub(d, (k % 50).cast("int")).alias("a"), F.date_add(d, (k % 30).cast("int")).alias("b"))
+    return readers.provider_requests(wanted, "a", "b", F.lit("1996-06-15").cast("date")).drop("a", "b")
+
+
+@query("""select c_custkey, (1000 + c_custkey % 4000)::double as km2 from customer where lower(trim('  ' || upper(c_name) || ' ')) = 'customer#000000007'""")
+def district_area(spark, sf):
+    """S-28: the one area of an accepted name, whatever its case and margins."""
+    areas = read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")).alias("name"), (1000 + c("c_custkey") % 4000).cast("double").alias("km2"))
+    return readers.one_district(areas, "name", (" Customer#000000007", "customer no. 7"), "km2").select("c_custkey", "km2")
+
+
+def _intelligence_sql() -> str:
+    # Weights of the components, in the published order.
+    parts = [("tp", 0.25), ("dry", 0.2), ("fc", 0.15), ("hum", 0.1), ("hist", 0.15), ("bal", 0.05), ("buy", 0.02), ("vol", 0.04), ("near", 0.04)]
+    weight = "0.0::double" + "".join(f" + case when {n} is null then 0.0::double else {w}::double end" for n, w in parts)
+    total = "0.0::double" + "".join(f" + coalesce({n} * {w}::double, 0.0::double)" for n, w in parts)
+    clip = lambda x: f"least(greatest({x}, 0.0::double), 1.0::double)"
+    return f"""with {SPECTRA}, l as (select *, row_number() over (partition by l_orderkey order by l_linenumber desc) as n from b),
+        r as (select *, case when l_orderkey % 23 <> 0 then b08 end as v, coalesce(-b06 <= -0.25, false) or coalesce(b04 - 0.4 <= -0.2, false) as f, b07 - 0.5 <= -0.15 as nb, b11 - 0.3 >= 0.1 as ba, b04 - 0.4 as dv from l where n = 1),
+        s as (select *, case when v is null then null when f and nb and ba then 'BURNT' when f then 'HARVESTED' when dv >= 0.12 and v >= 0.3 then 'SOWN' when v >= 0.55 and dv > -0.15 then 'STANDING' end as status, v is not null and f and nb as moderate from r),
+        t as (select *, coalesce(status = 'HARVESTED' and moderate, false) as founded, (n_valid - 2)::double as area, least(greatest(1 + 0.25::double * (b02 - 0.75::double), 0.85::double), 1.1::double) as factor from s),
+        e as (select *, case when founded and area > 0 then area * 6.0::double * factor end as tonnes from t),
+        p as (select *, case when n_valid % 4 < 2 then {clip("n_cloud / 10.0::double")} end as tp, {clip("1 - (n_cloud / 2.0::double) / 12.0::double")} as dry, case when l_linenumber % 3 <= 1 then {clip("1 - (b12 * 20) / 12.0::double")} end as fc, {clip("(100 - b8a * 100) / 100")} as hum, b02 as hist,
+            {clip("(n_cloud * 1000)::double / 20000.0::double")} as bal, case when n_cloud % 2 = 0 then {clip("(n_valid * 1000)::double / 50000.0::double")} end as buy, {clip("tonnes / 20.0::double")} as vol, (l_orderkey % 2 = 0)::integer::double as near from e),
+        q as (select *, case when tonnes is null then null else vol end as vol_ from p), z as (select * exclude (vol, vol_), vol_ as vol from q),
+        g as (select *, round(({total}) / ({weight}), 9) as score from z)
+        select l_orderkey, status, case when moderate then 'MODERATE' else 'LOW' end as band, case when founded and area > 0 then 'PRELIMINARY_ESTIMATE' when founded then 'INSUFFICIENT_INPUT' else 'NOT_ELIGIBLE' end as straw_state, round(tonnes, 6) as tonnes,
+        case when founded then 'SCORED' else 'NOT_APPLICABLE_INSUFFICIENT_HARVEST_EVIDENCE' end as risk_state, case when founded then score end as score from g"""
+
+
+@query(_intelligence_sql())
+def field_intelligence(spark, sf):
+    """G-05, W-31: the latest row of each field through status, straw and risk."""
+    b = spectra(spark, sf)
+    last = W.keep_one(b, ["l_orderkey"], [c("l_linenumber").desc()])[0]
+    cloud, key, line, clear = c("n_cloud"), c("l_orderkey"), c("l_linenumber"), c("n_valid")
+    rows = last.select(
+        "l_orderkey", F.when(key % 23 != 0, c("b08")).alias("NDVI_mean"), (c("b04") - 0.4).alias("NDVI_delta"), (-c("b06")).alias("NDVI_drop_from_peak"), (c("b07") - 0.5).alias("NBR_delta"), (c("b11") - 0.3).alias("BAIS2_delta"), (key % 3 == 0).alias("recent_fire_24h"),
+        (clear - 2).cast("double").alias("area_ha"), c("b02").alias("peak_NDVI"), cloud.cast("double").alias("days_since_harvest"), F.when(clear % 4 == 0, "CONFIRMED").when(clear % 4 == 1, "MODEL_INFERRED").when(clear % 4 == 2, "UNKNOWN").alias("harvest_state"),
+        (cloud / 2).alias("rain_72h"), (c("b12") * 20).alias("forecast_rain"), (line % 3).alias("forecast_issued"), F.lit(1).alias("observed"), (c("b8a") * 100).alias("humidity_pct"), (cloud * 1000).cast("double").alias("baler_m"), F.when(cloud % 2 == 0, (clear * 1000).cast("double")).alias("buyer_m"),
+        c("b02").alias("burn_rate"), (key % 2 == 0).alias("recent_fire_72h"),
+    )
+    out = payloads.intelligence(rows)
+    return out.select("l_orderkey", "status.status", "status.band", c("straw.state").alias("straw_state"), F.round("straw.estimate_t", 6).alias("tonnes"), "risk_state", F.round("risk.score", 9).alias("score"))

@@ -183,15 +183,40 @@ def one_district(areas: DataFrame, name: str, aliases: tuple[str, ...], km2: str
     return areas.where(F.lower(F.trim(name)).isin(*[a.lower().strip() for a in aliases]))
 
 
-def demo_sources(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str]) -> tuple[dict[str, DataFrame], list[str]]:
-    """S-29: JSON-lines tables whose dataset_type is DEMO, and a warning for each that is absent."""
-    out, warnings = {}, []
+def demo_sources(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """S-29: JSON-lines tables whose dataset_type is DEMO, and the manifest of the run: (source, loaded, rejected, warning).
+
+    Rows of another type, of none, or that are no JSON are rejected and counted; a table that is absent gives a warning
+    and an otherwise empty line, and the others are read all the same.
+    """
+    out, lines = {}, []
+    demo = F.coalesce(F.col("dataset_type") == "DEMO", F.lit(False))
     for name, path in paths.items():
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            out[name] = spark.read.schema(schemas[name]).json(path).where("dataset_type = 'DEMO'")
+            table = spark.read.schema(schemas[name]).json(path)
+            out[name] = table.where(demo)
+            lines.append(table.agg(F.count_if(demo).alias("loaded"), F.count_if(~demo).alias("rejected")).select(F.lit(name).alias("source"), "loaded", "rejected", F.lit(None).cast("string").alias("warning")))
         else:
-            warnings.append(f"{name} is unavailable")
-    return out, warnings
-
-
+            lines.append(spark.range(1).select(F.lit(name).alias("source"), F.lit(0).cast("long").alias("loaded"), F.lit(0).cast("long").alias("rejected"), F.lit(f"{name} is unavailable").alias("warning")))
+    manifest = lines[0]
+    for line in lines[1:]:
+        manifest = manifest.unionByName(line)
+    return out, manifest
+
+
+def provider_requests(wanted: DataFrame, first: str, last: str, today: Column, horizon: int = 15) -> DataFrame:
+    """S-13: spans of days (both ends inside) split into what the archive holds (before today) and what a forecast can give (to today + horizon).
+
+    Adds provider, from_day, to_day and days_missing, the days beyond the horizon, which nobody fills in; they are told
+    on the forecast's row. A span wholly beyond it gives a row of provider none; one that ends before it starts, or lacks an end, gives no row.
+    """
+    a, b, end = F.col(first), F.col(last), F.date_add(today, horizon)
+    missing = F.greatest(F.datediff(b, F.greatest(end, F.date_sub(a, 1))), F.lit(0))
+    part = lambda name, low, high, out: F.struct(F.lit(name).alias("provider"), low.alias("from_day"), high.alias("to_day"), out.alias("days_missing"))
+    parts = F.array(
+        F.when(a < today, part("archive", a, F.least(b, F.date_sub(today, 1)), F.lit(0))),
+        F.when((b >= today) & (a <= end), part("forecast", F.greatest(a, today), F.least(b, end), missing)),
+        F.when(a > end, part("none", F.lit(None).cast("date"), F.lit(None).cast("date"), missing)),
+    )
+    return wanted.where(a <= b).withColumn("_p", F.explode(F.array_compact(parts))).select(*wanted.columns, "_p.*")

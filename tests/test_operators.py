@@ -332,3 +332,38 @@ def test_intervals_meet_in_buckets(spark):
     r = spark.createDataFrame([(0.0, 0.0, t) for t in (-41, -40, 5, 30, 95, 96, None)], "ox double, oy double, t int")
     out = band.match_intervals(l, r, "id", 5.0, ("x", "y"), ("ox", "oy"), "a", "b", "t", 30.0)
     assert {r.id: r.n_matches for r in out.collect()} == {1: 4, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_intelligence_follows_its_model(spark):
+    """Rules unless a validated model decides; risk only for a harvest that is well founded; synthetic models are refused."""
+    names = "NDVI_mean NDVI_delta NDVI_drop_from_peak NBR_delta BAIS2_delta area_ha peak_NDVI days_since_harvest rain_72h forecast_rain forecast_issued observed humidity_pct baler_m buyer_m burn_rate".split()
+    weak = dict.fromkeys(names, 1.0) | {"NDVI_delta": -0.3, "NDVI_drop_from_peak": -0.3, "NBR_delta": 0.0, "BAIS2_delta": 0.0}
+    rows = [(n, *r.values(), False, False, "CONFIRMED", "HARVESTED") for n, r in (("weak", weak), ("firm", weak | {"NBR_delta": -0.2}), ("standing", weak | {"NDVI_delta": 0.0, "NDVI_drop_from_peak": 0.0}), ("unknown", dict.fromkeys(names)))]
+    df = spark.createDataFrame(rows, "id string, " + ", ".join(f"{n} double" for n in names) + ", recent_fire_24h boolean, recent_fire_72h boolean, harvest_state string, own string")
+    short = lambda out: {r.id: (r.status.status, r.straw.state, r.risk_state == "SCORED", r.risk is None, r.status_source) for r in out.collect()}
+    by_rule = {"weak": ("HARVESTED", "NOT_ELIGIBLE", False, True, "rule"), "firm": ("HARVESTED", "PRELIMINARY_ESTIMATE", True, False, "rule"), "standing": ("STANDING", "NOT_ELIGIBLE", False, True, "rule"), "unknown": (None, "NOT_ELIGIBLE", False, True, "rule")}
+    assert short(payloads.intelligence(df)) == by_rule == short(payloads.intelligence(df, "EXPERIMENTAL_MODEL", "own"))
+    assert {v[0] for v in short(payloads.intelligence(df, "VALIDATED_MODEL", "own")).values()} == {"HARVESTED"}
+    assert all(v[2:] == (True, False, "trained_model") for v in short(payloads.intelligence(df, "VALIDATED_MODEL", "own")).values())
+    with pytest.raises(ValueError):
+        payloads.intelligence(df, "SYNTHETIC_TEST_MODEL", "own")
+
+
+def test_provider_requests(spark):
+    """Spans before, across, after today and beyond the horizon, turned round and open."""
+    day = dt.date
+    spans = [(1, day(2024, 1, 1), day(2024, 1, 5)), (2, day(2024, 1, 8), day(2024, 1, 12)), (3, day(2024, 1, 10), day(2024, 2, 1)), (4, day(2024, 2, 1), day(2024, 2, 3)), (5, day(2024, 1, 9), day(2024, 1, 8)), (6, None, day(2024, 1, 8)), (7, day(2024, 1, 1), day(2024, 2, 1))]
+    df = spark.createDataFrame(spans, "id int, a date, b date")
+    out = readers.provider_requests(df, "a", "b", F.lit("2024-01-10").cast("date"))
+    assert sorted((r.id, r.provider, r.from_day, r.to_day, r.days_missing) for r in out.collect()) == [
+        (1, "archive", day(2024, 1, 1), day(2024, 1, 5), 0), (2, "archive", day(2024, 1, 8), day(2024, 1, 9), 0), (2, "forecast", day(2024, 1, 10), day(2024, 1, 12), 0),
+        (3, "forecast", day(2024, 1, 10), day(2024, 1, 25), 7), (4, "none", None, None, 3), (7, "archive", day(2024, 1, 1), day(2024, 1, 9), 0), (7, "forecast", day(2024, 1, 10), day(2024, 1, 25), 7),
+    ]
+
+
+def test_one_district(spark):
+    areas = spark.createDataFrame([(" North ", 2000.0), ("north", 10.0), ("south", 1500.0), ("tiny", 5.0)], "name string, km2 double")
+    assert readers.one_district(areas, "name", ("SOUTH",), "km2").count() == 1
+    for bad in ("north", "tiny", "east"):
+        with pytest.raises(ValueError):
+            readers.one_district(areas, "name", (bad,), "km2")
