@@ -113,10 +113,14 @@ def change_between(df: DataFrame, key: str, date: str, value: str, before: tuple
     return out.withColumn("drop", F.col("pre") - F.col("post"))
 
 
-def usable_matrix(df: DataFrame, keys: DataFrame, periods: DataFrame, key: str, period: str) -> DataFrame:
-    """A-38: rows per key and period with zeros where there are none, summed up per period. periods is a handful."""
+def usable_matrix(df: DataFrame, keys: DataFrame, periods: DataFrame, key: str, period: str, most_periods: int = 1_000) -> DataFrame:
+    """A-38: rows per key and period with zeros where there are none, summed up per period. Periods are a handful of seasons: they are counted, and each key asks for every one of them."""
+    known = [r[0] for r in periods.select(period).distinct().limit(most_periods + 1).collect()]
+    if len(known) > most_periods:
+        raise ValueError(f"more than {most_periods} periods")
+    every = F.array(*[F.lit(p) for p in known]).cast(f"array<{periods.schema[period].dataType.simpleString()}>")
     counts = df.groupBy(key, period).agg(F.count(F.lit(1)).alias("n"))
-    full = keys.crossJoin(F.broadcast(periods)).join(counts, [key, period], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    full = keys.withColumn(period, F.explode(every)).join(counts, [key, period], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return full.groupBy(period).agg(F.median("n").alias("median"), F.min("n").alias("least"), F.max("n").alias("most"), share(F.col("n") >= 3).alias("share_3"), share(F.col("n") >= 5).alias("share_5"))
 
 

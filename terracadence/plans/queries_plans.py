@@ -130,11 +130,30 @@ def replay_zone_greedy(spark, sf):
     return simulate.replay(rows, [40, 41, 42], "risk")
 
 
-@query(None)
+def _greedy_sql() -> str:
+    """The queue of a market served one by one: a state of what room its buyers have left goes from field to field."""
+    half = lambda a, b: f"power(sin(radians({a} - {b}) / 2), 2)"
+    km = f"2 * 6371.0088 * asin(sqrt(least(greatest({half('bla', 'la')} + cos(radians(la)) * cos(radians(bla)) * {half('blo', 'lo')}, 0), 1)))"
+    left = "list_filter(g.rooms, lambda r: r.b = x.b)[1].room"
+    offer = f"{{'s': 50.0::double + 25.0::double * least(1.0::double, {left} / 400.0::double) + 25.0::double * greatest(0.0::double, 1 - x.km / 250.0::double), 'nk': -x.km, 'b': x.b, 'room': {left}}}"
+    return f"""with recursive f as (select c_custkey as field_id, c_nationkey as market, 30 + c_custkey % 100 / 50 as la, 75 + c_custkey % 70 / 50 as lo, c_acctbal / 10000 as score, round(c_acctbal / 100) as tonnes from customer where c_acctbal > 0),
+        b as (select s_suppkey as buyer_id, s_nationkey as market, 30 + s_suppkey % 50 / 50 as bla, 75 + s_suppkey % 60 / 50 as blo, s_suppkey % 9 = 0 as paused from supplier),
+        p as (select f.*, buyer_id, paused, {km} as km from f join b using (market)),
+        o as (select *, row_number() over (partition by market order by score desc, tonnes desc, field_id) as n from (select market, field_id, score, tonnes, list({{'b': buyer_id, 'km': km}}) as offers from p where not paused and km <= 250 group by all)),
+        g as (select market, 0::bigint as n, null::bigint as field_id, null::double as tonnes, null::struct(s double, nk double, b bigint, room double) as best, list({{'b': buyer_id, 'room': 300.0::double}}) as rooms from b group by market
+            union all select market, n, field_id, tonnes, best, list_transform(rooms, lambda r: {{'b': r.b, 'room': case when best is not null and r.b = best.b then greatest(0.0::double, r.room - tonnes) else r.room end}}) from (
+                select g.market, o.n, o.field_id, o.tonnes, g.rooms, list_reverse_sort(list_filter(list_transform(o.offers, lambda x: {offer}), lambda y: o.tonnes <= y.room + 0.000001::double))[1] as best from g join o on o.market = g.market and o.n = g.n + 1)),
+        w as (select field_id, bool_or(not paused) as open, bool_or(not paused and km > 250) as far from p group by field_id), t as (select * from g where best is not null)
+        select field_id, best.b as buyer_id, round(best.s, 3) as match_score, round(-best.nk, 3) as km, t.tonnes, case when best is not null then greatest(0.0::double, best.room - t.tonnes) end as room_left, case when best is null then case when not coalesce(open, false) then 'NO_COMPATIBLE_BUYER' when far then 'DISTANCE_LIMIT' else 'NO_BUYER_CAPACITY' end end as reason
+        from f left join t using (field_id) left join w using (field_id)"""
+
+
+@query(_greedy_sql())
 def buyer_greedy(spark, sf):
     """N-08, P-15. Capacity is shared within a nation's market."""
     f = read(spark, sf, "customer").where("c_acctbal > 0").select(c("c_custkey").alias("field_id"), c("c_nationkey").alias("market"), (F.lit(30) + c("c_custkey") % 100 / 50).alias("field_lat"), (F.lit(75) + c("c_custkey") % 70 / 50).alias("field_lon"), F.lit("straw").alias("residue"), F.lit(12.0).alias("moisture"), (c("c_acctbal") / 10000).alias("score"), F.round(c("c_acctbal") / 100).alias("tonnes"))
-    return simulate.match_buyers(f, buyers(spark, sf), ["market"], arrival_minute=600)
+    out = simulate.match_buyers(f, buyers(spark, sf), ["market"], arrival_minute=600)
+    return out.withColumns({"match_score": F.round("match_score", 3), "km": F.round("km", 3)})
 
 
 def buyers(spark, sf):
