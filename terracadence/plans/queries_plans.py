@@ -168,10 +168,37 @@ def depots(spark, sf):
     return f, u
 
 
-@query(None)
+def _tours_sql() -> str:
+    """The fields of a depot one by one: a state of where its units stand and what they carry goes from field to field."""
+    km = lambda a, b, c, d: f"2 * 6371.0088 * asin(least(1.0, sqrt(power(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))))"
+    way, home = km("x.la", "x.lo", "o.la", "o.lo"), km("o.la", "o.lo", "30.2::double", "75.2::double")
+    work = "ceil(o.acres / 3.0::double * 60)::bigint"
+    ok = f"x.acres + o.acres <= 20 and x.straw + o.tonnes <= 40 and x.minutes + {work} <= 480 and x.km + {way} + {home} <= 300"
+    option = f"{{'tour': x.km + {way} + {home}, 'u': x.u, 'work': {work}, 'way': {way}, 'ok': {ok}}}"
+    served = "{'u': r.u, 'la': la, 'lo': lo, 'acres': r.acres + acres, 'straw': r.straw + tonnes, 'minutes': r.minutes + best.work, 'km': r.km + best.way, 'stops': r.stops + 1}"
+    start = "{'u': s_suppkey, 'la': 30.2::double, 'lo': 75.2::double, 'acres': 0.0::double, 'straw': 0.0::double, 'minutes': 0::bigint, 'km': 0.0::double, 'stops': 0::bigint}"
+    return f"""with recursive o as (select c_custkey as field_id, c_nationkey as depot, 30 + c_custkey % 100 / 200 as la, 75 + c_custkey % 70 / 200 as lo, (1 + c_custkey % 9)::double as acres, round(c_acctbal / 1000) as tonnes, row_number() over (partition by c_nationkey order by c_acctbal / 10000 desc, round(c_acctbal / 1000) desc, c_custkey) as n from customer where c_acctbal > 5000),
+        g as (select s_nationkey as depot, 0::bigint as n, null::bigint as field_id, null::struct(tour double, u bigint, work bigint, way double, ok boolean) as best, list({start}) as units from supplier group by 1
+            union all select depot, n, field_id, best, list_transform(units, lambda r: case when best is not null and r.u = best.u then {served} else r end) from (
+                select g.depot, o.n, o.field_id, o.la, o.lo, o.acres, o.tonnes, g.units, list_sort(list_filter(list_transform(g.units, lambda x: {option}), lambda y: y.ok))[1] as best from g join o on o.depot = g.depot and o.n = g.n + 1))
+        select o.field_id, best.u as unit_id, list_filter(units, lambda r: r.u = best.u)[1].stops as stop, round(best.way, 3) as leg_km from o left join g using (field_id)"""
+
+
+@query(_tours_sql())
 def greedy_tours(spark, sf):
-    """N-10, N-11."""
-    return simulate.route(*depots(spark, sf), "depot")
+    """N-10."""
+    return simulate.route(*depots(spark, sf), "depot").withColumn("leg_km", F.round("leg_km", 3))
+
+
+@query("""with f as (select c_custkey as field_id, c_nationkey as depot, 30 + c_custkey % 100 / 20 as la, 75 + c_custkey % 70 / 20 as lo, (c_custkey % 40)::double as acres, round(c_acctbal / 200) as tonnes from customer),
+    p as (select f.*, 2 * 6371.0088 * asin(sqrt(power(sin(radians(la - 30.2) / 2), 2) + cos(radians(30.2)) * cos(radians(la)) * power(sin(radians(lo - 75.2) / 2), 2))) as km, 20 + s_suppkey % 3 * 5 as most from f join supplier on s_nationkey = depot)
+    select field_id, case when bool_and(acres > most) then 'CAPACITY_EXCEEDED' when bool_and(ceil(acres / 3.0::double * 60) > 480) then 'WORKING_HOURS_EXCEEDED' when bool_and(km > 300) then 'DISTANCE_LIMIT' when bool_and(tonnes > 40) then 'CAPACITY_EXCEEDED' else 'CAPACITY_OR_ROUTE_LIMIT' end as reason from p group by field_id""")
+def dropped_fields(spark, sf):
+    """N-11: what each field lacks with every unit of its nation's depot."""
+    k = c("c_custkey")
+    f = read(spark, sf, "customer").select(k.alias("field_id"), c("c_nationkey").alias("depot"), (F.lit(30) + k % 100 / 20).alias("lat"), (F.lit(75) + k % 70 / 20).alias("lon"), (k % 40).cast("double").alias("acres"), F.round(c("c_acctbal") / 200).alias("tonnes"))
+    u = depots(spark, sf)[1].withColumn("max_acres", (F.lit(20) + c("unit_id") % 3 * 5).cast("double"))
+    return simulate.drop_reasons(f, u, "depot")
 
 
 @query("""with f as (select c_custkey as field_id, c_nationkey as depot from customer where c_acctbal > 5000), u as (select distinct s_nationkey as depot from supplier)
