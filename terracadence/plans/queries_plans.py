@@ -121,9 +121,21 @@ def harvest_curve(spark, sf):
     return P.harvest_curve(rows)
 
 
-@query(None)
+def _replay_sql() -> str:
+    """Day by day: of what waits, is not too old and has not burned, the first goes, and what follows while the day's area lasts."""
+    waits = "x.ready <= day + 1 and day + 1 <= x.ready + 20 and not (x.burned and x.burn_day <= day + 1)"
+    return f"""with recursive {_season_sql(1997, "s")}, r as (select ix % 7 as zone, field_id as key, field_id % 40 / 10 as area, (hd - date '1997-01-01')::double as ready, burned, (bd - date '1997-01-01')::double as burn_day, field_id * 7919 % 100 / 100 as score from s),
+        g as (select zone, -1::bigint as day, max(ready) + 20 as last, list({{'key': key, 'area': area, 'ready': ready, 'burned': burned, 'burn_day': burn_day, 'score': score}}) as rest, []::bigint[] as served from r group by zone
+            union all select zone, day + 1, last, list_filter(rest, lambda x: not list_contains(now, x.key)), now from (
+                select zone, day, last, rest, list_transform(list_filter(q, lambda x, i: i = 1 or list_sum(list_transform(q[1:i], lambda y: y.area)) <= 4), lambda x: x.key) as now from (
+                    select *, case when day + 1 in (40, 41, 42) then [] else list_sort(list_transform(list_filter(rest, lambda x: {waits}), lambda x: {{'rank': -(x.score + (day + 1 - x.ready) * 0.0001::double), 'key': x.key, 'area': x.area}})) end as q from g where day < last))),
+        d as (select zone, unnest(served) as key, day from g)
+        select zone, key, day as served_day, coalesce(burned and day <= burn_day - 1, false) as preempted from r left join d using (zone, key)"""
+
+
+@query(_replay_sql())
 def replay_zone_greedy(spark, sf):
-    """N-01, G-13, W-20. Sequential by day; held against a plain version in tests."""
+    """N-01, G-13, W-20. Sequential by day within a zone."""
     f = season_fields(spark, sf, 1997)
     day = lambda d: F.datediff(d, F.lit("1997-01-01").cast("date")).cast("double")
     rows = f.select((c("ix") % 7).alias("zone"), c("field_id").alias("key"), c("pixel_area_ha").alias("area"), day("harvest_date").alias("ready"), "burned", day("burn_date").alias("burn_day"), day("burn_prev_date").alias("last_clear"), (c("field_id") * 7919 % 100 / 100).alias("score"), F.lit(None).cast("array<struct<day:int,score:double>>").alias("dynamic"))
