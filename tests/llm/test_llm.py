@@ -424,6 +424,36 @@ def test_lines_at_any_percent(spark, percent):
     assert {r.doc_id: r.n_removed for r in out} == {d: len(gone.get(d, ())) for d, _ in rows} and gone
 
 
+def variants(rnd, n, least, most):
+    """n lines of least to most words, each near some of the others."""
+    base = [f"t{k}" for k in range(most)]
+    rows = []
+    for d in range(n):
+        words = base[: rnd.randrange(least, most + 1)]
+        for _ in range(rnd.randrange(0, least // 6)):
+            words[rnd.randrange(len(words))] = f"v{rnd.randrange(2 * most)}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+def test_lines_read_their_candidates_once(spark, monkeypatch):
+    """However many rounds of partners are verified, the texts of candidate lines are read again once."""
+    calls, read = [], linededup._texts
+    monkeypatch.setattr(linededup, "_texts", lambda *a: calls.append(1) or read(*a))
+    rows = variants(random.Random(9), 120, 20, 24)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = plain_removed(rows)
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {d: len(gone.get(d, ())) for d, _ in rows} and gone
+    assert len(calls) == 1
+
+
+def test_lines_of_many_words_and_odd_spaces(spark):
+    rows = variants(random.Random(3), 60, 72, 88) + [(60, "  a\tb  c d e "), (61, "e d c b a"), (62, " \t ")]
+    gone = plain_removed(rows)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {d: len(gone.get(d, ())) for d, _ in rows} and 20 < len(gone) < 60
+
+
 def test_lines_of_clashing_columns_and_repeated_ids(spark):
     """Columns named as the operator's own keep their values; rows that repeat an id with other texts stand for themselves."""
     names = ["doc", "ln", "loc", "tag", "line", "cell", "gone", "kept", "removed", "n_lines", "n_removed", "row", "k1", "a.b"]
