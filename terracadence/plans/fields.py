@@ -50,7 +50,7 @@ def import_fields(raw: DataFrame, order: str = "feature_index", id_col: str = "f
     metres = lambda p: F.struct(*[v.alias(n) for v, n in zip(G.utm_xy(p[1], p[0]), "xy", strict=True)])
     ring_m = lambda r: F.transform(r, metres)
     # outer rings turn left and holes right, so the signed areas add up
-    moments = F.transform(F.flatten("polygons"), lambda r: F.struct(G.ring_area(ring_m(r)).alias("a"), *[v.alias(n) for v, n in zip(G.ring_centroid(ring_m(r)), "xy", strict=True)]))
+    moments = F.transform(F.transform(F.flatten("polygons"), ring_m), lambda r: F.struct(G.ring_area(r).alias("a"), *[v.alias(n) for v, n in zip(G.ring_centroid(r), "xy", strict=True)]))
     total = lambda f: F.aggregate("_m", F.lit(0.0), lambda s, m: s + f(m))
     df = df.withColumn("_m", F.when(valid & ~c("_outside"), moments)).withColumn("_area", total(lambda m: m["a"]))
     df = df.withColumns({"area_ha": c("_area") / 10_000, "x": F.try_divide(total(lambda m: m["a"] * m["x"]), c("_area")), "y": F.try_divide(total(lambda m: m["a"] * m["y"]), c("_area"))})

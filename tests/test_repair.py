@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from terracadence.functions.repair import area, inside, repair
 from terracadence.plans.fields import import_fields
@@ -79,3 +80,13 @@ def test_the_twelve_issues(spark):
     assert [k for k, r in got.items() if r.geometry_repaired] == [13]
     assert got[13].area_ha == pytest.approx(got[1].area_ha / 2, rel=1e-3) and len(got[13].polygons) == 2
     assert got[1].kind == "clash" and import_fields(df.limit(0)).count() == 0
+
+
+def test_small_areas_far_from_the_origin(spark):
+    """Products of coordinates of millions of metres do not swallow a ring of a hand's breadth."""
+    from terracadence.functions import geo as G
+
+    ring = F.array(*[F.struct(F.lit(500_000.0 + x).alias("x"), F.lit(9_990_000.0 + y).alias("y")) for x, y in ((0, 0), (0.0078125, 0), (0.0078125, 0.0078125), (0, 0.0078125))])
+    x, y = G.ring_centroid(ring)
+    r = spark.range(1).select(G.ring_area(ring).alias("a"), x.alias("x"), y.alias("y")).first()
+    assert r.a == 0.0078125**2 and (r.x, r.y) == (500_000.00390625, 9_990_000.00390625)
