@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import spectral as S
+from ..functions.numbers import rounded
 from ..functions.times import ts_us
 from ..operators import aggregates as A
 from ..operators import audit, sampling, simulate
@@ -268,9 +269,9 @@ def _intelligence_sql() -> str:
 
 @query(_intelligence_sql())
 def field_intelligence(spark, sf):
-    """G-05, W-31: the latest row of each field through status, straw and risk."""
-    b = spectra(spark, sf)
-    last = W.keep_one(b, ["l_orderkey"], [c("l_linenumber").desc()])[0]
+    """G-05, W-31: the latest row of each field through status, straw and risk. Lines that repeat a number are open in the SQL: the first in the file stays, as with one thread."""
+    b = spectra(spark, sf, told=("_file", "_row"))
+    last = W.keep_one(b, ["l_orderkey"], [c("l_linenumber").desc(), c("_file"), c("_row")])[0].drop("_file", "_row")
     cloud, key, line, clear = c("n_cloud"), c("l_orderkey"), c("l_linenumber"), c("n_valid")
     rows = last.select(
         "l_orderkey", F.when(key % 23 != 0, c("b08")).alias("NDVI_mean"), (c("b04") - 0.4).alias("NDVI_delta"), (-c("b06")).alias("NDVI_drop_from_peak"), (c("b07") - 0.5).alias("NBR_delta"), (c("b11") - 0.3).alias("BAIS2_delta"), (key % 3 == 0).alias("recent_fire_24h"),
@@ -279,4 +280,4 @@ def field_intelligence(spark, sf):
         c("b02").alias("burn_rate"), (key % 2 == 0).alias("recent_fire_72h"),
     )
     out = payloads.intelligence(rows)
-    return out.select("l_orderkey", "status.status", "status.band", c("straw.state").alias("straw_state"), F.round("straw.estimate_t", 6).alias("tonnes"), "risk_state", F.round("risk.score", 9).alias("score"))
+    return out.select("l_orderkey", "status.status", "status.band", c("straw.state").alias("straw_state"), rounded(c("straw.estimate_t"), 6).alias("tonnes"), "risk_state", rounded(c("risk.score"), 9).alias("score"))

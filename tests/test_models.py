@@ -143,3 +143,28 @@ def test_classes_weigh_the_same_and_the_gate_holds(spark, rows):
         learn.infer(out, "VALIDATED_MODEL", mark, "v2", FEATURES)
     forest = learn.forest(FEATURES, "status", "cw", trees=5).fit(train.where("not isnan(b) or b is null"))
     assert forest.transform(train.where("not isnan(b) or b is null")).count() > 0
+
+
+def test_latest_rows_of_repeated_numbers_are_the_files_first(spark, tmp_path):
+    """Lines that repeat a number: the first in the file stays, as in the SQL on one thread, and scores are rounded as there."""
+    import duckdb
+
+    from terracadence.plans import queries_records as Q
+
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, low, high in (("a", 0, 5_000), ("b", 5_000, 60_000)):  # Spark takes large files first
+        duck.execute(f"copy (select i * 7919 % 3000 as l_orderkey, i * 31 % 20000 as l_partkey, i * 17 % 1000 as l_suppkey, (1 + i % 3)::integer as l_linenumber from range({low}, {high}) t(i)) to '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    Q.field_intelligence(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    cols = ", ".join(f'"{r[0]}"' for r in duck.execute(f"describe {Q.SQL['field_intelligence']}").fetchall())
+    a, b = f"select {cols} from '{tmp_path}/out/*.parquet'", f"select {cols} from ({Q.SQL['field_intelligence']})"
+    assert duck.execute(f"{a} except all {b}").fetchall() == [] and duck.execute(f"{b} except all {a}").fetchall() == []
+
+
+def test_rounded_as_engines_do(spark):
+    from terracadence.functions.numbers import rounded
+
+    r = spark.createDataFrame([(0.51557031249999995,), (0.5,), (None,)], "x double").select(rounded(F.col("x"), 9).alias("r")).collect()
+    assert [x.r for x in r] == [round(0.51557031249999995 * 1e9) / 1e9, 0.5, None]
