@@ -238,6 +238,40 @@ def test_tours(spark):
     assert why.first().reason == "CAPACITY_EXCEEDED"
 
 
+def test_tours_look_at_all_units_at_once(monkeypatch):
+    """Only the units that may be the best are measured one by one."""
+    calls, plain = [], simulate._km
+    monkeypatch.setattr(simulate, "_km", lambda a, b: calls.append(1) or plain(a, b))
+    rnd = random.Random(3)
+    f = pd.DataFrame([(k, rnd.random(), 1.0, 30 + rnd.random(), 75 + rnd.random(), 1.0 + k % 9) for k in range(200)], columns=["field_id", "score", "tonnes", "lat", "lon", "acres"])
+    u = pd.DataFrame([(k, 30.0, 75.0 + k % 2, 20.0, None, 480, 3.0) for k in range(100)], columns=["unit_id", "lat", "lon", "max_acres", "max_straw", "shift_minutes", "acres_per_hour"])
+    out = simulate.route_depot(f, u, 300.0)
+    assert out.unit_id.notna().sum() > 150 and len(calls) < len(f) * len(u) / 10
+
+
+def _operators(df):
+    return [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+
+
+def test_matching_and_reasons_make_no_pairs(spark):
+    """Neither buyers nor units are joined row by row."""
+    f = spark.createDataFrame([("a", 1, 30.0, 75.0, "straw", 9.0, 0.5, 1.0, 2.0)], "field_id string, market int, field_lat double, field_lon double, residue string, moisture double, score double, tonnes double, acres double")
+    b = spark.createDataFrame([(k, 1, 30.0, 75.0, "AVAILABLE", ["STRAW"], 15.0, 9.0, 9.0) for k in range(3)], "buyer_id int, market int, buyer_lat double, buyer_lon double, buyer_status string, accepted array<string>, max_moisture double, demand double, room double")
+    out = simulate.match_buyers(f, b, ["market"])
+    assert [(r.field_id, r.buyer_id, r.reason) for r in out.collect()] == [("a", 2, None)] and not any(line.startswith("Join") for line in _operators(out))
+    u = b.select("market", F.col("buyer_lat").alias("lat"), F.col("buyer_lon").alias("lon"), F.lit(1.0).alias("max_acres"), F.lit(None).cast("double").alias("max_straw"), F.lit(480).alias("shift_minutes"), F.lit(3.0).alias("acres_per_hour"))
+    why = simulate.drop_reasons(f.withColumnsRenamed({"field_lat": "lat", "field_lon": "lon"}), u, "market")
+    plan = _operators(why)
+    assert why.first().reason == "CAPACITY_EXCEEDED" and not any(line.startswith("Aggregate [field_id") for line in plan)
+
+
+def test_documents_are_put_together_once_a_nation(spark):
+    from terracadence.plans import queries_joins
+
+    plan = _operators(queries_joins.nested_history_doc(spark, "/root/testdata/sf0.001"))
+    assert plan.index(next(x for x in plan if x.startswith("Join"))) < plan.index(next(x for x in plan if x.startswith("Aggregate")))
+
+
 def test_splits_and_samples(spark):
     df = spark.createDataFrame([(g, "xy"[g % 2]) for g in range(40) for _ in range(3)], "g int, label string")
     split = audit.grouped_split(df, "g", "label")
