@@ -11,6 +11,7 @@ from ..functions.texts import reasons, sorted_set
 from ..operators.aggregates import db_array_summary, number_stats
 from ..operators.joins import asof
 from ..operators.pyramid import nearest_before
+from ..operators.simulate import spread
 from ..operators.windows import keep_one
 from ..sources.staging import staged
 
@@ -109,13 +110,22 @@ def fire_features(rows: DataFrame, fires: DataFrame, row_id: str, ring: str, buf
     widest = max(buffers_m)
     cell = lambda v: F.floor(v / (2 * widest)).cast("long")
     span = lambda k: F.sequence(cell(F.array_min(F.transform(ring, lambda p: p[k])) - widest), cell(F.array_max(F.transform(ring, lambda p: p[k])) + widest))
-    left = rows.select(row_id, ring, "ts_us", F.explode(span("x")).alias("gx"), span("y").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
-    right = fires.select("fx", "fy", "fire_us", "source", cell(F.col("fx")).alias("gx"), cell(F.col("fy")).alias("gy"))
-    pairs = left.join(right, ["gx", "gy"]).where(F.col("fire_us") <= F.col("ts_us"))
-    pairs = pairs.withColumn("d", G.polygon_distance(F.col("fx"), F.col("fy"), F.col(ring))).where(F.col("d") <= widest)
-    age = F.col("ts_us") - F.col("fire_us")
-    counts = pairs.groupBy(row_id).agg(
-        F.count_if(F.col("d") == 0).alias("fires_inside"), *[F.count_if(F.col("d") <= b).alias(f"fires_{int(b)}m") for b in buffers_m], F.min("d").alias("_near"),
+    c = F.col
+    ends = {f"_{k}{i}": f(F.transform(ring, lambda p: p[k])) for k in "xy" for i, f in enumerate((F.array_min, F.array_max))}  # noqa: B023
+    left = rows.select(row_id, ring, "ts_us", F.explode(span("x")).alias("gx"), span("y").alias("ys"), G.upright(c(ring)).alias("_box"), *[v.alias(n) for n, v in ends.items()]).withColumn("gy", F.explode("ys")).drop("ys")
+    left = left.withColumn(ring, F.when(~c("_box"), c(ring)))
+    right = fires.select("fx", "fy", "fire_us", "source", cell(c("fx")).alias("gx"), cell(c("fy")).alias("gy"))
+    # no polygon is nearer than its box, and an upright rectangle is its box
+    gap = lambda k: F.greatest(c(f"_{k}0") - c(f"f{k}"), F.lit(0.0), c(f"f{k}") - c(f"_{k}1"))
+    box = F.sqrt(F.pow(gap("x"), 2) + F.pow(gap("y"), 2))
+    pairs = spread(left, "gx", "gy").join(spread(right, "gx", "gy"), ["gx", "gy"]).where((c("fire_us") <= c("ts_us")) & (box <= widest * (1 + 1e-9)))
+    pairs = pairs.withColumn("d", F.when(c("_box"), box).otherwise(G.polygon_distance(c("fx"), c("fy"), c(ring)))).where(c("d") <= widest)
+    within = [f"fires_{int(b)}m" for b in buffers_m]
+    # by source first: only measures of fixed width, so that pairs are not sorted
+    parts = pairs.groupBy(row_id, "source", "ts_us").agg(F.count_if(c("d") == 0).alias("fires_inside"), *[F.count_if(c("d") <= b).alias(n) for b, n in zip(buffers_m, within, strict=True)], F.min("d").alias("_near"), F.max("fire_us").alias("_last"))
+    age = c("ts_us") - c("_last")
+    counts = parts.groupBy(row_id).agg(
+        *[F.sum(n).alias(n) for n in ("fires_inside", *within)], F.min("_near").alias("_near"),
         F.bool_or(age <= 24 * HOUR_US).alias("fire_24h"), F.bool_or(age <= 72 * HOUR_US).alias("fire_72h"), sorted_set("source").alias("fire_sources"),
     )
     out = staged(rows.join(counts, row_id, "left"))
@@ -197,19 +207,29 @@ def overlapping(fields: DataFrame, least_m2: float = 1.0, cell_m: float = 500.0)
     """J-22: pairs of fields whose polygons overlap by more than least_m2, cut exactly (convex clipping side by side).
 
     Polygons meet in the grid cells of their boxes; a pair is looked at in the cell where the boxes' intersection
-    begins, so once.
+    begins, so once. Two upright rectangles are their boxes, whose intersection needs no clipping.
     """
     from ..functions.clip import overlap_area
 
+    c = F.col
     low = lambda k: F.array_min(F.transform("xy", lambda p: p[k]))
     high = lambda k: F.array_max(F.transform("xy", lambda p: p[k]))
     cell = lambda v: F.floor(v / cell_m).cast("long")
     slim = fields.select("field_id", "xy", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
-    slim = slim.withColumn("gx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("gy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
-    a, b = slim.alias("a"), slim.alias("b")
-    c = F.col
-    begins = (c("a.gx") == cell(F.greatest("a.x0", "b.x0"))) & (c("a.gy") == cell(F.greatest("a.y0", "b.y0")))
-    boxes = (c("a.x0") <= c("b.x1")) & (c("b.x0") <= c("a.x1")) & (c("a.y0") <= c("b.y1")) & (c("b.y0") <= c("a.y1"))
-    pairs = a.join(b, (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & (c("a.field_id") < c("b.field_id")) & begins & boxes)
-    pairs = pairs.select(c("a.field_id").alias("field_id"), c("b.field_id").alias("other_id"), c("a.xy").alias("xy"), c("b.xy").alias("oxy"))
-    return pairs.withColumn("overlap_m2", overlap_area("xy", "oxy")).where(c("overlap_m2") > least_m2).select("field_id", "other_id", "overlap_m2")
+    slim = slim.withColumn("_box", G.upright(c("xy")))
+    boxes, others, everything = slim.where("_box").drop("_box", "xy"), slim.where("not _box").drop("_box"), slim.drop("_box")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        laid = lambda df: spread(df.withColumn("gx", F.explode(F.sequence(cell(c("x0")), cell(c("x1"))))).withColumn("gy", F.explode(F.sequence(cell(c("y0")), cell(c("y1"))))), "gx", "gy")
+        a, b = laid(a).alias("a"), laid(b).alias("b")
+        begins = (c("a.gx") == cell(F.greatest("a.x0", "b.x0"))) & (c("a.gy") == cell(F.greatest("a.y0", "b.y0")))
+        overlap = (c("a.x0") <= c("b.x1")) & (c("b.x0") <= c("a.x1")) & (c("a.y0") <= c("b.y1")) & (c("b.y0") <= c("a.y1"))
+        return a.join(b, (c("a.gx") == c("b.gx")) & (c("a.gy") == c("b.gy")) & (c("a.field_id") < c("b.field_id")) & overlap & begins)
+
+    names = c("a.field_id").alias("field_id"), c("b.field_id").alias("other_id")
+    side = lambda k: F.least(f"a.{k}1", f"b.{k}1") - F.greatest(f"a.{k}0", f"b.{k}0")
+    plain = met(boxes, boxes).select(*names, (side("x") * side("y")).alias("overlap_m2"))
+    rings = c("a.xy").alias("xy"), c("b.xy").alias("oxy")
+    pairs = met(others, everything).select(*names, *rings).unionByName(met(slim.where("_box").drop("_box"), others).select(*names, *rings))
+    cut = pairs.withColumn("overlap_m2", overlap_area("xy", "oxy"))
+    return plain.unionByName(cut.select("field_id", "other_id", "overlap_m2")).where(c("overlap_m2") > least_m2)

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,23 @@ def test_documents_are_put_together_once_a_nation(spark):
     assert plan.index(next(x for x in plan if x.startswith("Join"))) < plan.index(next(x for x in plan if x.startswith("Aggregate")))
 
 
+def test_upright_rectangles_are_not_clipped(spark):
+    """Rectangles meet as boxes; other polygons are still cut exactly, also against rectangles."""
+    from terracadence.functions import clip
+
+    shape = lambda *ps: [{"x": float(x), "y": float(y)} for x, y in ps]
+    rows = [(1, shape((0, 0), (10, 0), (10, 10), (0, 10))), (2, shape((5, 5), (5, 15), (15, 15), (15, 5))), (3, shape((0, 0), (10, 10), (0, 10))), (4, shape((8, 8), (20, 8), (20, 20)))]
+    plain = clip._overlap
+    out = features.overlapping(spark.createDataFrame(rows, "field_id int, xy array<struct<x:double,y:double>>"))
+    got = {(r.field_id, r.other_id): round(r.overlap_m2, 6) for r in out.collect()}
+    brute = {(i, j): plain(*(np.array([(p["x"], p["y"]) for p in ring]) for ring in (a, b))) for i, a in rows for j, b in rows if i < j}
+    assert got == {k: round(v, 6) for k, v in brute.items() if v > 1.0} and got[1, 2] == 25.0
+    square = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    turned = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 1.0))])
+    there_and_back = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (1.0, 0.0))])
+    assert one(spark, *[G.upright(r).alias(n) for r, n in ((square, "a"), (turned, "b"), (there_and_back, "c"))]) == (True, False, False)
+
+
 def test_splits_and_samples(spark):
     df = spark.createDataFrame([(g, "xy"[g % 2]) for g in range(40) for _ in range(3)], "g int, label string")
     split = audit.grouped_split(df, "g", "label")
